@@ -157,7 +157,7 @@ SELECT substr(sha256(concat('run:', CAST(o_custkey % 400 AS STRING), o_orderstat
        substr(sha256(concat('j', o_orderpriority)), 1, 8) AS judge_prompt_hash
 FROM {orders}""",
 }
-_REFERENCE = re.compile(r"\{(\w+)\}")
+_REFERENCE = re.compile(r"\{([a-z]\w*)\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
