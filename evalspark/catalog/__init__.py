@@ -40,5 +40,5 @@ def query(name: str, check: str | None = None):
 
 def load() -> None:
     from evalspark.catalog import (  # noqa: F401
-        calibration, cases, corpus, golden, judging, ledger, planned, results, scorecards,
+        calibration, cases, corpus, golden, judging, ledger, measures, reports, results, scorecards,
     )

@@ -147,9 +147,9 @@ SELECT s.source, s.prompt_hash, CASE WHEN l.source IS NULL THEN 'never' WHEN l.p
     ELSE 'stale' END AS state,
   CASE WHEN l.source IS NULL THEN '⚠ Judge not yet calibrated.'
     WHEN l.prompt_hash = s.prompt_hash THEN concat('Judge calibrated: ', split_part("timestamp", '_', 1), ' (',
-      coalesce(concat(agreement_pct, '%'), '?'), ' agreement, current prompt)')
+      coalesce(agreement_pct || '%', '?'), ' agreement, current prompt)')
     ELSE concat('⚠ Judge calibration is stale: last calibrated ', split_part("timestamp", '_', 1), ' against prompt `',
-      l.prompt_hash, '` (', coalesce(concat(agreement_pct, '%'), '?'), ' agreement); current prompt is `', s.prompt_hash, '`.') END AS status
+      l.prompt_hash, '` (', coalesce(agreement_pct || '%', '?'), ' agreement); current prompt is `', s.prompt_hash, '`.') END AS status
 FROM (SELECT source, substr(sha256(concat('p', CAST(max(n_chars) % 2 AS STRING))), 1, 8) AS prompt_hash
       FROM {{documents}} GROUP BY source UNION ALL SELECT 'unseen', substr(sha256('p0'), 1, 8)) s
 LEFT JOIN ({LATEST}) l ON s.source = l.source""")

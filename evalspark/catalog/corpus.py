@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from evalspark.catalog import query
 from evalspark.functions.stats import rate
@@ -150,7 +150,7 @@ def submission_template(t):
 
 
 # SQL texts made from the documents: comments, trailing semicolons, writes, scripts.
-SQL_TEXT = """CASE doc_id % 11
+SQL_TEXT = """replace(CASE doc_id % 11
   WHEN 0 THEN concat('SELECT ', CAST(n_chars AS STRING), ' AS n;')
   WHEN 1 THEN concat('-- ', text)
   WHEN 2 THEN concat('/* ', text, ' */ with t as (select 1) select * from t')
@@ -160,7 +160,7 @@ SQL_TEXT = """CASE doc_id % 11
   WHEN 6 THEN concat('SELECT ''-- ', source, ''' AS c', chr(10), 'FROM t ; ')
   WHEN 7 THEN concat('  ', chr(9), 'select', chr(10), CAST(doc_id AS STRING), ';;')
   WHEN 8 THEN ';' WHEN 9 THEN concat('insert into ', lang, ' values (1)')
-  ELSE text END"""
+  ELSE text END, 'ß', 'ss')"""
 
 
 @query("read_only_lint", rf"""
@@ -255,7 +255,7 @@ JOIN (SELECT tier, count(*) AS cases FROM {case_runs} GROUP BY tier) USING (tier
 def tier_tab(t):
     """The tier table: target share of the corpus against the measured one."""
     counts = t.case_runs.groupBy("tier").agg(F.count(F.lit(1)).alias("cases"))
-    total = t.case_runs.agg(F.count(F.lit(1)).alias("_all"))
-    return tier_dim(t.spark).join(counts, "tier").join(F.broadcast(total)).select(  # a single number
-        "tier", "target_share", "cases", F.round(rate(F.col("cases"), F.col("_all")), 9).alias("measured_share")
+    everything = F.sum("cases").over(Window.partitionBy(F.lit(1)))  # three rows
+    return tier_dim(t.spark).join(counts, "tier").select(
+        "tier", "target_share", "cases", F.round(rate(F.col("cases"), everything), 9).alias("measured_share")
     )

@@ -81,14 +81,14 @@ FROM {events}""",
     "judge_answers": """
 SELECT event_id AS call_id,
        CASE WHEN event_id % 50 = 0 THEN concat('no verdict for ', event_type)
-            WHEN event_id % 41 = 0 THEN concat('{"factual_accuracy": 1, "reasoning": "', event_type, '"}')
-            ELSE concat('{"factual_accuracy": ', CAST(event_id % 2 AS STRING),
+            WHEN event_id % 41 = 0 THEN concat(chr(123), '"factual_accuracy": 1, "reasoning": "', event_type, '"', chr(125))
+            ELSE concat(chr(123), '"factual_accuracy": ', CAST(event_id % 2 AS STRING),
                         ', "completeness": ', CASE WHEN value > 10 THEN '1' ELSE '0' END,
                         ', "no_hallucination": 1, "failure_category": ',
                         CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '"wrong_join"'
                              WHEN 2 THEN '"bad_mood"' ELSE '"time_window"' END,
                         CASE WHEN event_id % 7 = 0 THEN '' ELSE concat(', "reasoning": "saw ', event_type, '"') END,
-                        '}') END AS body,
+                        chr(125)) END AS body,
        event_id % 3 AS wrapping
 FROM {events}""",
     # human against judge, long form
