@@ -77,8 +77,7 @@ CASE_LINES = f"""[concat('### ', case_id, '  ·  ', tier, '  ·  ', category), '
   CASE WHEN error IS NULL AND NOT exec_match THEN concat('**exec-diff:** values differ in ', case_pos % 7, ' rows') END,
   CASE WHEN error IS NULL AND NOT exec_match AND case_pos % 5 = 0 THEN '' END,
   CASE WHEN error IS NULL AND NOT exec_match AND case_pos % 5 = 0 THEN '```' END,
-  CASE WHEN error IS NULL AND NOT exec_match AND case_pos % 5 = 0 THEN 'first' END,
-  CASE WHEN error IS NULL AND NOT exec_match AND case_pos % 5 = 0 THEN 'second' END,
+  CASE WHEN error IS NULL AND NOT exec_match AND case_pos % 5 = 0 THEN concat('first', chr(10), 'second') END,
   CASE WHEN error IS NULL AND NOT exec_match AND case_pos % 5 = 0 THEN '```' END,
   CASE WHEN error IS NULL THEN '' END,
   CASE WHEN error IS NULL AND judged THEN concat('**Judge:** factual=', factual_accuracy, ', complete=', completeness,
@@ -102,17 +101,17 @@ HEADER_LINES = f"""[concat('# Benchmark run — ', agent_name), '', concat('- **
     WHEN 'promote' THEN 'VERDICT: ok to promote — all aggregates above threshold.'
     WHEN 'do_not_promote' THEN 'VERDICT: do not promote — trust-critical or calibration below threshold; investigate before re-scoring.'
     ELSE 'VERDICT: investigate — headline correctness below threshold but trust-critical and calibration look ok.' END), '']"""
-LISTED = "SELECT *, list_filter({lines}, lambda x: x IS NOT NULL) AS ls FROM ({source})"
 TOP_TEXT = f"""SELECT agent_name, string_agg(concat(category, ' (', failures, ')'), ', ' ORDER BY place) AS top_failures
   FROM ({TOP}) GROUP BY agent_name"""
 
 
 @query("report_lines", f"""
-SELECT agent_name, CAST(2 AS BIGINT) AS section, case_pos AS pos, unnest(range(len(ls))) AS line_no, unnest(ls) AS line
-FROM (SELECT *, list_filter({CASE_LINES}, lambda x: x IS NOT NULL) AS ls FROM {{case_runs}})
-UNION ALL SELECT agent_name, 0, 0, unnest(range(len(ls))), unnest(ls)
-FROM (SELECT *, list_filter({HEADER_LINES}, lambda x: x IS NOT NULL) AS ls
-  FROM ({JUDGED}) j LEFT JOIN ({TOP_TEXT}) f USING (agent_name))""")
+SELECT * FROM (
+  SELECT agent_name, CAST(2 AS BIGINT) AS section, case_pos AS pos, unnest(range(len(ls))) AS line_no, unnest(ls) AS line
+  FROM (SELECT *, {CASE_LINES} AS ls FROM {{case_runs}})
+  UNION ALL SELECT agent_name, 0, 0, unnest(range(len(ls))), unnest(ls)
+  FROM (SELECT *, {HEADER_LINES} AS ls FROM ({JUDGED}) j LEFT JOIN ({TOP_TEXT}) f USING (agent_name)))
+WHERE line IS NOT NULL""")
 def report_lines(t):
     return R.report_lines(reported_cases(t), S.scorecard(t.case_runs), AGENT)
 

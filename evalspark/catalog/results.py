@@ -107,12 +107,13 @@ def exec_match(t):
 
 
 @query("exec_match_encoded", f"""
-SELECT case_id, n_golden = n_agent AND apart = 0 AS matched, mismatched_rows
-FROM ({COUNTS}) JOIN ({VALUE_COUNTS}) USING (case_id)""")
+SELECT case_id, n_golden = n_agent AND apart = 0 AS matched,
+  CASE WHEN n_golden = n_agent THEN mismatched_rows END AS mismatched_rows FROM ({COUNTS}) JOIN ({VALUE_COUNTS}) USING (case_id)""")
 def exec_match_encoded(t):
     """The same comparison over encoded rows, as used when results differ in schema."""
     rows = diff.both_sides(encode_rows(t.golden_results, KEYS), encode_rows(t.agent_results, KEYS))
-    return diff.diff_batch(rows, KEYS, [diff.CELLS]).select("case_id", "matched", "mismatched_rows")
+    counted = F.when(F.col("row_delta") == 0, F.col("mismatched_rows")).alias("mismatched_rows")
+    return diff.diff_batch(rows, KEYS, [diff.CELLS]).select("case_id", "matched", counted)
 
 
 @query("diff_summary", SUMMARY)

@@ -6,11 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from evalspark.constants import FALSE_WORDS, TRUE_WORDS
 
-# Characters that count as white space at the ends of a field (wider than what
-# trim() removes). Java and RE2 both understand this class.
-WHITE_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
-NOT_WHITE_SPACE = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
-STRIP_PATTERN = rf"\A{WHITE_SPACE}+|{WHITE_SPACE}+\z"
+# The characters that count as white space at the ends of a field.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+FIRST_TOKEN_PATTERN = r"\A[^\t-\r\x1c-\x20\x{85}\p{Z}]+"
 
 # SQL comments, blind to string literals: the lint is a backstop, not a parser.
 SQL_COMMENT_PATTERN = r"(--[^\n]*)|((?s:/\*.*?\*/))"
@@ -18,7 +19,7 @@ WRITE_AFTER_WITH_PATTERN = r"(?i)\A\s*with\b[\s\S]*\)\s*insert\b"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP_PATTERN, "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def clean(text: Column) -> Column:
@@ -74,7 +75,7 @@ def read_only_reason(sql: Column) -> Column:
     bare = strip(F.regexp_replace(sql, SQL_COMMENT_PATTERN, " "))
     body = F.when(F.endswith(bare, F.lit(";")), strip(F.regexp_replace(bare, r";\z", ""))).otherwise(bare)
     rest = F.when(F.instr(body, ";") > 0, strip(F.regexp_replace(body, r"\A[^;]*;", "")))
-    first = F.upper(F.regexp_extract(body, rf"\A{NOT_WHITE_SPACE}+", 0))
+    first = F.upper(F.regexp_extract(body, FIRST_TOKEN_PATTERN, 0))
     return (
         F.when(body == "", F.lit("empty SQL"))
         .when(rest != "", F.lit("multi-statement queries not allowed"))

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from evalspark.constants import AGENT_LABEL, GOLDEN_LABEL, MAX_RESULT_ROWS, SAMPLE_ROWS
 from evalspark.functions.compare import cells_identical, cells_match, nan_to_null
-from evalspark.functions.encode import encoded_identical, encoded_match
+from evalspark.functions.encode import encode_rows, encoded_identical, encoded_match
 from evalspark.functions.text import name_list
 from evalspark.operators.ordering import align_sorted, null_safe_join
+from evalspark.session import durable
 
 GOLDEN, AGENT = "golden", "agent"
 CELLS = "cells"
@@ -96,21 +97,54 @@ def layout_diff(layouts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def aligned_rows(rows: DataFrame, keys: list[str], values: list[str], row_cap: int = MAX_RESULT_ROWS) -> DataFrame:
+def tally_rows(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Every distinct row once with its count on either side.
+
+    Copies combine before the shuffle and the shuffle is on the whole row, so
+    neither a large result nor a frequent row loads one task.
+    """
+    return _normalised(rows, values).groupBy(*keys, *values).agg(
+        F.count_if(F.col("side") == GOLDEN).alias("n_golden"),
+        F.count_if(F.col("side") == AGENT).alias("n_agent"),
+    )
+
+
+def case_totals(tally: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Row counts per result, whether the sides hold exactly the same rows
+    (``even``), and how many golden rows have a missing cell."""
+    missing = reduce(lambda a, b: a | b, [_has_missing(v) for v in values], F.lit(False))
+    return tally.groupBy(*keys).agg(
+        F.sum("n_golden").alias("n_golden"), F.sum("n_agent").alias("n_agent"),
+        F.bool_and(F.col("n_golden") == F.col("n_agent")).alias("even"),
+        F.sum(F.when(missing, F.col("n_golden")).otherwise(0)).alias("_with_missing"),
+    )
+
+
+def _has_missing(value: str) -> Column:
+    if value == CELLS:
+        return F.exists(F.col(CELLS), lambda cell: cell["missing"] == 1)
+    return F.col(value).isNull()
+
+
+def rank_rows(tally: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Both sides of every result by rank: ``(keys, pos, g, a)``, a side may be null.
 
-    One shuffle on ``keys`` serves the ranking and the pairing. Results over the
-    cap are taken out first, so that no task holds more than ``2 * row_cap`` rows
-    of one result.
+    One shuffle on ``keys`` serves the ranking and the pairing. Only for results
+    within the row cap, which bounds what one task holds of a result.
     """
-    sizes = result_sizes(rows, keys)
-    over = sizes.filter(F.greatest("n_golden", "n_agent") > row_cap).select(*keys)
-    kept = null_safe_join(_normalised(rows, values), over, keys, "left_anti")
+    sides = F.array(
+        F.struct(F.lit(GOLDEN).alias("side"), F.col("n_golden").alias("_n")),
+        F.struct(F.lit(AGENT).alias("side"), F.col("n_agent").alias("_n")),
+    )
+    copies = (
+        tally.select(*keys, *values, F.inline(sides)).filter(F.col("_n") > 0)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("_n", "_copy")
+    )
     order = [F.col(v).asc_nulls_last() for v in values]
     rank = F.row_number().over(Window.partitionBy(*keys, "side").orderBy(*order))
     payload = F.struct(*values)
     return (
-        kept.repartition(*keys)
+        copies.repartition(*keys)
         .withColumn("pos", rank.cast("bigint"))
         .groupBy(*keys, "pos")
         .agg(
@@ -120,6 +154,14 @@ def aligned_rows(rows: DataFrame, keys: list[str], values: list[str], row_cap: i
     )
 
 
+def aligned_rows(rows: DataFrame, keys: list[str], values: list[str], row_cap: int = MAX_RESULT_ROWS) -> DataFrame:
+    """Ranked rows of every result within the cap."""
+    tally = tally_rows(rows, keys, values)
+    totals = case_totals(tally, keys, values)
+    over = totals.filter(F.greatest("n_golden", "n_agent") > row_cap).select(*keys)
+    return rank_rows(null_safe_join(tally, over, keys, "left_anti"), keys, values)
+
+
 def judged_rows(aligned: DataFrame, values: list[str]) -> DataFrame:
     """Add ``ok`` (tolerant) and ``same`` (exact) to aligned rows."""
     ok, same = _row_match(aligned.schema["g"].dataType, aligned.schema["a"].dataType, values)
@@ -137,54 +179,55 @@ def diff_batch(
 ) -> DataFrame:
     """Compare every result in one plan, one output row per result.
 
-    ``layouts`` lists the columns of either side and keeps results without rows.
-    A result over ``row_cap`` is refused like any query over the cap; with
-    ``oversize="align"`` it is compared through the range-ordered path instead.
+    The exact comparison comes first and needs no order: results whose sides hold
+    the same rows are settled by counting. Only results with equal row counts and
+    different rows are sorted and compared with tolerance. ``layouts`` lists the
+    columns of either side and keeps results without rows. A result over
+    ``row_cap`` is refused like any query over the cap; with ``oversize="align"``
+    it is compared through the range-ordered path instead.
     """
     values = values or [c for c in rows.columns if c not in (*keys, "side")]
-    sizes = result_sizes(rows, keys)
-    aligned = judged_rows(aligned_rows(rows, keys, values, row_cap), values)
-    counts = aligned.groupBy(*keys).agg(
-        F.count_if(~F.col("ok")).alias("_apart"), F.count_if(~F.col("same")).alias("mismatched_rows")
+    tally = tally_rows(rows, keys, values)
+    totals = case_totals(tally, keys, values)
+    if oversize == "align":
+        totals = durable(totals)
+    contested = totals.filter(~F.col("even") & (F.col("n_golden") == F.col("n_agent")))
+    small = contested.filter(F.col("n_golden") <= row_cap).select(*keys)
+    judged = judged_rows(rank_rows(null_safe_join(tally, small, keys, "left_semi"), keys, values), values)
+    counts = judged.groupBy(*keys).agg(
+        F.count_if(~F.col("ok")).alias("_apart"), F.count_if(~F.col("same")).alias("_unequal")
     )
     if oversize == "align":
-        counts = counts.unionByName(_oversize_counts(rows, sizes, keys, values, row_cap))
-    cases = sizes
+        large = contested.filter(F.col("n_golden") > row_cap).select(*keys)
+        if not large.isEmpty():
+            counts = counts.unionByName(_large_counts(null_safe_join(tally, large, keys, "left_semi"), keys, values))
     if layouts is None:
-        cases = cases.withColumns({
-            "columns_match": F.lit(True), "only_golden": F.array().cast("array<string>"),
-            "only_agent": F.array().cast("array<string>"), "golden_cols": F.array().cast("array<string>"),
-            "agent_cols": F.array().cast("array<string>"),
+        none = F.array().cast("array<string>")
+        cases = totals.withColumns({
+            "columns_match": F.lit(True), "golden_cols": none, "agent_cols": none, "only_golden": none,
+            "only_agent": none,
         })
     else:
-        cases = null_safe_join(layout_diff(layouts, keys), sizes, keys, "left")
+        cases = null_safe_join(layout_diff(layouts, keys), totals, keys, "left")
+    zero = F.lit(0).cast("bigint")
     merged = null_safe_join(cases, counts, keys, "left").withColumns({
-        "n_golden": F.coalesce("n_golden", F.lit(0)), "n_agent": F.coalesce("n_agent", F.lit(0)),
-        "mismatched_rows": F.coalesce("mismatched_rows", F.lit(0)), "_apart": F.coalesce("_apart", F.lit(0)),
+        "n_golden": F.coalesce("n_golden", zero), "n_agent": F.coalesce("n_agent", zero),
+        "_apart": F.coalesce("_apart", zero),
+        "mismatched_rows": F.coalesce("_unequal", "_with_missing", zero),
     })
     return describe(merged, keys, row_cap if oversize == "refuse" else None)
 
 
-def _oversize_counts(
-    rows: DataFrame, sizes: DataFrame, keys: list[str], values: list[str], row_cap: int
-) -> DataFrame:
+def _large_counts(tally: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Mismatch counts of results over the cap, whose sides have equal row counts.
 
     With equal counts in every result, equal positions in the two sorted tables
     belong to the same result and the same rank, so no rank per result is needed.
     """
-    large = sizes.filter((F.col("n_golden") > row_cap) & (F.col("n_golden") == F.col("n_agent"))).select(*keys)
-    if large.isEmpty():
-        return sizes.limit(0).select(*keys, F.lit(0).cast("bigint").alias("_apart"), F.lit(0).cast("bigint").alias("mismatched_rows"))
-    kept = null_safe_join(_normalised(rows, values), large, keys, "left_semi")
-    order = [*keys, *values]
-    segments = align_sorted(
-        kept.filter(F.col("side") == GOLDEN), kept.filter(F.col("side") == AGENT), order
-    )
-    judged = judged_rows(segments, values).select(*[F.col(f"g.{k}").alias(k) for k in keys], "length", "ok", "same")
-    return judged.groupBy(*keys).agg(
+    judged = judged_rows(align_sorted(tally, [*keys, *values]), values)
+    return judged.select(*[F.col(f"g.{k}").alias(k) for k in keys], "length", "ok", "same").groupBy(*keys).agg(
         F.sum(F.when(F.col("ok"), 0).otherwise(F.col("length"))).alias("_apart"),
-        F.sum(F.when(F.col("same"), 0).otherwise(F.col("length"))).alias("mismatched_rows"),
+        F.sum(F.when(F.col("same"), 0).otherwise(F.col("length"))).alias("_unequal"),
     )
 
 
@@ -304,7 +347,6 @@ def multiset_match(golden: DataFrame, agent: DataFrame, keys: list[str], exact:
 
 def diff_frames(golden: DataFrame, agent: DataFrame) -> DataFrame:
     """Pair mode: one row describing how two tables of any size differ."""
-    spark = golden.sparkSession
     for frame in (golden, agent):
         if len(set(frame.columns)) != len(frame.columns):
             raise ValueError(f"duplicate column names: {frame.columns}")
@@ -313,28 +355,31 @@ def diff_frames(golden: DataFrame, agent: DataFrame) -> DataFrame:
     only_agent = [c for c in agent.columns if c not in golden.columns]
     same_columns = golden.columns == agent.columns
     n_golden, n_agent = golden.count(), agent.count()
-    one = spark.range(1).select(
+    apart = mismatched = 0
+    if same_columns and n_golden == n_agent and n_golden and golden.columns:
+        counted = pair_segments(golden, agent).agg(
+            F.sum(F.when(F.col("ok"), 0).otherwise(F.col("length"))).alias("apart"),
+            F.sum(F.when(F.col("same"), 0).otherwise(F.col("length"))).alias("mismatched"),
+        ).first()  # two numbers
+        apart, mismatched = counted["apart"], counted["mismatched"]
+    number = lambda n: F.lit(n).cast("bigint")
+    one = golden.sparkSession.range(1).select(
         F.lit(same_columns).alias("columns_match"), names(golden.columns).alias("golden_cols"),
         names(agent.columns).alias("agent_cols"), names(only_golden).alias("only_golden"),
-        names(only_agent).alias("only_agent"), F.lit(n_golden).cast("bigint").alias("n_golden"),
-        F.lit(n_agent).cast("bigint").alias("n_agent"),
-    )
-    if same_columns and n_golden == n_agent and n_golden and golden.columns:
-        judged = pair_segments(golden, agent)
-        totals = judged.agg(
-            F.sum(F.when(F.col("ok"), 0).otherwise(F.col("length"))).alias("_apart"),
-            F.sum(F.when(F.col("same"), 0).otherwise(F.col("length"))).alias("mismatched_rows"),
-        )
-        counted = totals.first()  # two numbers
-        apart, mismatched = counted["_apart"], counted["mismatched_rows"]
-    else:
-        apart = mismatched = 0
-    return describe(
-        one.withColumns({"_apart": F.lit(apart).cast("bigint"), "mismatched_rows": F.lit(mismatched).cast("bigint")}), []
+        names(only_agent).alias("only_agent"), number(n_golden).alias("n_golden"), number(n_agent).alias("n_agent"),
+        number(apart).alias("_apart"), number(mismatched).alias("mismatched_rows"),
     )
+    return describe(one, [])
 
 
 def pair_segments(golden: DataFrame, agent: DataFrame) -> DataFrame:
-    """Aligned segments of two equally long tables with ``ok`` and ``same``."""
+    """Aligned segments of two equally long tables with ``ok`` and ``same``.
+
+    Columns of one type on both sides are compared as they are; where a type
+    differs, the rows are encoded, which keeps numbers apart from text.
+    """
     values = golden.columns
-    return judged_rows(align_sorted(_normalised(golden, values), _normalised(agent, values), values), values)
+    if [f.dataType for f in golden.schema.fields] != [f.dataType for f in agent.schema.fields]:
+        golden, agent, values = encode_rows(golden), encode_rows(agent), [CELLS]
+    tally = tally_rows(both_sides(golden, agent), [], values)
+    return judged_rows(align_sorted(tally, values), values)

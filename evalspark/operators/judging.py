@@ -112,12 +112,12 @@ def _to_bit(text: Column) -> Column:
 
 def judge_verdicts(answers: DataFrame, raw: str) -> DataFrame:
     """Typed verdicts. A bad answer keeps its row with ``error`` set and no scores."""
-    fields = ", ".join(f"{name} string" for name in (*DIMENSIONS, "failure_category", "reasoning", "_corrupt"))
-    parsed = F.from_json(extract_json(F.col(raw)), F.lit(f"struct<{fields.replace(' string', ':string')}>"),
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    read = answers.withColumn("_v", parsed)
+    fields = ",".join(f"{name}:string" for name in (*DIMENSIONS, "failure_category", "reasoning", "_corrupt"))
+    parsed = F.from_json("_json", F.lit(f"struct<{fields}>"), {"columnNameOfCorruptRecord": "_corrupt"})
+    # as a generated row the answer is parsed once, not once per field
+    read = answers.withColumn("_json", extract_json(F.col(raw))).withColumn("_v", F.explode(F.array(parsed)))
     bits = {d: _to_bit(F.col(f"_v.{d}")) for d in DIMENSIONS}
-    error = F.when(F.col("_v").isNull() | F.col("_v._corrupt").isNotNull(), F.lit("no JSON object"))
+    error = F.when(F.col("_json").isNull() | F.col("_v._corrupt").isNotNull(), F.lit("no JSON object"))
     for d in DIMENSIONS:
         error = error.when(bits[d].isNull(), F.lit(f"missing {d}"))
     category = F.col("_v.failure_category")
@@ -129,7 +129,7 @@ def judge_verdicts(answers: DataFrame, raw: str) -> DataFrame:
             "failure_category": F.when(good & category.isin(*FAILURE_CATEGORIES), category),
             "reasoning": F.when(good, F.coalesce("_v.reasoning", F.lit(""))),
         })
-        .drop("_v")
+        .drop("_v", "_json")
     )
 
 

@@ -116,9 +116,7 @@ def recent_runs(ledger: DataFrame, top: int = RECENT_RUNS) -> DataFrame:
 def changed_components(ledger: DataFrame) -> DataFrame:
     """Per run, which inputs differ from the same agent's run before it."""
     carried = ["run_id", *COMPONENTS]
-    looked = previous_row(
-        ledger, ["agent_name"], ["finished_at", "run_id"], F.date_trunc("day", "finished_at"), carried
-    )
+    looked = previous_row(ledger, ["agent_name"], ["finished_at", "run_id"], carried)
     changed = F.array_compact(F.array(*[
         F.when(F.col(c) != F.col(f"prev_{c}"), F.lit(c)) for c in COMPONENTS
     ]))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from evalspark.session import durable
 
@@ -24,101 +24,96 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def ordered_runs(frame: DataFrame, order: list[str]) -> DataFrame:
-    """Distinct rows with the span ``[start, stop)`` they fill in the sorted table.
+def _ranged(frame: DataFrame, sort: list[Column]) -> DataFrame:
+    """Range-partition and write out once, with the partition number as ``_part``.
 
-    Copies collapse to a count before any row is shuffled, so a value that makes
-    up a third of the table is one row here. The range partitioning is written
-    out once because its sampled bounds are not stable between evaluations. Only
-    one number per partition visits the driver.
+    The sampled bounds are not stable between evaluations, so everything that
+    depends on them has to read the written form.
     """
-    spark = frame.sparkSession
-    sort = [F.col(c).asc_nulls_last() for c in order]
-    runs = frame.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = durable(
-        runs.repartitionByRange(*sort).withColumn("_part", F.spark_partition_id())
-    )
-    totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect()
-    offsets, before = [], 0
-    for row in totals:
-        offsets.append((row["_part"], before))
-        before += row["_n"]
-    offset_table = spark.createDataFrame(offsets, "_part int, _before bigint")
-    within = Window.partitionBy("_part").orderBy(*sort)
-    return (
-        ranged.withColumn("_upto", F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(offset_table), "_part")  # one row per range partition
-        .select(
-            *order,
-            (F.col("_before") + F.col("_upto") - F.col("_n")).alias("start"),
-            (F.col("_before") + F.col("_upto")).alias("stop"),
-        )
-    )
+    return durable(frame.repartitionByRange(*sort).withColumn("_part", F.spark_partition_id()))
 
 
-def align_sorted(golden: DataFrame, agent: DataFrame, order: list[str], block: int = BLOCK) -> DataFrame:
-    """Line up two tables by their position in the same total order.
+def _running(ranged: DataFrame, sort: list[Column], counts: list[str]) -> DataFrame:
+    """Add ``<count>_stop``: the running total of every count over the whole order.
 
-    Returns segments ``(start, length, g, a)`` in which ``length`` positions hold
-    golden row ``g`` and agent row ``a``. Both tables need the same row count
-    (and, when the order leads with group keys, the same count in every group).
-    Spans are cut at multiples of ``block``, so a window never sees more than
-    ``block`` spans of either side.
+    A window runs inside each range partition; only one number per partition and
+    count visits the driver.
     """
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(c) for c in counts]).orderBy("_part").collect()
+    before, offsets = dict.fromkeys(counts, 0), []
+    for row in totals:
+        offsets.append((row["_part"], *before.values()))
+        before = {c: before[c] + row[c] for c in counts}
+    schema = "_part int" + "".join(f", _before_{c} bigint" for c in counts)
+    offset_table = ranged.sparkSession.createDataFrame(offsets, schema)
+    upto = Window.partitionBy("_part").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumns({f"_upto_{c}": F.sum(c).over(upto) for c in counts})
+    placed = summed.join(F.broadcast(offset_table), "_part")  # one row per range partition
+    return placed.withColumns({f"{c}_stop": F.col(f"_before_{c}") + F.col(f"_upto_{c}") for c in counts})
+
 
-    def payload_type(frame: DataFrame):
-        return frame.select(F.struct(*order).alias("s")).schema["s"].dataType
+def align_sorted(tally: DataFrame, order: list[str], block: int = BLOCK) -> DataFrame:
+    """Line up the two sides of ``tally`` by position in their common order.
 
-    def pieces(frame: DataFrame, name: str) -> DataFrame:
-        runs = ordered_runs(frame, order)
-        first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
-        payload = {"g": F.lit(None).cast(payload_type(golden)), "a": F.lit(None).cast(payload_type(agent))}
-        payload[name] = F.struct(*order)
-        return runs.withColumn("_block", F.explode(F.sequence(first, last))).select(
-            "_block",
+    ``tally`` has every distinct row once with its counts ``n_golden`` and
+    ``n_agent``, so a value that makes up a third of the table is one row here.
+    Returns segments ``(start, length, g, a)`` in which ``length`` positions hold
+    golden row ``g`` and agent row ``a``. Both sides need the same total (and,
+    when the order leads with group keys, the same in every group). Spans are
+    cut at multiples of ``block``, so a window never sees more than ``block``
+    spans of either side.
+    """
+    sort = [F.col(c).asc_nulls_last() for c in order]
+    placed = _running(_ranged(tally, sort), sort, ["n_golden", "n_agent"])
+    row = F.struct(*order)
+    spans = F.array(
+        F.struct((F.col("n_golden_stop") - F.col("n_golden")).alias("start"), F.col("n_golden_stop").alias("stop"),
+                 row.alias("g"), F.when(F.lit(False), row).alias("a")),
+        F.struct((F.col("n_agent_stop") - F.col("n_agent")).alias("start"), F.col("n_agent_stop").alias("stop"),
+                 F.when(F.lit(False), row).alias("g"), row.alias("a")),
+    )
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
+    pieces = (
+        placed.select(F.inline(spans))
+        .filter(F.col("stop") > F.col("start"))
+        .withColumn("_block", F.explode(F.sequence(first, last)))
+        .select(
+            "_block", "g", "a",
             F.greatest("start", F.col("_block") * block).alias("_from"),
             F.least("stop", (F.col("_block") + 1) * block).alias("_to"),
-            *[column.alias(side) for side, column in payload.items()],
         )
-
-    spans = pieces(golden, "g").union(pieces(agent, "a"))
+    )
     by_position = Window.partitionBy("_block").orderBy("_from")
-    filled = spans.select(
-        "_block",
+    filled = pieces.select(
         "_from",
         F.coalesce(F.lead("_from").over(by_position), F.col("_to")).alias("_until"),
         F.last("g", ignorenulls=True).over(by_position).alias("g"),
         F.last("a", ignorenulls=True).over(by_position).alias("a"),
     )
     return filled.filter(F.col("_until") > F.col("_from")).select(
-        F.col("_from").alias("start"),
-        (F.col("_until") - F.col("_from")).alias("length"),
-        "g",
-        "a",
+        F.col("_from").alias("start"), (F.col("_until") - F.col("_from")).alias("length"), "g", "a"
     )
 
 
-def previous_row(
-    frame: DataFrame, keys: list[str], order: list[str], bucket: Column, carry: list[str]
-) -> DataFrame:
-    """Add ``prev_<c>`` for every carried column: its value in the row before.
+def previous_row(frame: DataFrame, keys: list[str], order: list[str], carry: list[str]) -> DataFrame:
+    """Add ``prev_<c>`` for every carried column: its value in the key's row before.
 
-    ``bucket`` must grow with ``order`` (a day of a timestamp, say). Rows look
-    back inside their bucket; the first row of a bucket takes the last row of the
-    latest earlier bucket, found over one summary row per bucket. So a key with
-    very many rows is spread over its buckets.
+    The table is cut into ranges of (keys, order), so a key with very many rows
+    is spread over several. Rows look back inside their range; the first row of a
+    range takes the last row of the range before, one row per range.
     """
-    keyed = frame.withColumn("_bucket", bucket)
-    row = F.struct(*order, *[c for c in carry if c not in order])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    over_buckets = Window.partitionBy(*keys).orderBy("_bucket")
-    last_rows = (
-        keyed.groupBy(*keys, "_bucket")
-        .agg(F.max(row).alias("_last"))
-        .select(*keys, "_bucket", F.lag("_last").over(over_buckets).alias("_handed"))
-    )
-    looked = null_safe_join(
-        keyed.withColumn("_prev", F.lag(row).over(inside)), last_rows, [*keys, "_bucket"], "left"
+    spark = frame.sparkSession
+    sort = [F.col(c) for c in (*keys, *order)]
+    ranged = _ranged(frame, sort)
+    row = F.struct(*keys, *order, *[c for c in carry if c not in (*keys, *order)])
+    row_type = ranged.select(row.alias("r")).schema["r"].dataType
+    lasts = ranged.groupBy("_part").agg(F.max(row).alias("_last")).orderBy("_part").collect()
+    handed = [(after["_part"], before["_last"]) for before, after in zip(lasts, lasts[1:])]
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_handed", row_type)])
+    inside = Window.partitionBy("_part").orderBy(*sort)
+    looked = ranged.withColumn("_prev", F.lag(row).over(inside)).join(
+        F.broadcast(spark.createDataFrame(handed, schema)), "_part", "left"  # one row per range partition
     )
     prev = F.coalesce("_prev", "_handed")
-    return looked.select(*frame.columns, *[prev[c].alias(f"prev_{c}") for c in carry])
+    same_key = reduce(lambda a, b: a & b, [prev[k].eqNullSafe(F.col(k)) for k in keys])
+    return looked.select(*frame.columns, *[F.when(same_key, prev[c]).alias(f"prev_{c}") for c in carry])

@@ -15,12 +15,12 @@ ORDER = ["section", "pos", "line_no"]
 
 
 def _explode(frame: DataFrame, keys: list[str], section: int, pos: Column, lines: list[Column]) -> DataFrame:
-    """One output row per non-null line; text with line breaks gives several."""
-    split = F.flatten(F.transform(F.array_compact(F.array(*lines)), lambda x: F.split(x, "\n")))
-    return frame.select(
+    """One output row per line that is not null; ``line_no`` orders them and may skip."""
+    placed = frame.select(
         *keys, F.lit(section).cast("bigint").alias("section"), pos.cast("bigint").alias("pos"),
-        F.posexplode(split).alias("line_no", "line"),
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+        F.posexplode(F.array(*lines)).alias("line_no", "line"),
+    )
+    return placed.filter(F.col("line").isNotNull()).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def header_lines(cards: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from evalspark.constants import GOLDEN_OPTIONAL, GOLDEN_REQUIRED, SUBMISSION_REQUIRED
 
-MAX_COLUMNS = 64
+MAX_COLUMNS = 32
 CSV_OPTIONS = {
     "header": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
@@ -38,46 +38,45 @@ def read_named_csv(
     required: tuple[str, ...],
     optional: tuple[str, ...] = (),
     partitions: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, headers) of CSV files with named columns.
+) -> DataFrame:
+    """Rows of CSV files with named columns, as text, with their ``path``.
 
-    ``rows`` has the required and optional columns as text (null where the file
-    has no such column) and ``path``. ``headers`` has one row per file with the
-    array ``missing`` of required columns it lacks; such files give no rows.
+    A column is null where the file does not have it. A file that lacks a
+    required column, or has no header, fails the query that reads it.
     """
     partitions = partitions or []
     raw = _raw_cells(spark, paths, partitions)
     wanted = F.array(*[F.lit(c) for c in required])
-    found = raw.filter(F.array_contains("cells", required[0])).select(
-        "path", F.col("cells").alias("names"), F.array_except(wanted, "cells").alias("missing")
+    lacking = F.array_except(wanted, "cells")
+    # the header is the row that misses the fewest required names
+    candidate = F.when(
+        F.size(lacking) < len(required), F.struct(F.size(lacking).alias("n"), lacking.alias("missing"), "cells")
     )
-    # the best candidate per file is its header: fewest required columns missing
-    headers = raw.select("path").distinct().join(
-        found.groupBy("path").agg(F.min(F.struct(F.size("missing").alias("n"), "missing", "names")).alias("h")), "path", "left"
-    ).select("path", F.coalesce("h.missing", wanted).alias("missing"), "h.names")
-    usable = headers.filter(F.size("missing") == 0)
-    body = raw.join(usable.select("path", "names"), "path").filter(~F.col("cells").eqNullSafe(F.col("names")))
+    headers = raw.groupBy("path").agg(F.min(candidate).alias("_h")).select(
+        "path", F.coalesce("_h.missing", wanted).alias("missing"), F.col("_h.cells").alias("names")
+    )
+    problem = F.concat("path", F.lit(": missing required columns ["), F.array_join("missing", ", "), F.lit("]"))
+    checked = headers.select(
+        "path", F.when(F.size("missing") > 0, F.raise_error(problem).cast("array<string>")).otherwise(F.col("names")).alias("names")
+    )
+    body = raw.join(checked, "path").filter(~F.col("cells").eqNullSafe(F.col("names")))
 
     def cell(name: str) -> Column:
         at = F.array_position("names", name)
         return F.when(at > 0, F.try_element_at("cells", at.cast("int"))).alias(name)
 
-    rows = body.select(*[cell(c) for c in (*required, *optional)], "path", *partitions)
-    return rows, headers.select("path", "missing")
+    return body.select(*[cell(c) for c in (*required, *optional)], "path", *partitions)
 
 
-def require_columns(headers: DataFrame) -> None:
-    """Raise on files that lack required columns (or have no header at all)."""
-    bad = headers.filter(F.size("missing") > 0).orderBy("path").limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r['path']}: missing required columns {r['missing']}" for r in bad))
+def empty_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Files without any content (and so without a header), from the listing alone."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths)
+    return listed.filter(F.col("length") == 0).select("path")
 
 
 def read_golden(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Golden corpus as text columns, one row per case, drafts included."""
-    rows, headers = read_named_csv(spark, paths, GOLDEN_REQUIRED, GOLDEN_OPTIONAL)
-    require_columns(headers)
-    return rows
+    return read_named_csv(spark, paths, GOLDEN_REQUIRED, GOLDEN_OPTIONAL)
 
 
 def agent_from_path(path: Column) -> Column:
@@ -89,8 +88,7 @@ def agent_from_path(path: Column) -> Column:
 def read_submissions(spark: SparkSession, paths: str | list[str], agent_partition: str | None = None) -> DataFrame:
     """Submissions of many agents. The agent is a partition folder or the file name."""
     partitions = [agent_partition] if agent_partition else []
-    rows, headers = read_named_csv(spark, paths, SUBMISSION_REQUIRED, partitions=partitions)
-    require_columns(headers)
+    rows = read_named_csv(spark, paths, SUBMISSION_REQUIRED, partitions=partitions)
     agent = F.col(agent_partition).cast("string") if agent_partition else agent_from_path(F.col("path"))
     return rows.select(agent.alias("agent_name"), *SUBMISSION_REQUIRED, "path")
 
