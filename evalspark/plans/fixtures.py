@@ -164,13 +164,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived view as a DataFrame."""
-    if name in TABLES:
-        return table(spark, sf_dir, name)
-    text = VIEWS[name]
-    inputs = {ref: view(spark, sf_dir, ref) for ref in set(_REFERENCE.findall(text))}
-    return spark.sql(_spark_dialect(text), **inputs)
+def view(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A given table or a derived view as a DataFrame; ``known`` keeps those built before."""
+    known = {} if known is None else known
+    if name not in known:
+        if name in TABLES:
+            known[name] = table(spark, sf_dir, name)
+        else:
+            text = VIEWS[name]
+            inputs = {ref: view(spark, sf_dir, ref, known) for ref in set(_REFERENCE.findall(text))}
+            known[name] = spark.sql(_spark_dialect(text), **inputs)
+    return known[name]
 
 
 def with_views(sql: str) -> str:
