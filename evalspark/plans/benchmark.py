@@ -13,6 +13,7 @@ from evalspark.session import scratch_path
 from evalspark.sources.sql_runner import RESULT_SCHEMA, QueryRefused, store_result
 
 CASE_KEYS = ["agent_name", "case_id"]
+SHARED = "_golden"  # stands for the agent where a result belongs to all of them
 STATS_SCHEMA = (
     "agent_name string, case_id string, side string, cols array<string>, bytes bigint, duration_ms double, "
     "n_rows bigint, error string"
@@ -63,7 +64,7 @@ def execute_pairs(spark: SparkSession, pairs: DataFrame, row_cap: int = MAX_RESU
 
     runnable = set()
     for row in pairs.select("case_id", "golden_sql").distinct().toLocalIterator():
-        if run(diff.GOLDEN, "", row["case_id"], row["golden_sql"]):
+        if run(diff.GOLDEN, SHARED, row["case_id"], row["golden_sql"]):
             runnable.add(row["case_id"])
     for row in pairs.select("agent_name", "case_id", "agent_sql").toLocalIterator():
         if row["case_id"] in runnable:  # a failed golden query ends the case

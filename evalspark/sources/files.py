@@ -2,7 +2,8 @@
 
 The files have quoted fields that span lines, so a file is one read task and the
 parallelism is over files. Columns are found by name in every file, so files of
-one folder may order them differently and carry extra ones.
+one folder may order them differently and carry extra ones. Line breaks inside a
+field are read as ``\\n``, whatever the file uses.
 """
 
 from __future__ import annotations
@@ -70,8 +71,11 @@ def read_named_csv(
 
 def empty_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files without any content (and so without a header), from the listing alone."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths)
-    return listed.filter(F.col("length") == 0).select("path")
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths)
+    plain = F.regexp_replace("path", "^file:/+", "file:/").alias("path")
+    listed = spark.createDataFrame([(path,) for path in listing.inputFiles()], "path string").select(plain)
+    filled = listing.select("path", "length").filter(F.col("length") > 0).select(plain)  # skips empty files itself
+    return listed.join(filled, "path", "left_anti")
 
 
 def read_golden(spark: SparkSession, paths: str | list[str]) -> DataFrame:
