@@ -131,7 +131,7 @@ def diff_mismatch_count(t):
 
 @query("diff_sample", f"""
 WITH differing AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS nth
-  FROM ({MARKED}) WHERE has_g AND has_a AND NOT same QUALIFY nth <= 5)
+  FROM ({MARKED}) JOIN ({COUNTS}) USING (case_id) WHERE n_golden = n_agent AND NOT same QUALIFY nth <= 5)
 SELECT case_id, pos, 'l_returnflag' AS "column", g_flag AS golden_value, a_flag AS agent_value
 FROM differing WHERE g_flag <> a_flag
 UNION ALL SELECT case_id, pos, 'l_linestatus', g_status, a_status FROM differing WHERE g_status <> a_status

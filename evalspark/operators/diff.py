@@ -120,6 +120,11 @@ def case_totals(tally: DataFrame, keys: list[str], values: list[str]) -> DataFra
     )
 
 
+def _contested(totals: DataFrame) -> DataFrame:
+    """Results whose sides have equally many but not the same rows."""
+    return totals.filter(~F.col("even") & (F.col("n_golden") == F.col("n_agent")))
+
+
 def _has_missing(value: str) -> Column:
     if value == CELLS:
         return F.exists(F.col(CELLS), lambda cell: cell["missing"] == 1)
@@ -191,7 +196,7 @@ def diff_batch(
     totals = case_totals(tally, keys, values)
     if oversize == "align":
         totals = durable(totals)
-    contested = totals.filter(~F.col("even") & (F.col("n_golden") == F.col("n_agent")))
+    contested = _contested(totals)
     small = contested.filter(F.col("n_golden") <= row_cap).select(*keys)
     judged = judged_rows(rank_rows(null_safe_join(tally, small, keys, "left_semi"), keys, values), values)
     counts = judged.groupBy(*keys).agg(
@@ -304,7 +309,12 @@ def sub_signals(diffs: DataFrame, keys: list[str]) -> DataFrame:
 def diff_sample(
     rows: DataFrame, keys: list[str], values: list[str], row_cap: int = MAX_RESULT_ROWS, size: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """The first differing rows of every result, one output row per differing cell."""
+    """The first differing rows of every result, one output row per differing cell.
+
+    As with the value comparison, only results with equal row counts are sampled.
+    """
+    tally = tally_rows(rows, keys, values)
+    contested = _contested(case_totals(tally, keys, values)).filter(F.col("n_golden") <= row_cap).select(*keys)
     types = {f.name: f.dataType for f in rows.schema.fields}
     cells = F.array(*[
         F.when(
@@ -318,8 +328,8 @@ def diff_sample(
         )
         for v in values
     ])
-    paired = aligned_rows(rows, keys, values, row_cap).filter(F.col("g").isNotNull() & F.col("a").isNotNull())
-    differing = paired.withColumn("_cells", F.array_compact(cells)).filter(F.size("_cells") > 0)
+    aligned = rank_rows(null_safe_join(tally, contested, keys, "left_semi"), keys, values)
+    differing = aligned.withColumn("_cells", F.array_compact(cells)).filter(F.size("_cells") > 0)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     return differing.withColumn("_nth", nth).filter(F.col("_nth") <= size).select(*keys, "pos", F.inline("_cells"))
 

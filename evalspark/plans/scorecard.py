@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark.constants import (
-    BAR_WIDTH, CALIBRATION_SLUGS, CALIBRATION_THRESHOLD, DIMENSIONS, HEADLINE_THRESHOLD,
+    BAR_WIDTH, CALIBRATION_SLUGS, CALIBRATION_THRESHOLD, DIMENSIONS, GOLDEN_LABEL, HEADLINE_THRESHOLD,
     MIN_CASES_PER_AGGREGATE, TOP_FAILURE_CATEGORIES, TRUST_CRITICAL_SLUGS, TRUST_CRITICAL_THRESHOLD,
 )
 from evalspark.functions.quantile import unit_median
@@ -132,7 +132,7 @@ def scorecard(
     """
     keys = keys or ["agent_name"]
     if exclude_golden_errors:
-        cases = cases.filter(~F.coalesce(F.startswith("error", F.lit("peak_sql:")), F.lit(False)))
+        cases = cases.filter(~F.coalesce(F.startswith("error", F.lit(f"{GOLDEN_LABEL}_sql:")), F.lit(False)))
     members = _members()
     sums = []
     for name, (belongs, passes) in members.items():
