@@ -51,7 +51,7 @@ def case_with_category(t):
 @query("bytes_guard", """
 SELECT agent_name, case_id, agent_bytes * 1000 AS estimated_bytes,
   CASE WHEN agent_bytes * 1000 > 1073741824
-    THEN concat('would scan ', CAST(round_even(agent_bytes * 1000 / 1e9, 2)::DECIMAL(18,2) AS STRING),
+    THEN concat('would scan ', format('{:.2f}', agent_bytes * 1000 / 1e9),
                 ' GB — exceeds 1 GB ceiling') END AS reason
 FROM {case_runs}""")
 def bytes_guard(t):

@@ -22,7 +22,7 @@ def json_text(raw: str) -> str:
 @query("judge_usage", """
 SELECT run_id, calls, input_tokens, output_tokens, round(cost, 9) AS cost_usd,
   concat(calls, ' calls, ', format('{:,}', input_tokens), ' in / ', format('{:,}', output_tokens), ' out tokens, ~$',
-    CAST(round_even(cost, 4)::DECIMAL(18,4) AS STRING)) AS usage
+    format('{:.4f}', cost)) AS usage
 FROM (SELECT run_id, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
   CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
   (sum(input_tokens) * 3.0::DOUBLE + sum(output_tokens) * 15.0::DOUBLE) / 1000000 AS cost

@@ -62,7 +62,7 @@ def reported_cases(t):
     })
 
 
-MB = "CAST(round_even({side}_bytes / 1e6, 1)::DECIMAL(18,1) AS STRING)"
+MB = "format('{{:.1f}}', {side}_bytes / 1e6)"
 
 
 def _query_line(side: str, label: str, ms: int, rows: int) -> str:
@@ -93,8 +93,8 @@ HEADER_LINES = f"""[concat('# Benchmark run — ', agent_name), '', concat('- **
   concat('- **', {_line('headline', 'Headline correctness (T1)', '0.90', '90%')}, '**'),
   concat('- **', {_line('trust', 'Trust-critical correctness', '0.85', '85%')}, '**'),
   concat('- **', {_line('calibration', 'Calibration (uncertainty / refusal)', '0.80', '80%')}, '**'),
-  '- **Efficiency ratio (median, on correct):** ' || CAST(round_even(efficiency_median, 2)::DECIMAL(18,2) AS STRING),
-  '- **Reasoning faithfulness (judge avg):** ' || CAST(round_even(faithfulness, 2)::DECIMAL(18,2) AS STRING) || ' / 3',
+  '- **Efficiency ratio (median, on correct):** ' || format('{{:.2f}}', efficiency_median),
+  '- **Reasoning faithfulness (judge avg):** ' || format('{{:.2f}}', faithfulness) || ' / 3',
   '- **Failures concentrated in:** ' || top_failures, '', concat('> ', CASE verdict
     WHEN 'incomplete' THEN concat('VERDICT: incomplete — aggregate(s) below minimum case count (5): ', insufficient,
       '. Corpus is too thin to support a ship/no-ship claim.')

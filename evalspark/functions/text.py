@@ -53,9 +53,26 @@ def signed_percent(rate: Column) -> Column:
     return F.concat(sign, percent(F.abs(rate)))
 
 
-def fixed2(value: Column) -> Column:
-    """Two decimals, half-even, always two digits after the point."""
-    return F.bround(value, 2).cast("decimal(18,2)").cast("string")
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text of a double, rounded from its exact binary value, ties to even.
+
+    The product with the power of ten is itself rounded, which matters only when
+    it lands on a tie. Its rounding error (Dekker's exact product) then says on
+    which side the true value lies.
+    """
+    scale = 10**digits
+    size = F.abs(value.cast("double"))
+    product = size * scale
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    error = (high * scale - product) + (size - high) * scale
+    base = F.floor(product)
+    over = product - base
+    up = (over > 0.5) | ((over == 0.5) & ((error > 0) | ((error == 0) & (base % 2 == 1))))
+    units = base + F.when(up, 1).otherwise(0)
+    text = F.floor(units / scale).cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
 def name_list(names: Column) -> Column:

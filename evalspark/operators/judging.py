@@ -10,7 +10,7 @@ from evalspark.constants import (
     DIMENSIONS, FAILURE_CATEGORIES, MAX_CALLS_PER_RUN, PROMPT_HASH_HEX, RESULT_HEAD_ROWS, USD_PER_MTOK_INPUT,
     USD_PER_MTOK_OUTPUT,
 )
-from evalspark.functions.text import strip
+from evalspark.functions.text import fixed, strip
 from evalspark.operators.ordering import null_safe_join
 
 SLOTS = ("prompt", "golden_sql", "golden_result_csv", "agent_sql", "exec_diff", "agent_answer")
@@ -146,7 +146,7 @@ def judge_usage(log: DataFrame, keys: list[str]) -> DataFrame:
         F.concat(
             F.col("calls").cast("string"), F.lit(" calls, "), F.format_number("input_tokens", 0), F.lit(" in / "),
             F.format_number("output_tokens", 0), F.lit(" out tokens, ~$"),
-            F.bround("cost_usd", 4).cast("decimal(18,4)").cast("string"),
+            fixed(F.col("cost_usd"), 4),
         ),
     )
 

@@ -8,7 +8,7 @@ from evalspark.constants import (
     AGENT_LABEL, CALIBRATION_SLUGS, CATEGORIES, DIMENSIONS, EFFICIENCY_BAND, GOLDEN_LABEL, MAX_BYTES_SCANNED,
     TIERS,
 )
-from evalspark.functions.text import signed_percent
+from evalspark.functions.text import fixed, signed_percent
 
 
 def fixed_table(spark: SparkSession, rows: tuple, names: tuple[str, ...]) -> DataFrame:
@@ -93,7 +93,7 @@ def bytes_guard(cases: DataFrame, estimate: str, ceiling: int = MAX_BYTES_SCANNE
         F.when(
             F.col(estimate) > ceiling,
             F.concat(
-                F.lit("would scan "), F.bround(F.col(estimate) / 1e9, 2).cast("decimal(18,2)").cast("string"),
+                F.lit("would scan "), fixed(F.col(estimate) / 1e9, 2),
                 F.lit(f" GB — exceeds {ceiling / 1e9:.0f} GB ceiling"),
             ),
         ),

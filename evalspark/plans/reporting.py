@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.constants import AGREEMENT_BAR, DIMENSIONS, GOLDEN_LABEL, AGENT_LABEL
-from evalspark.functions.text import fixed2, percent
+from evalspark.functions.text import fixed, percent
 from evalspark.operators import calibration as K
 from evalspark.plans.scorecard import AGGREGATES, aggregate_line, verdict_message
 
@@ -31,8 +31,8 @@ def header_lines(cards: DataFrame, keys: list[str]) -> DataFrame:
         bold("Cases scored", F.col("cases").cast("string")),
         F.lit(""), F.lit("## Trust-weighted scorecard"), F.lit(""),
         *[F.concat(F.lit("- **"), aggregate_line(name), F.lit("**")) for name in AGGREGATES],
-        bold("Efficiency ratio (median, on correct)", fixed2(F.col("efficiency_median"))),
-        bold("Reasoning faithfulness (judge avg)", fixed2(F.col("faithfulness")), " / 3"),
+        bold("Efficiency ratio (median, on correct)", fixed(F.col("efficiency_median"), 2)),
+        bold("Reasoning faithfulness (judge avg)", fixed(F.col("faithfulness"), 2), " / 3"),
         F.when(F.col("top_failures") != "", bold("Failures concentrated in", F.col("top_failures"))),
         F.lit(""),
         F.concat(F.lit("> "), verdict_message()),
@@ -56,9 +56,9 @@ def case_detail_lines(cases: DataFrame, keys: list[str]) -> DataFrame:
         return [F.when(condition, line) for line in lines]
 
     def query_line(side: str, label: str) -> Column:
-        megabytes = F.bround(F.col(f"{side}_bytes") / 1e6, 1).cast("decimal(18,1)").cast("string")
+        megabytes = fixed(F.col(f"{side}_bytes") / 1e6, 1)
         return F.concat(
-            F.lit(f"**{label} query:** "), F.bround(f"{side}_ms", 0).cast("bigint").cast("string"), F.lit(" ms · "),
+            F.lit(f"**{label} query:** "), fixed(F.col(f"{side}_ms"), 0), F.lit(" ms · "),
             megabytes, F.lit(" MB scanned · "), F.col(f"{side}_rows").cast("string"), F.lit(" rows"),
         )
 
@@ -132,7 +132,7 @@ def calibration_report_lines(cases: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(d) for d in DIMENSIONS]), F.col("dim"))
     dims = _explode(kappas, [], 2, place, [_table_row(
         F.col("dim"), F.concat(F.col("agreed").cast("string"), F.lit("/"), F.col("n").cast("string")),
-        percent(F.col("agreed") / F.col("n")), fixed2(F.col("kappa")), F.col("label"),
+        percent(F.col("agreed") / F.col("n")), fixed(F.col("kappa"), 2), F.col("label"),
     )])
     apart = _explode(K.disagreements(cases), [], 3, F.col("case_id"), [
         _table_row(F.col("case_id"), F.col("dim"), F.col("human"), F.col("judge"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evalspark.constants import GOLDEN_OPTIONAL, GOLDEN_REQUIRED
 from evalspark.functions.text import (
-    parse_flag, parse_list, percent, read_only_reason, signed_percent, strip,
+    fixed, parse_flag, parse_list, percent, read_only_reason, signed_percent, strip,
 )
 from evalspark.operators import corpus as C
 from evalspark.sources import files
@@ -133,6 +133,9 @@ def test_text_functions(spark):
     assert value(parse_flag(F.lit("maybe"))) is None and value(parse_flag(F.lit(None).cast("string"), True)) is True
     assert value(parse_list(F.lit(" a ,, b,"))) == ["a", "b"]
     assert value(percent(F.lit(0.125))) == f"{0.125:.0%}" == "12%"
+    for number in (1.275, 0.39645, 2.675, 0.125, 0.375, 1.005, 12.5, 0.0, 99.995, 1e9 + 0.045, -2.5, -0.004):
+        for digits in (0, 1, 2, 4):
+            assert value(fixed(F.lit(number), digits)) == f"{number:.{digits}f}"
     assert value(signed_percent(F.lit(-0.376))) == f"{-0.376:+.0%}"
 
 
