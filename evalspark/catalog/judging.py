@@ -42,7 +42,7 @@ def judge_budget(t):
 SELECT call_id, {json_text('response')} AS json, CAST(json_extract_string({json_text('response')}, '$.k') AS BIGINT) AS k
 FROM {{judge_log}}""")
 def extract_json(t):
-    found = t.judge_log.select("call_id", J.extract_json(F.col("response")).alias("json"))
+    found = J.extract_json(t.judge_log.select("call_id", "response"), "response", "json").drop("response")
     return found.withColumn("k", F.get_json_object("json", "$.k").cast("bigint"))
 
 

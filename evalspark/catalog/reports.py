@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.catalog import query
+from evalspark.catalog.calibration import AGREED, GATES, LABEL as KAPPA_LABEL, LONG, kappa_check
 from evalspark.catalog.cases import LABEL
 from evalspark.catalog.results import SUMMARY, _diffs
 from evalspark.catalog.scorecards import JUDGED, TOP, _line
@@ -25,7 +26,7 @@ SCORED = f"""SELECT 'agent' AS agent_name, s_suppkey AS case_id, s_name AS promp
 
 
 @query("score_cases", f"""
-SELECT *, CASE WHEN error IS NULL OR error LIKE 'judge%' THEN {LABEL.replace('1.0::DOUBLE', '1.0::DOUBLE')} END AS optimization
+SELECT *, CASE WHEN error IS NULL OR error LIKE 'judge%' THEN {LABEL} END AS optimization
 FROM ({SCORED})""")
 def score_cases(t):
     supplier, key = t.supplier, F.col("s_suppkey")
@@ -116,7 +117,33 @@ def report_lines(t):
     return R.report_lines(reported_cases(t), S.scorecard(t.case_runs), AGENT)
 
 
-@query("calibration_report_lines")
+TRIPLE = "concat('(', {s}_factual_accuracy, ',', {s}_completeness, ',', {s}_no_hallucination, ')')"
+PLACE = "CASE dim WHEN 'factual_accuracy' THEN 0 WHEN 'completeness' THEN 1 ELSE 2 END"
+PREVIEW = "translate(CASE WHEN length(reasoning) > 90 THEN concat(left(reasoning, 90), '...') ELSE reasoning END, chr(10), ' ')"
+GATE = f"""SELECT coalesce(string_agg(CASE WHEN low_agreement THEN dim END, ', ' ORDER BY dim), '') AS below_agreement,
+  coalesce(string_agg(CASE WHEN low_kappa THEN dim END, ', ' ORDER BY dim), '') AS below_kappa FROM ({GATES})"""
+OVERALL = f"SELECT sum({AGREED}) AS agreed, count(*) * 4 AS possible FROM {{calibration_cases}}"
+
+
+@query("calibration_report_lines", f"""
+SELECT CAST(section AS BIGINT) AS section, CAST(pos AS BIGINT) AS pos, CAST(line_no AS BIGINT) AS line_no, line FROM (
+  SELECT 0 AS section, 0 AS pos, unnest([0, 1, 2]) AS line_no, unnest(['# Judge calibration run', '', concat('**Overall agreement:** ',
+    CAST(round_even(agreed * 100.0::DOUBLE / possible, 0) AS BIGINT), '% (', agreed, '/', possible, ')')]) AS line FROM ({OVERALL})
+  UNION ALL SELECT 1, 0, unnest([0, 1, 2, 3]), unnest([
+    CASE WHEN below_agreement <> '' THEN concat('**⚠ Below 85% threshold:** ', below_agreement) END,
+    CASE WHEN below_agreement = '' AND below_kappa = '' THEN 'Gate: all dimensions clear both bars'
+      WHEN below_kappa = '' THEN concat('Gate: ', below_agreement, ' below 85% raw agreement')
+      ELSE concat('Gate: ', below_kappa, ' below κ=0.60') END, '', '| dimension | agreed | rate | kappa | label |'])
+  FROM ({GATE})
+  UNION ALL SELECT 2, {PLACE} + 1, 0, concat('| ', dim, ' | ', agreed, '/', n, ' | ',
+    CAST(round_even(agreed * 100.0::DOUBLE / n, 0) AS BIGINT), '% | ', format('{{:.2f}}', kappa), ' | ', {KAPPA_LABEL}, ' |')
+  FROM ({kappa_check('dim', f'({LONG})')})
+  UNION ALL SELECT 3, case_id, {PLACE}, concat('| ', case_id, ' | ', dim, ' | ', human, ' | ', judge, ' | ', {PREVIEW}, ' |')
+  FROM ({LONG}) WHERE human <> judge
+  UNION ALL SELECT 4, case_id, 0, concat('| ', case_id, ' | ', {TRIPLE.format(s='human')}, ' | ', {TRIPLE.format(s='judge')}, ' | ',
+    {AGREED} - CASE WHEN human_category IS NOT DISTINCT FROM judge_category THEN 1 ELSE 0 END, ' |') FROM {{calibration_cases}}
+  UNION ALL SELECT 5, case_id, unnest([0, 1, 2, 3]), unnest([concat('### ', case_id), '', concat('- **Reasoning:** ', reasoning), ''])
+  FROM {{calibration_cases}}) WHERE line IS NOT NULL""")
 def calibration_report_lines(t):
     return R.calibration_report_lines(t.calibration_cases)
 

@@ -75,12 +75,6 @@ def fixed(value: Column, digits: int) -> Column:
     return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
-def name_list(names: Column) -> Column:
-    """An array of names as bracketed, quoted text."""
-    quoted = F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
-
-
 def preview(text: Column, size: int) -> Column:
     return F.when(
         F.char_length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit("..."))

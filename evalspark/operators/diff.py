@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from evalspark.constants import AGENT_LABEL, GOLDEN_LABEL, MAX_RESULT_ROWS, SAMPLE_ROWS
 from evalspark.functions.compare import cells_identical, cells_match, nan_to_null
 from evalspark.functions.encode import encode_rows, encoded_identical, encoded_match
-from evalspark.functions.text import name_list
 from evalspark.operators.ordering import align_sorted, null_safe_join
 from evalspark.session import durable
 
@@ -236,64 +235,33 @@ def _large_counts(tally: DataFrame, keys: list[str], values: list[str]) -> DataF
     )
 
 
+OUTCOME = """CASE WHEN {too_large} THEN 'too_large' WHEN NOT columns_match THEN 'columns'
+  WHEN n_agent <> n_golden THEN 'row_count' WHEN _apart > 0 THEN 'values' ELSE 'match' END"""
+NAMES = "concat('[', array_join(transform({0}, c -> concat('\\'', c, '\\'')), ', '), ']')"
+SUMMARY = f"""CASE outcome WHEN 'too_large' THEN 'result exceeds {{cap}} row cap'
+  WHEN 'columns' THEN concat('column mismatch ({GOLDEN_LABEL}: ', {NAMES.format("golden_cols")}, ', {AGENT_LABEL}: ',
+                             {NAMES.format("agent_cols")}, ')')
+  WHEN 'row_count' THEN concat('row count differs: {GOLDEN_LABEL}=', n_golden, ', {AGENT_LABEL}=', n_agent, ' (',
+                               if(row_delta > 0, '+', ''), row_delta, ')')
+  WHEN 'values' THEN concat('values differ in ', n_golden, ' rows (', mismatched_rows, ' mismatched)')
+  ELSE 'results match' END"""
+DETAIL = f"""CASE outcome
+  WHEN 'columns' THEN concat_ws('\n',
+    if(size(only_golden) > 0, concat('missing in agent: ', {NAMES.format("only_golden")}), NULL),
+    if(size(only_agent) > 0, concat('extra in agent: ', {NAMES.format("only_agent")}), NULL))
+  WHEN 'row_count' THEN concat('agent returned ', abs(row_delta), if(row_delta > 0, ' extra', ' fewer'), ' rows')
+  ELSE '' END"""
+
+
 def describe(cases: DataFrame, keys: list[str], row_cap: int | None = None) -> DataFrame:
     """Outcome, headline and detail: columns first, then row count, then values."""
-    delta = F.col("n_agent") - F.col("n_golden")
-    too_large = F.lit(False) if row_cap is None else F.greatest("n_golden", "n_agent") > row_cap
-    outcome = (
-        F.when(too_large, F.lit("too_large"))
-        .when(~F.col("columns_match"), F.lit("columns"))
-        .when(delta != 0, F.lit("row_count"))
-        .when(F.col("_apart") > 0, F.lit("values"))
-        .otherwise(F.lit("match"))
-    )
-    text = lambda c: F.col(c).cast("string")
-    summary = (
-        F.when(F.col("outcome") == "too_large", F.lit(f"result exceeds {row_cap or 0:,} row cap"))
-        .when(
-            F.col("outcome") == "columns",
-            F.concat(
-                F.lit(f"column mismatch ({GOLDEN_LABEL}: "), name_list(F.col("golden_cols")),
-                F.lit(f", {AGENT_LABEL}: "), name_list(F.col("agent_cols")), F.lit(")"),
-            ),
-        )
-        .when(
-            F.col("outcome") == "row_count",
-            F.concat(
-                F.lit(f"row count differs: {GOLDEN_LABEL}="), text("n_golden"), F.lit(f", {AGENT_LABEL}="),
-                text("n_agent"), F.lit(" ("), F.when(delta > 0, F.lit("+")).otherwise(F.lit("")),
-                delta.cast("string"), F.lit(")"),
-            ),
-        )
-        .when(
-            F.col("outcome") == "values",
-            F.concat(
-                F.lit("values differ in "), text("n_golden"), F.lit(" rows ("), text("mismatched_rows"),
-                F.lit(" mismatched)"),
-            ),
-        )
-        .otherwise(F.lit("results match"))
-    )
-    missing = F.when(F.size("only_golden") > 0, F.concat(F.lit("missing in agent: "), name_list(F.col("only_golden"))))
-    extra = F.when(F.size("only_agent") > 0, F.concat(F.lit("extra in agent: "), name_list(F.col("only_agent"))))
-    detail = (
-        F.when(F.col("outcome") == "columns", F.array_join(F.array_compact(F.array(missing, extra)), "\n"))
-        .when(
-            F.col("outcome") == "row_count",
-            F.concat(
-                F.lit("agent returned "), F.abs(delta).cast("string"), F.lit(" "),
-                F.when(delta > 0, F.lit("extra")).otherwise(F.lit("fewer")), F.lit(" rows"),
-            ),
-        )
-        .otherwise(F.lit(""))
-    )
-    return (
-        cases.withColumn("outcome", outcome)
-        .withColumns({"summary": summary, "detail": detail, "matched": F.col("outcome") == "match", "row_delta": delta})
-        .select(
-            *keys, "matched", "outcome", "summary", "detail", "columns_match", "only_golden", "only_agent",
-            "n_golden", "n_agent", "row_delta", "mismatched_rows",
-        )
+    too_large = "false" if row_cap is None else f"greatest(n_golden, n_agent) > {row_cap}"
+    return cases.selectExpr(
+        "*", f"{OUTCOME.format(too_large=too_large)} AS outcome", "n_agent - n_golden AS row_delta"
+    ).selectExpr(
+        *[f"`{k}`" for k in keys], "outcome = 'match' AS matched", "outcome", f"{SUMMARY.format(cap=f'{row_cap or 0:,}')} AS summary",
+        f"{DETAIL} AS detail", "columns_match", "only_golden", "only_agent", "n_golden", "n_agent", "row_delta",
+        "mismatched_rows",
     )
 
 
@@ -367,7 +335,8 @@ def diff_frames(golden: DataFrame, agent: DataFrame) -> DataFrame:
     n_golden, n_agent = golden.count(), agent.count()
     apart = mismatched = 0
     if same_columns and n_golden == n_agent and n_golden and golden.columns:
-        counted = pair_segments(golden, agent).agg(
+        plain = [f"c{i}" for i in range(len(golden.columns))]  # result columns may have any name
+        counted = pair_segments(golden.toDF(*plain), agent.toDF(*plain)).agg(
             F.sum(F.when(F.col("ok"), 0).otherwise(F.col("length"))).alias("apart"),
             F.sum(F.when(F.col("same"), 0).otherwise(F.col("length"))).alias("mismatched"),
         ).first()  # two numbers

@@ -94,14 +94,23 @@ def result_csv_head(
 
 # --- answers ------------------------------------------------------------------
 
-def extract_json(raw: Column) -> Column:
-    """The JSON object in an answer: fenced block first, then the outermost braces."""
-    text = strip(raw)
-    fence = r"(?s)```(?:json)?\s*(.*?)\s*```"
-    inner = F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(text)
-    is_list = F.startswith(inner, F.lit("[")) & F.endswith(inner, F.lit("]"))
-    braces = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
-    return F.when(~is_list & (braces != ""), braces)
+FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
+
+
+def extract_json(answers: DataFrame, raw: str, name: str) -> DataFrame:
+    """Add the JSON object in an answer: fenced block first, then the outermost braces.
+
+    Stepwise columns, so that no pattern runs twice on the same answer.
+    """
+    inner, is_list = F.col("_inner"), F.startswith("_inner", F.lit("[")) & F.endswith("_inner", F.lit("]"))
+    return (
+        answers.withColumn("_text", strip(F.col(raw)))
+        .withColumn("_block", F.regexp_extract("_text", FENCE, 0))
+        .withColumn("_inner", F.when(F.col("_block") != "", strip(F.regexp_extract("_block", FENCE, 1))).otherwise(F.col("_text")))
+        .withColumn("_braces", F.when(~is_list, F.regexp_extract(inner, r"(?s)\{.*\}", 0)))
+        .withColumn(name, F.when(F.col("_braces") != "", F.col("_braces")))
+        .drop("_text", "_block", "_inner", "_braces")
+    )
 
 
 def _to_bit(text: Column) -> Column:
@@ -115,7 +124,7 @@ def judge_verdicts(answers: DataFrame, raw: str) -> DataFrame:
     fields = ",".join(f"{name}:string" for name in (*DIMENSIONS, "failure_category", "reasoning", "_corrupt"))
     parsed = F.from_json("_json", F.lit(f"struct<{fields}>"), {"columnNameOfCorruptRecord": "_corrupt"})
     # as a generated row the answer is parsed once, not once per field
-    read = answers.withColumn("_json", extract_json(F.col(raw))).withColumn("_v", F.explode(F.array(parsed)))
+    read = extract_json(answers, raw, "_json").withColumn("_v", F.explode(F.array(parsed)))
     bits = {d: _to_bit(F.col(f"_v.{d}")) for d in DIMENSIONS}
     error = F.when(F.col("_json").isNull() | F.col("_v._corrupt").isNotNull(), F.lit("no JSON object"))
     for d in DIMENSIONS:

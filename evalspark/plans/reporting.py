@@ -134,9 +134,12 @@ def calibration_report_lines(cases: DataFrame) -> DataFrame:
         F.col("dim"), F.concat(F.col("agreed").cast("string"), F.lit("/"), F.col("n").cast("string")),
         percent(F.col("agreed") / F.col("n")), fixed(F.col("kappa"), 2), F.col("label"),
     )])
+    differing = _table_row(
+        F.col("case_id"), F.col("dim"), F.col("human"), F.col("judge"), F.translate("reasoning", "\n", " ")
+    )
+    # one slot per dimension keeps several disagreements on a case in order
     apart = _explode(K.disagreements(cases), [], 3, F.col("case_id"), [
-        _table_row(F.col("case_id"), F.col("dim"), F.col("human"), F.col("judge"),
-                   F.regexp_replace("reasoning", "\n", " "))
+        F.when(F.col("dim") == d, differing) for d in DIMENSIONS
     ])
     triple = lambda side: F.concat(
         F.lit("("), F.concat_ws(",", *[F.col(f"{side}_{d}").cast("string") for d in DIMENSIONS]), F.lit(")")

@@ -8,7 +8,7 @@ import __spark_entry__ as driver
 from tests.oracle import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"kappa_bootstrap", "calibration_report_lines", "run_query_stats"}
+ROWS_ONLY = {"kappa_bootstrap", "run_query_stats"}
 
 
 @pytest.fixture(scope="module")

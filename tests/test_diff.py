@@ -254,3 +254,9 @@ def test_shuffled_copy_matches_and_dropped_row_does_not(spark):
     assert outcome(*frames(spark, rows, shuffled, SCHEMA))["matched"]
     assert not outcome(*frames(spark, rows, shuffled[1:], SCHEMA))["matched"]
     assert not outcome(*frames(spark, shuffled[1:], rows, SCHEMA))["matched"]
+
+
+def test_column_names_may_be_anything(spark):
+    golden = spark.createDataFrame([(1, 2.0), (2, 3.0)], "`avg(a.b)` int, `x y` double")
+    assert outcome(golden, golden)["matched"]
+    assert not outcome(golden, golden.withColumn("x y", F.lit(7.0)))["matched"]

@@ -107,6 +107,15 @@ def test_bootstrap_interval_covers_kappa_and_narrows(spark):
     assert not small["conclusive"] and large["conclusive"]
 
 
+def test_reports_are_read_from_a_folder(spark, tmp_path):
+    from evalspark.sources.files import read_reports
+
+    for name, pct in (("2024-01-02_030405_0123abcd.md", 91), ("2024-05-02_030405_0123abcd.md", 84), ("notes.md", 1)):
+        (tmp_path / name).write_text(f"# Run\n\n- **Overall agreement:** {pct}% (n)\n")
+    row = C.latest_calibration(read_reports(spark, str(tmp_path))).first()
+    assert (row["timestamp"], row["prompt_hash"], row["agreement_pct"]) == ("2024-05-02_030405", "0123abcd", 84)
+
+
 def test_category_agreement_is_null_safe(spark):
     table = spark.createDataFrame([(None, None), ("a", None), ("a", "a"), ("a", "b")], "human_category string, judge_category string")
     assert C.category_agreement(table).first()["agreed"] == 2
