@@ -7,14 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.constants import (
     AGREEMENT_BAR, AGREEMENT_LINE_PATTERN, CALIBRATION_FILE_PATTERN, DIMENSIONS, KAPPA_BAR, REASONING_PREVIEW,
 )
 from evalspark.functions.stats import kappa, kappa_label, rate
 from evalspark.functions.text import preview
-from evalspark.operators.ordering import null_safe_join
+from evalspark.operators.ordering import null_safe_join, previous_row
 
 
 def long_scores(cases: DataFrame, keep: list[str]) -> DataFrame:
@@ -197,10 +197,11 @@ def judge_pair_kappa(votes: DataFrame, judges: list[str]) -> DataFrame:
 def calibration_drift(history: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Change of kappa from one calibration run to the next.
 
-    ``history`` has one row per run and dimension, the output of kappa per run.
+    ``history`` has one row per run and dimension, the output of kappa per run. A
+    dimension has as many rows as there are runs, so the look-back is by ranges.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    return history.withColumn("change", F.col("kappa") - F.lag("kappa").over(w))
+    looked = previous_row(history, keys, [order], ["kappa"])
+    return looked.withColumn("change", F.col("kappa") - F.col("prev_kappa")).drop("prev_kappa")
 
 
 def kappa_bootstrap(scores: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 7) -> DataFrame:

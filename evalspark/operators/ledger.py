@@ -9,6 +9,7 @@ from evalspark.functions.text import clean
 from evalspark.operators.ordering import null_safe_join, previous_row
 
 ROWS_PER_CHUNK = 10_000
+BYTES_PER_CHUNK = 8 << 20
 COMPONENTS = ("agent_hash", "corpus_hash", "judge_prompt_hash")
 
 
@@ -21,16 +22,18 @@ def canonical_blob(
 ) -> DataFrame:
     """One canonical text per key: fields stripped, rows sorted, joined by separators.
 
-    A key with up to ``rows_per_chunk`` rows gives exactly that text. A larger
-    one is spread over chunks by a hash of the row; its blob is the list of the
+    A key of up to ``rows_per_chunk`` rows and 8 MiB gives exactly that text. A
+    larger one is spread over chunks by a hash of the row; its blob is the list of the
     chunk digests. The size decides which form applies, so equal content always
     gives an equal blob, and no task holds more than about one chunk of distinct
     rows. Copies are counted before the shuffle.
     """
     cleaned = rows.select(*keys, *[clean(F.col(f).cast("string")).alias(f"_f{i}") for i, f in enumerate(fields)])
     names = [f"_f{i}" for i in range(len(fields))]
-    sizes = cleaned.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.ceil(F.count(F.lit(1)) / rows_per_chunk).alias("_chunks")
+    length = sum((F.octet_length(n).cast("bigint") for n in names), F.lit(0))
+    sizes = cleaned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(length).alias("_bytes")).select(
+        *keys, "n_rows",
+        F.greatest(F.ceil(F.col("n_rows") / rows_per_chunk), F.ceil(F.col("_bytes") / BYTES_PER_CHUNK)).alias("_chunks"),
     )
     distinct = cleaned.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_copies"))
     spread = null_safe_join(distinct, sizes, keys, "inner").withColumn(

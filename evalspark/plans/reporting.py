@@ -14,11 +14,11 @@ from evalspark.plans.scorecard import AGGREGATES, aggregate_line, verdict_messag
 ORDER = ["section", "pos", "line_no"]
 
 
-def _explode(frame: DataFrame, keys: list[str], section: int, pos: Column, lines: list[Column]) -> DataFrame:
+def _explode(frame: DataFrame, keys: list[str], section: int, pos: Column, lines: list[Column] | Column) -> DataFrame:
     """One output row per line that is not null; ``line_no`` orders them and may skip."""
     placed = frame.select(
         *keys, F.lit(section).cast("bigint").alias("section"), pos.cast("bigint").alias("pos"),
-        F.posexplode(F.array(*lines)).alias("line_no", "line"),
+        F.posexplode(F.array(*lines) if isinstance(lines, list) else lines).alias("line_no", "line"),
     )
     return placed.filter(F.col("line").isNotNull()).withColumn("line_no", F.col("line_no").cast("bigint"))
 
@@ -50,40 +50,49 @@ def unmatched_lines(lists: DataFrame, keys: list[str]) -> DataFrame:
 
 def case_detail_lines(cases: DataFrame, keys: list[str]) -> DataFrame:
     error, match = F.col("error"), F.col("exec_match")
-    ran = error.isNull()
+    nothing = F.array().cast("array<string>")
 
-    def when(condition: Column, *lines: Column) -> list[Column]:
-        return [F.when(condition, line) for line in lines]
+    def given(condition: Column, *lines: Column) -> Column:
+        return F.when(condition, F.array(*lines)).otherwise(nothing)
 
     def query_line(side: str, label: str) -> Column:
-        megabytes = fixed(F.col(f"{side}_bytes") / 1e6, 1)
         return F.concat(
             F.lit(f"**{label} query:** "), fixed(F.col(f"{side}_ms"), 0), F.lit(" ms · "),
-            megabytes, F.lit(" MB scanned · "), F.col(f"{side}_rows").cast("string"), F.lit(" rows"),
+            fixed(F.col(f"{side}_bytes") / 1e6, 1), F.lit(" MB scanned · "), F.col(f"{side}_rows").cast("string"),
+            F.lit(" rows"),
         )
 
-    differs = ran & ~match & F.col("summary").isNotNull()
-    detailed = differs & (F.coalesce("detail", F.lit("")) != "")
-    judged = ran & F.col("judged")
+    blank, differs = F.lit(""), ~match & F.col("summary").isNotNull()
     scores = [F.concat(F.lit(f"{short}="), F.col(d).cast("string")) for d, short in
               zip(DIMENSIONS, ("factual", "complete", "no_halluc"))]
-    lines = [
-        F.concat_ws("  ·  ", F.concat(F.lit("### "), "case_id"), "tier", "category"),
-        F.lit(""),
-        F.concat(F.lit("**Prompt:** "), F.coalesce("prompt", F.lit(""))),
-        F.lit(""),
-        *when(~ran, F.concat(F.lit("**❌ Error:** "), error), F.lit("")),
-        *when(ran, F.concat(F.lit("**execution_match:** "), F.initcap(match.cast("string")))),
-        *when(differs, F.lit(""), F.concat(F.lit("**exec-diff:** "), "summary")),
-        *when(detailed, F.lit(""), F.lit("```"), F.col("detail"), F.lit("```")),
-        *when(ran, F.lit("")),
-        *when(judged, F.concat(F.lit("**Judge:** "), F.concat_ws(", ", *scores))),
-        *when(judged & F.col("failure_category").isNotNull(),
-              F.concat(F.lit("**Failure category:** `"), "failure_category", F.lit("`"))),
-        *when(judged, F.lit(""), F.concat(F.lit("**Judge reasoning:** "), F.coalesce("reasoning", F.lit(""))), F.lit("")),
-        *when(ran, F.concat(F.lit("**Optimization:** `"), "optimization", F.lit("`")), F.lit("")),
-        *when(ran, query_line("golden", GOLDEN_LABEL), query_line("agent", AGENT_LABEL), F.lit("")),
-    ]
+    heading = F.array(
+        F.concat_ws("  ·  ", F.concat(F.lit("### "), "case_id"), "tier", "category"), blank,
+        F.concat(F.lit("**Prompt:** "), F.coalesce("prompt", blank)), blank,
+    )
+    judge = F.when(
+        F.col("judged"),
+        F.concat(
+            F.array(F.concat(F.lit("**Judge:** "), F.concat_ws(", ", *scores))),
+            given(F.col("failure_category").isNotNull(),
+                  F.concat(F.lit("**Failure category:** `"), "failure_category", F.lit("`"))),
+            F.array(blank, F.concat(F.lit("**Judge reasoning:** "), F.coalesce("reasoning", blank)), blank),
+        ),
+    ).otherwise(nothing)
+    scored = F.concat(
+        F.array(F.concat(F.lit("**execution_match:** "), F.initcap(match.cast("string")))),
+        given(differs, blank, F.concat(F.lit("**exec-diff:** "), "summary")),
+        given(differs & (F.coalesce("detail", blank) != ""), blank, F.lit("```"), F.col("detail"), F.lit("```")),
+        F.array(blank),
+        judge,
+        F.array(
+            F.concat(F.lit("**Optimization:** `"), "optimization", F.lit("`")), blank,
+            query_line("golden", GOLDEN_LABEL), query_line("agent", AGENT_LABEL), blank,
+        ),
+    )
+    lines = F.concat(
+        heading,
+        F.when(error.isNull(), scored).otherwise(F.array(F.concat(F.lit("**❌ Error:** "), error), blank)),
+    )
     return _explode(cases, keys, 2, F.col("case_pos"), lines)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from evalspark.constants import GOLDEN_OPTIONAL, GOLDEN_REQUIRED, SUBMISSION_REQUIRED
 
-MAX_COLUMNS = 32
+MAX_COLUMNS = 64  # a required column further right counts as missing
 CSV_OPTIONS = {
     "header": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
