@@ -10,6 +10,7 @@ from evalspark.catalog import query
 from evalspark.functions.encode import encode_rows
 from evalspark.operators import diff
 from evalspark.plans import golden_queries as G
+from evalspark.session import durable
 
 
 @query("q_total_count", "SELECT count(*) AS total_members FROM customer")
@@ -232,8 +233,8 @@ EMPTY = "SELECT 1 FROM orders WHERE o_custkey = 999999999"
     _count_pair("empty", EMPTY, EMPTY, "match"),
 ]))
 def golden_pairs(t):
-    """Answers of different schemas compared in one plan."""
+    """Answers of different schemas, stored in one results table and compared in one plan."""
     rows, layouts = encoded_answers(answer_pairs(t))
-    return diff.diff_batch(rows, ["case_id"], [diff.CELLS], layouts).select(
+    return diff.diff_batch(durable(rows), ["case_id"], [diff.CELLS], layouts).select(
         "case_id", "outcome", "n_golden", "n_agent"
     )
