@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalspark.constants import APPROVED, CATEGORY_SLUGS, TIER_NAMES
+from evalspark.constants import APPROVED, CATEGORY_SLUGS, GOLDEN_SQL_COLUMN, TIER_NAMES
 from evalspark.functions.text import clean, parse_flag, parse_list, read_only_reason, strip
 
 
@@ -83,7 +83,7 @@ def golden_cases(raw: DataFrame, include_drafts: bool = False, strict: bool = Fa
     return kept.select(
         "id", F.upper(clean(F.col("tier"))).alias("tier"), clean(F.col("category")).alias("category"),
         clean(F.col("domain")).alias("domain"), clean(F.col("prompt")).alias("prompt"),
-        F.coalesce("peak_sql", F.lit("")).alias("golden_sql"),
+        F.coalesce(GOLDEN_SQL_COLUMN, F.lit("")).alias("golden_sql"),
         clean(F.col("golden_reasoning")).alias("golden_reasoning"),
         parse_list(F.col("tables")).alias("tables"), parse_list(F.col("sql_features")).alias("sql_features"),
         parse_flag(F.col("ambiguity_flag")).alias("ambiguity_flag"),
