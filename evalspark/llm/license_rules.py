@@ -94,7 +94,7 @@ NOTICE = r"(?:licensed|released|distributed|available|provided|published|offered
 
 def _pattern(text: str) -> re.Pattern:
     """Blanks match any run of blanks; a match does not begin or end inside a word."""
-    text = text.replace("[ -]", r"[\x20\t\r\n-]").replace(" ", r"[\x20\t\r\n]+")
+    text = text.replace("[ -]", r"[\x20\t\r\n-]").replace(" ?", r"[\x20\t\r\n]*").replace(" ", r"[\x20\t\r\n]+")
     return re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + text.encode() + rb")(?![0-9a-z\x80-\xff])")
 
 
@@ -113,7 +113,7 @@ def rules() -> tuple[Rule, ...]:
         out.append(Rule(label, 10, 1.0, b"spdx", _pattern(rf"spdx-license-identifier: ?{ident}")))
         for version in versions:
             full = f"{label}-{version}"
-            out.append(Rule(full, 10, 1.0, b"spdx", _pattern(rf"spdx-license-identifier: ?{re.escape(spdx)}-{re.escape(version)}(?:-only|-or-later|\+)?")))
+            out.append(Rule(full, 5, 1.0, b"spdx", _pattern(rf"spdx-license-identifier: ?{re.escape(spdx)}-{re.escape(version)}(?:-only|-or-later|\+)?")))
             out.append(Rule(full, 30, 0.9, keyword, _pattern(NOTICE + name + _version(version))))
             out.append(Rule(full, 50, 0.7, keyword, _pattern(name + _version(version))))
         out.append(Rule(label, 40, 0.8, keyword, _pattern(NOTICE + name)))

@@ -74,21 +74,24 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     def term(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(value, i + 1, F.lit(1)))
-
-    def step(state: Column, i: Column) -> Column:
-        enters, leaves = place(i), F.when(i >= window, place(i - window)).otherwise(F.lit(0))
-        less = F.when(leaves > 0, F.get(state["counts"], leaves)).otherwise(F.lit(0))
-        after = state["sum"] + F.when(leaves > 0, term(less - 1) - term(less)).otherwise(F.lit(0.0))
-        more = F.get(state["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
-        total = after + term(more + 1) - term(more)
-        counts = F.transform(state["counts"], lambda n, k: n + F.when(k == enters, 1).otherwise(0) - F.when((leaves > 0) & (k == leaves), 1).otherwise(0))
-        entropy = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window)
+    places = F.transform(F.slice(F.split(value, ""), 1, F.length(value)), lambda c: F.instr(F.lit(ALPHABET), c))
+    # every character with the one that leaves as it enters; none (0) leaves while the first window fills
+    moves = F.transform(
+        F.arrays_zip(places.alias("enters"), F.slice(F.concat(F.array_repeat(F.lit(0), window), places), 1, F.length(value)).alias("leaves")),
+        lambda x, i: F.struct(x["enters"].alias("enters"), x["leaves"].alias("leaves"), (i >= window - 1).alias("full")))
+
+    def step(state: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        less = F.get(state["counts"], leaves)
+        more = F.get(state["counts"], enters) - (leaves == enters).cast("int")
+        total = state["sum"] + F.when(leaves > 0, term(less - 1) - term(less)).otherwise(F.lit(0.0)) + term(more + 1) - term(more)
+        counts = F.transform(state["counts"], lambda n, k: F.when(
+            k > 0, n + (k == enters).cast("int") - (k == leaves).cast("int")).otherwise(n))
+        entropy = F.when(x["full"], F.lit(math.log2(window)) - total / window)
         return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(state["best"], entropy).alias("best"))
 
     start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), start, step, lambda state: state["best"])
+    return F.aggregate(moves, start, step, lambda state: state["best"])
 
 
 def character_class(value: Column) -> Column:

@@ -5,7 +5,8 @@ words of one document. Windows that share a minimiser (the smallest hash among
 their six-word runs) and follow each other are one super-k-mer. Equal windows
 have equal minimisers, so:
 
-1. Minimisers are counted; only those that occur twice can hold a repeated window.
+1. Minimisers are counted, in one text or several; only those that occur twice can
+   hold a repeated window.
 2. The super-k-mers of those travel as packed strings. Equal strings collapse to
    their earliest occurrence before the shuffle, so a passage in a third of all
    documents is one row per task.
@@ -33,33 +34,39 @@ from evalspark.llm.textkit import NOT_BLANK, Words, covered, hash_words, mix, ra
 RUN_BYTES = 4 << 20
 
 
-def super_kmers(words: Words, hashes: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows and minimiser of every super-k-mer, in order."""
+def super_kmers(words: Words, hashes: np.ndarray, window: int, short: int) -> tuple[np.ndarray, ...]:
+    """First word, number of windows, minimiser and its places (1, or 2 for more) of every super-k-mer, in order."""
     at = words.windows(window)
     if not len(at):
-        return at, at, at
+        return at, at, at, at
     least = window_hashes(hashes, np.arange(len(words) - short + 1), short)
+    left = right = np.arange(len(least))
     span, size = window - short + 1, 1
-    while size < span:  # the minimum over a span of short runs, by doubling
+    while size < span:  # the minimum over a span of short runs with its first and last place, by doubling
         step = min(size, span - size)
-        least = np.minimum(least[: len(least) - step], least[step:])
+        one, two = least[: len(least) - step], least[step:]
+        left = np.where(two < one, left[step:], left[: len(left) - step])
+        right = np.where(two <= one, right[step:], right[: len(right) - step])
+        least = np.minimum(one, two)
         size += step
-    least = least[at].view(np.int64)
+    least, left, right = least[at].view(np.int64), left[at], right[at]
     begin = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])])
     first = np.flatnonzero(begin)
-    return at[first], np.diff(np.append(first, len(at))), least[first]
+    stop = np.append(first[1:], len(at))
+    return at[first], stop - first, least[first], 1 + (left[first] != right[stop - 1])
 
 
 def _mark(window: int, short: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part.column("text"), NOT_BLANK)
-            start, windows, least = super_kmers(words, words.hashes(), window, short)
+            start, windows, least, places = super_kmers(words, words.hashes(), window, short)
             row = words.row[start]
             yield pa.RecordBatch.from_arrays([
                 pa.array(least, pa.int64()), part.column("doc_id").take(pa.array(row)),
                 pa.array((start - words.first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)),
-            ], names=["least", "doc_id", "start", "windows"])
+                pa.array(places.astype(np.int32)),
+            ], names=["least", "doc_id", "start", "windows", "places"])
 
     return mark
 
@@ -207,8 +214,8 @@ def lost_words(docs: DataFrame, window: int = 20, short: int = 6, hot: int = 50_
     Documents need distinct, non-null ids. ``hot`` is the number of
     super-k-mers from which a minimiser sends single windows.
     """
-    marks = docs.mapInArrow(_mark(window, short), "least bigint, doc_id bigint, start int, windows int")
-    repeated = marks.groupBy("least").agg(F.count("*").alias("times")).filter("times > 1")
+    marks = docs.mapInArrow(_mark(window, short), "least bigint, doc_id bigint, start int, windows int, places int")
+    repeated = marks.groupBy("least").agg(F.sum("places").alias("times")).filter("times > 1")
     found = marks.join(repeated, "least").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "windows", "least", "times"))).alias("marks"))
     packed = cut(docs.join(found, "doc_id").select("doc_id", "text", "marks").mapInArrow(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.llm.pieces import byte_bpe, encode_rows
 from evalspark.llm.tables import texts
-from evalspark.llm.textkit import list_column, raw, slices
+from evalspark.llm.textkit import SLICE_BYTES, list_column, raw, slices
 from evalspark.llm.wavelet import WaveletMatrix
 
 SHARD = ("part int, shard int, before bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<int>, "
@@ -42,7 +42,7 @@ def _build(tokenizer: str, end_id: int, bits: int, shard_tokens: int):
         docs: list = []
         sizes: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
-        for piece in slices(batches):
+        for piece in slices(batches, limit=min(SLICE_BYTES, 4 * shard_tokens)):
             data, offsets = raw(piece.column("text"))
             ids, counts = encode_rows(data, offsets, cache, whole)
             tokens.append(np.insert(ids, np.cumsum(counts), end_id))
