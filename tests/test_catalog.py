@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from evalspark import catalog
 from tests.oracle import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,13 +17,13 @@ def connection():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_check(spark, connection, name):
     assert compare(spark, connection, name, SF_DIR) == ""
 
 
 def test_only_known_queries_lack_a_check():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.QUERIES) - set(catalog.CHECKS) == ROWS_ONLY
 
 
 def test_entry_has_rows(spark):
