@@ -185,8 +185,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, rec
     blocks = F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("words") / block_words)).cast("int")
     sized = members.groupBy("family").agg(blocks.alias("blocks"))
 
-    candidates = docs.join(members.join(sized, "family").select(F.col("rep").alias("doc_id"), "rep", "family", "blocks", "copies"),
-                           "doc_id").dropDuplicates(["rep"])
+    wanted = members.join(sized, "family").select(F.col("rep").alias("doc_id"), "rep", "family", "blocks", "copies")
+    # a table of candidates grows with the documents: joined by sorting at every size
+    candidates = docs.join(wanted.hint("merge"), "doc_id").dropDuplicates(["rep"])
     sets = candidates.select("family", "blocks", "rep", "copies", "text").mapInArrow(
         _sets(size), "family bigint, blocks int, rep bigint, copies bigint, shingles binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
