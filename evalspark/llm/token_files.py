@@ -128,6 +128,6 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_table(docs: DataFrame, path: str, tokenizer: str, order: list[Column] | None = None, **options) -> DataFrame:
-    """Write the files and read their index back. Without an order, documents ascend by id, ties by text."""
-    write_tokens(texts(docs) if order is None else docs, path, tokenizer, order or [F.col("doc_id"), F.col("text")], **options)
+    """Write the files and read their index back. Without an order, documents ascend by id, ties by a hash of the text."""
+    write_tokens(texts(docs) if order is None else docs, path, tokenizer, order or [F.col("doc_id"), F.xxhash64("text")], **options)
     return token_index(docs.sparkSession, path)
