@@ -71,7 +71,7 @@ def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 class PieceCache:
     """Ids of encoded pieces, kept for a worker's lifetime and started anew beyond ``most`` pieces."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 600_000):
         self.encode, self.most = encode, most
         self.clear()
 

@@ -58,44 +58,60 @@ def super_kmers(words: Words, hashes: np.ndarray, window: int, short: int) -> tu
 
 def _mark(window: int, short: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every minimiser of a document once, with the number of its super-k-mers (or 2 for several places in one)."""
         for part in slices(batches):
             words = Words(part.column("text"), NOT_BLANK)
-            start, windows, least, places = super_kmers(words, words.hashes(), window, short)
+            start, _, least, places = super_kmers(words, words.hashes(), window, short)
             row = words.row[start]
+            order = np.lexsort((least, row))
+            row, least, places = row[order], least[order], places[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (least[1:] != least[:-1])])) if len(row) else row
             yield pa.RecordBatch.from_arrays([
-                pa.array(least, pa.int64()), part.column("doc_id").take(pa.array(row)),
-                pa.array((start - words.first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)),
-                pa.array(places.astype(np.int32)),
-            ], names=["least", "doc_id", "start", "windows", "places"])
+                pa.array(least[new], pa.int64()), part.column("doc_id").take(pa.array(row[new])),
+                pa.array((np.add.reduceat(places, new) if len(new) else new).astype(np.int32)),
+            ], names=["least", "doc_id", "places"])
 
     return mark
 
 
-def _pack(window: int, hot: int):
+def _pack(window: int, short: int, hot: int, with_words: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The super-k-mers of repeated minimisers. ``with_words``: of equal ones in a slice only the earliest, with its words."""
         for part in slices(batches):
             words = Words(part.column("text"), NOT_BLANK)
+            hashes = words.hashes()
+            start, windows, least, _ = super_kmers(words, hashes, window, short)
             marks = part.column("marks").flatten()
-            per_row = part.column("marks").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            least, start, windows, times = (
-                marks.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("least", "start", "windows", "times"))
-            row = np.repeat(np.arange(part.num_rows), per_row)
+            owner = np.repeat(np.arange(part.num_rows), part.column("marks").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            known, times = (marks.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("least", "times"))
+            # marks and super-k-mers meet on (row, minimiser)
+            wanted, own = (mix(x.view(np.uint64) ^ mix(r.astype(np.uint64))) for x, r in ((known, owner), (least, words.row[start])))
+            order = np.argsort(wanted)
+            place = np.minimum(np.searchsorted(wanted[order], own), max(len(wanted) - 1, 0))
+            keep = wanted[order][place] == own if len(wanted) else np.zeros(len(own), bool)
+            start, windows, least, times = start[keep], windows[keep], least[keep], times[order][place[keep]] if len(wanted) else start[keep]
             single = times > hot
             if single.any():
                 turns = np.where(single, windows, 1)
                 pick = np.repeat(np.arange(len(turns)), turns)
-                shift = np.arange(len(pick)) - np.repeat(np.cumsum(turns) - turns, turns)
-                own = window_hashes(words.hashes(), np.minimum(words.first[row[pick]] + start[pick] + shift, len(words) - window), window)
-                least = np.where(single[pick], own.view(np.int64), least[pick])
-                windows = np.where(single[pick], 1, windows[pick])
-                start, row = start[pick] + shift, row[pick]
-            begin = words.starts[words.first[row] + start]
-            end = words.ends[words.first[row] + start + windows + window - 2]
+                start = start[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(turns) - turns, turns)
+                alone = window_hashes(hashes, np.minimum(start, len(words) - window), window).view(np.int64)
+                least, windows = np.where(single[pick], alone, least[pick]), np.where(single[pick], 1, windows[pick])
+            row = words.row[start]
             text = words.data.tobytes()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(least, pa.int64()), pa.array([b" ".join(text[a:b].split()) for a, b in zip(begin.tolist(), end.tolist())], pa.binary()),
-                part.column("doc_id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)),
-            ], names=["least", "words", "doc_id", "start", "windows"])
+            packed = [b" ".join(text[a:b].split()) for a, b in zip(words.starts[start].tolist(), words.ends[start + windows + window - 2].tolist())]
+            keys = pa.array([hashlib.md5(x).digest() for x in packed], pa.binary())
+            doc = part.column("doc_id").take(pa.array(row))
+            out = {"least": pa.array(least, pa.int64()), "key": keys, "doc_id": doc, "start": pa.array((start - words.first[row]).astype(np.int32))}
+            if with_words:
+                out["words"] = pa.array(packed, pa.binary())
+                code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                order = np.lexsort((start - words.first[row], doc.to_numpy(), code))
+                lead = order[np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))] if len(order) else order
+                yield pa.RecordBatch.from_pydict(out).take(pa.array(lead))
+            else:
+                del out["least"]
+                yield pa.RecordBatch.from_pydict(out | {"windows": pa.array(windows.astype(np.int32))})
 
     return pack
 
@@ -207,27 +223,26 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def lost_words(docs: DataFrame, window: int = 20, short: int = 6, hot: int = 50_000) -> DataFrame:
-    """``doc_id, lost``: the word intervals [begin, end) of each document covered by windows that also start earlier.
-
-    Earlier means a smaller doc_id, or the same document and a smaller start.
-    Documents need distinct, non-null ids. ``hot`` is the number of
-    super-k-mers from which a minimiser sends single windows.
-    """
-    marks = docs.mapInArrow(_mark(window, short), "least bigint, doc_id bigint, start int, windows int, places int")
+def flagged(docs: DataFrame, window: int, short: int) -> DataFrame:
+    """``doc_id, text, marks`` of the documents with repeated minimisers; ``marks`` lists these with their total times."""
+    marks = docs.mapInArrow(_mark(window, short), "least bigint, doc_id bigint, places int")
     repeated = marks.groupBy("least").agg(F.sum("places").alias("times")).filter("times > 1")
-    found = marks.join(repeated, "least").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "windows", "least", "times"))).alias("marks"))
-    packed = cut(docs.join(found, "doc_id").select("doc_id", "text", "marks").mapInArrow(
-        _pack(window, hot), "least bigint, words binary, doc_id bigint, start int, windows int"))
-    keyed = packed.withColumn("key", F.md5("words"))
-    strings = keyed.groupBy("least", "key").agg(
-        F.min(F.struct("doc_id", "start")).alias("at"), F.first("words").alias("words"), F.count("*").alias("n"))
-    strings = strings.select("least", "key", "at.doc_id", "at.start", "words")
-    settled = strings.repartition("least").sortWithinPartitions("least").mapInArrow(
-        _count(window), "key string, first_doc bigint, first_start int, later binary")
-    spans = keyed.select("key", "doc_id", "start", "windows").join(settled, "key").select(
-        "doc_id", "start", "windows", "first_doc", "first_start", "later").mapInArrow(_lost(window), "doc_id bigint, begin int, end int")
+    found = marks.select("least", "doc_id").join(repeated.hint("merge"), "least").groupBy("doc_id").agg(
+        F.collect_list(F.struct("least", "times")).alias("marks"))
+    return docs.join(found.hint("merge"), "doc_id").select("doc_id", "text", "marks")
+
+
+def lost_words(flags: DataFrame, window: int, short: int, hot: int) -> DataFrame:
+    """``doc_id, lost``: the word intervals [begin, end) covered by windows that also start earlier."""
+    strings = flags.mapInArrow(_pack(window, short, hot, True), "least bigint, key binary, doc_id bigint, start int, words binary")
+    # dealt by minimiser once: the strings of a slice are distinct already, and grouping and sorting keep the partitions
+    first = strings.repartition("least").groupBy("least", "key").agg(
+        F.min(F.struct("doc_id", "start")).alias("at"), F.first("words").alias("words"))
+    settled = first.select("least", "key", "at.doc_id", "at.start", "words").sortWithinPartitions("least").mapInArrow(
+        _count(window), "key binary, first_doc bigint, first_start int, later binary")
+    places = flags.mapInArrow(_pack(window, short, hot, False), "key binary, doc_id bigint, start int, windows int")
+    spans = places.join(settled, "key").select("doc_id", "start", "windows", "first_doc", "first_start", "later").mapInArrow(
+        _lost(window), "doc_id bigint, begin int, end int")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("lost"))
 
 
@@ -235,19 +250,30 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return texts(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
+def _changed(rows: DataFrame, function, kind: str, window: int = 20, short: int = 6, hot: int = 50_000) -> DataFrame:
+    """All documents as they are, but those with something to lose as they become; only these travel with their texts."""
+    schema = f"doc_id bigint, n_words bigint, n_removed bigint, {kind}"
+    name = kind.split()[0]
+    flags = cut(flagged(rows, window, short))
+    after = flags.select("doc_id", "text").join(lost_words(flags, window, short, hot).hint("merge"), "doc_id").mapInArrow(function, schema)
+    after = after.select("doc_id", F.col("n_removed").alias("_removed"), F.col(name).alias("_after"))
+    whole = rows.withColumn("lost", F.lit(None).cast("array<struct<begin:int,end:int>>")).mapInArrow(function, schema)
+    return whole.join(after, "doc_id", "left").select(
+        "doc_id", "n_words", F.coalesce("_removed", "n_removed").alias("n_removed"), F.coalesce("_after", name).alias(name))
+
+
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept`` (the kept words joined by blanks, UTF-8).
 
-    A null or empty text has no words. Rows with a null doc_id are left out;
-    ids must be distinct, as "earlier" is told by them.
+    Earlier means a smaller doc_id, or the same document and a smaller start. A
+    null or empty text has no words. Rows with a null doc_id are left out; ids
+    must be distinct, as "earlier" is told by them. Options: ``window`` words,
+    ``short`` words of a minimiser, and ``hot``, the number of super-k-mers from
+    which a minimiser sends single windows.
     """
-    rows = _numbered(docs)
-    return rows.join(lost_words(rows, **options), "doc_id", "left").mapInArrow(
-        _rest, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+    return _changed(_numbered(docs), _rest, "kept binary", **options)
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
     """As ``without_repeats``, with the sha256 of the kept words instead of the words."""
-    rows = _numbered(docs)
-    return rows.join(lost_words(rows, **options), "doc_id", "left").mapInArrow(
-        _digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _changed(_numbered(docs), _digest, "kept_sha256 string", **options)
