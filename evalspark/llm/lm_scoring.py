@@ -15,7 +15,7 @@ backs off to log 0.4 * c(w) / N. A first word scores log c(w) / N.
   1/513 of all rows: they are partitioned by hash, and a partition holds all
   occurrences of its bigrams, counts them and scores them in one pass.
 
-Partial sums meet per document.
+Partial sums travel in bundles of documents and meet there.
 """
 
 from __future__ import annotations
@@ -80,14 +80,14 @@ def _pairs(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return ids[at], ids[at + 1], words.row[at]
 
 
-def _frequent_counts(lexicon):
+def _frequent_counts(lexicon, most: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = FREQUENT + 1
+        side = most + 1
         table = np.zeros(side * side, np.int64)
         for part in slices(batches):
             words = Words(part.column("text"), ALNUM, lower=True)
             first, second, _ = _pairs(words, lexicon.value.ids(words))
-            near = (first <= FREQUENT) & (second <= FREQUENT)
+            near = (first <= most) & (second <= most)
             table += np.bincount(first[near] * side + second[near], minlength=side * side)
         full = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(table[full])], names=["pair", "n"])
@@ -95,9 +95,24 @@ def _frequent_counts(lexicon):
     return count
 
 
-def _known(lexicon, frequent):
+BUNDLE = "bundle int, docs array<bigint>, words array<bigint>, scores array<double>"
+
+
+def _bundled(docs: np.ndarray, words: np.ndarray, scores: np.ndarray, bundles: int) -> pa.RecordBatch:
+    """One row per bundle of documents."""
+    home = (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(bundles)).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    counts = np.bincount(home, minlength=bundles)
+    full = np.flatnonzero(counts)
+    return pa.RecordBatch.from_arrays([
+        pa.array(full.astype(np.int32)), list_column(docs[order], counts[full], pa.int64()),
+        list_column(words[order], counts[full], pa.int64()), list_column(scores[order], counts[full], pa.float64()),
+    ], names=["bundle", "docs", "words", "scores"])
+
+
+def _known(lexicon, frequent, most: int, bundles: int):
     """Per row: its words, and the scores that the broadcast tables suffice for."""
-    side = FREQUENT + 1
+    side = most + 1
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
@@ -108,13 +123,11 @@ def _known(lexicon, frequent):
             lead = words.first[:-1][words.counts > 0]
             score[lead] = np.log(lex.counts[ids[lead]] / max(lex.total, 1))
             first, second, row = _pairs(words, ids)
-            near = (first <= FREQUENT) & (second <= FREQUENT)
+            near = (first <= most) & (second <= most)
             key = first[near] * side + second[near]
             others = frequent.value[key] - _own_counts(key, row[near])
             score[words.windows(2)[near] + 1] = _score(lex, first[near], second[near], others)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(words.words_per_row(score))],
-                names=["doc_id", "n_words", "score"])
+            yield _bundled(part.column("doc_id").to_numpy(), words.counts.astype(np.int64), words.words_per_row(score), bundles)
 
     return known
 
@@ -124,14 +137,14 @@ def _score(lex: Lexicon, first: np.ndarray, second: np.ndarray, others: np.ndarr
                     np.log(BACKOFF * np.maximum(lex.counts[second], 1) / max(lex.total, 1)))
 
 
-def _deal(lexicon, parts: int):
+def _deal(lexicon, most: int, parts: int):
     """All other bigrams with their documents, one row per slice and partition."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=8 << 20):
             words = Words(part.column("text"), ALNUM, lower=True)
             first, second, row = _pairs(words, lexicon.value.ids(words))
-            far = (first > FREQUENT) | (second > FREQUENT)
+            far = (first > most) | (second > most)
             key = first[far] << 32 | second[far]
             home = (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(home, kind="stable")
@@ -145,43 +158,58 @@ def _deal(lexicon, parts: int):
     return deal
 
 
-def _tally(lexicon):
-    """Counts the bigrams of a partition and sums their scores per document."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each key, from rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b > a and held and keys[a] != now:
+                yield held
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+                now = keys[a]
+    if held:
+        yield held
 
-    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        keys = np.concatenate([b.column("keys").flatten().to_numpy() for b in held])
-        docs = np.concatenate([b.column("docs").flatten().to_numpy() for b in held])
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        pair = np.flatnonzero(new | np.concatenate([[True], docs[1:] != docs[:-1]]))
-        own = np.diff(np.append(pair, len(keys)))
-        word = np.cumsum(new)[pair] - 1
-        total = np.bincount(word, own).astype(np.int64)[word]
-        scores = own * _score(lexicon.value, keys[pair] >> 32, keys[pair] & 0xFFFFFFFF, total - own)
-        who, place = np.unique(docs[pair], return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(who), pa.array(np.zeros(len(who), np.int64)), pa.array(np.bincount(place, scores))], names=["doc_id", "n_words", "score"])
+
+def _flat(held: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([b.column(name).flatten().to_numpy() for b in held])
+
+
+def _tally(lexicon, bundles: int):
+    """Counts the bigrams of a partition and sums their scores per document."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            part = batch.column("part").to_numpy()
-            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b > a and held and part[a] != now:
-                    yield settle(held)
-                    held = []
-                if b > a:
-                    held.append(batch.slice(a, b - a))
-                    now = part[a]
-        if held:
-            yield settle(held)
+        for held in _groups(batches, "part"):
+            keys, docs = _flat(held, "keys"), _flat(held, "docs")
+            order = np.lexsort((docs, keys))
+            keys, docs = keys[order], docs[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            pair = np.flatnonzero(new | np.concatenate([[True], docs[1:] != docs[:-1]]))
+            own = np.diff(np.append(pair, len(keys)))
+            word = np.cumsum(new)[pair] - 1
+            total = np.bincount(word, own).astype(np.int64)[word]
+            scores = own * _score(lexicon.value, keys[pair] >> 32, keys[pair] & 0xFFFFFFFF, total - own)
+            who, place = np.unique(docs[pair], return_inverse=True)
+            yield _bundled(who, np.zeros(len(who), np.int64), np.bincount(place, scores), bundles)
 
     return tally
 
 
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums per document of each bundle."""
+    for held in _groups(batches, "bundle"):
+        who, place = np.unique(_flat(held, "docs"), return_inverse=True)
+        words, scores = np.bincount(place, _flat(held, "words")).astype(np.int64), np.bincount(place, _flat(held, "scores"))
+        mean = pa.array(scores / np.maximum(words, 1), mask=words == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(words), pa.array(scores), mean],
+                                         names=["doc_id", "n_words", "log_score", "mean_score"])
+
+
 def vocabulary(docs: DataFrame, most: int) -> Lexicon:
     """The lexicon of ``docs``: words more frequent than the word of rank ``most`` + 1."""
     counted = cut(docs.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
@@ -193,27 +221,29 @@ def vocabulary(docs: DataFrame, most: int) -> Lexicon:
     return Lexicon(np.array([w for _, w in known], np.int64), counts, int(total - counts.sum()))
 
 
-def backoff_scores(docs: DataFrame, most_words: int = 65_535, part_words: int = 4_000_000) -> DataFrame:
+def backoff_scores(docs: DataFrame, most_words: int = 65_535, part_words: int = 4_000_000,
+                   bundle_words: int = 8_000_000, frequent_words: int = FREQUENT) -> DataFrame:
     """One row per doc_id: ``doc_id, n_words, log_score, mean_score`` (natural logarithms; the mean is per word).
 
     A null or empty text has no words, score 0 and a null mean. Rows with a null
     doc_id are left out, and not counted; rows that share a doc_id are scored as
     one document of several texts. ``part_words`` sets the size of a partition
-    of bigrams.
+    of bigrams, ``bundle_words`` that of a bundle of documents, and ``frequent_words`` the
+    side of the dense table.
     """
     spark = docs.sparkSession
     rows = texts(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lexicon = vocabulary(rows, most_words)
     shared = spark.sparkContext.broadcast(lexicon)
-    dense = np.zeros((FREQUENT + 1) ** 2, np.int64)
-    pairs = rows.mapInArrow(_frequent_counts(shared), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    for r in pairs.collect():  # at most 513 * 513
+    dense = np.zeros((frequent_words + 1) ** 2, np.int64)
+    pairs = rows.mapInArrow(_frequent_counts(shared, frequent_words), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in pairs.collect():  # at most 513 * 513 by default
         dense[r["pair"]] = r["n"]
     frequent = spark.sparkContext.broadcast(dense)
     parts = max(1, math.ceil(lexicon.total / part_words))
-    schema = "doc_id bigint, n_words bigint, score double"
-    known = rows.mapInArrow(_known(shared, frequent), schema)
-    dealt = rows.mapInArrow(_deal(shared, parts), "part int, keys array<bigint>, docs array<bigint>")
-    far = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_tally(shared), schema)
-    return known.unionByName(far).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("log_score")).withColumn(
-        "mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    bundles = max(1, math.ceil(lexicon.total / bundle_words))
+    known = rows.mapInArrow(_known(shared, frequent, frequent_words, bundles), BUNDLE)
+    dealt = rows.mapInArrow(_deal(shared, frequent_words, parts), "part int, keys array<bigint>, docs array<bigint>")
+    far = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_tally(shared, bundles), BUNDLE)
+    return known.unionByName(far).repartition(bundles, "bundle").sortWithinPartitions("bundle").mapInArrow(
+        _sum, "doc_id bigint, n_words bigint, log_score double, mean_score double")

@@ -207,14 +207,11 @@ def scores_by_hand(rows, most):
     return out
 
 
-@pytest.mark.parametrize("most, part_words, frequent", [(65_535, 4_000_000, 512), (900, 5_000, 20)])
-def test_backoff_scores(spark, corpus, most, part_words, frequent, monkeypatch):
-    if frequent == 512:
-        want = scores_by_hand(corpus, most)
-        got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.backoff_scores(frame(spark, corpus), most, part_words).collect()}
-    else:
-        want = scores_by_hand(corpus, most)
-        got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.backoff_scores(frame(spark, corpus), most, part_words).collect()}
+@pytest.mark.parametrize("most, part_words, frequent", [(65_535, 4_000_000, 512), (900, 5_000, 512), (900, 5_000, 20)])
+def test_backoff_scores(spark, corpus, most, part_words, frequent):
+    want = scores_by_hand(corpus, most)
+    found = lm_scoring.backoff_scores(frame(spark, corpus), most, part_words, 10_000, frequent)
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in found.collect()}
     assert got.keys() == want.keys()
     for doc, (n, score) in want.items():
         assert got[doc][0] == n and math.isclose(got[doc][1], score, rel_tol=1e-9, abs_tol=1e-6), doc
