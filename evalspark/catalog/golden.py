@@ -79,7 +79,7 @@ def q_top10_trailing(t):
     return G.top_trailing_year(t.orders)
 
 
-@query("q_empty_point", "SELECT * FROM orders WHERE o_custkey = 999999999 LIMIT 100")
+@query("q_empty_point", "SELECT * FROM orders WHERE o_custkey = 999999999 ORDER BY o_orderkey LIMIT 100")
 def q_empty_point(t):
     return G.point_lookup(t.orders)
 

@@ -155,8 +155,9 @@ def coverage(t):
 
 @query("corpus_lint", f"""
 WITH goldens AS ({GOLDENS})
-SELECT min(id) AS id, 'duplicate_prompt' AS rule, CAST(count(*) AS STRING) AS value FROM goldens
-GROUP BY lower(regexp_replace(prompt, '[\\t-\\r ]+', ' ', 'g')) HAVING count(*) > 1
+SELECT DISTINCT id, 'duplicate_prompt' AS rule, CAST(n AS STRING) AS value FROM (
+  SELECT id, lower(regexp_replace(prompt, '[\\t-\\r ]+', ' ', 'g')) AS p FROM goldens) JOIN (
+  SELECT lower(regexp_replace(prompt, '[\\t-\\r ]+', ' ', 'g')) AS p, count(DISTINCT id) AS n FROM goldens GROUP BY 1) USING (p) WHERE n > 1
 UNION ALL SELECT id, 'missing_reasoning', '' FROM goldens WHERE golden_reasoning = ''""")
 def corpus_lint(t):
     return C.corpus_lint(C.golden_cases(t.corpus_raw, include_drafts=True))

@@ -67,9 +67,9 @@ def submission_violations(raw: DataFrame, keys: list[str] | None = None) -> Data
 
 
 def _raise_on(violations: DataFrame) -> None:
-    first = violations.limit(20).collect()
-    if first:
-        raise ValueError("; ".join(f"{r['id']}: {r['rule']} {r['value']!r}" for r in first))
+    found = violations.groupBy("rule").agg(F.count("*").alias("n"), F.min("id").alias("id")).orderBy("rule").collect()  # one row per rule
+    if found:
+        raise ValueError("; ".join(f"{r['rule']}: {r['n']}, first {r['id']!r}" for r in found))
 
 
 def golden_cases(raw: DataFrame, include_drafts: bool = False, strict: bool = False) -> DataFrame:
@@ -159,13 +159,11 @@ def normalised_prompt(prompt: Column) -> Column:
 
 
 def corpus_lint(goldens: DataFrame) -> DataFrame:
-    """Prompts used by several ids, and cases without reasoning."""
-    shared = (
-        goldens.groupBy(F.sha2(normalised_prompt(F.col("prompt")), 256).alias("_prompt"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-        .filter(F.col("n") > 1)
-        .select("id", F.lit("duplicate_prompt").alias("rule"), F.col("n").cast("string").alias("value"))
-    )
+    """Every id whose prompt other ids use too, with their number, and cases without reasoning."""
+    used = goldens.select(F.sha2(normalised_prompt(F.col("prompt")), 256).alias("_prompt"), "id").distinct()
+    several = used.groupBy("_prompt").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = used.join(several, "_prompt").select(
+        "id", F.lit("duplicate_prompt").alias("rule"), F.col("n").cast("string").alias("value"))
     silent = goldens.filter(F.col("golden_reasoning") == "").select(
         "id", F.lit("missing_reasoning").alias("rule"), F.lit("").alias("value")
     )

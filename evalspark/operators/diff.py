@@ -17,7 +17,6 @@ from evalspark.constants import AGENT_LABEL, GOLDEN_LABEL, MAX_RESULT_ROWS, SAMP
 from evalspark.functions.compare import cells_identical, cells_match, nan_to_null
 from evalspark.functions.encode import encode_rows, encoded_identical, encoded_match
 from evalspark.operators.ordering import align_sorted, null_safe_join
-from evalspark.session import durable
 
 GOLDEN, AGENT = "golden", "agent"
 CELLS = "cells"
@@ -130,40 +129,11 @@ def _has_missing(value: str) -> Column:
     return F.col(value).isNull()
 
 
-def rank_rows(tally: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Both sides of every result by rank: ``(keys, pos, g, a)``, a side may be null.
-
-    One shuffle on ``keys`` serves the ranking and the pairing. Only for results
-    within the row cap, which bounds what one task holds of a result.
-    """
-    sides = F.array(
-        F.struct(F.lit(GOLDEN).alias("side"), F.col("n_golden").alias("_n")),
-        F.struct(F.lit(AGENT).alias("side"), F.col("n_agent").alias("_n")),
-    )
-    copies = (
-        tally.select(*keys, *values, F.inline(sides)).filter(F.col("_n") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("_n", "_copy")
-    )
-    order = [F.col(v).asc_nulls_last() for v in values]
-    rank = F.row_number().over(Window.partitionBy(*keys, "side").orderBy(*order))
-    payload = F.struct(*values)
-    return (
-        copies.repartition(*keys)
-        .withColumn("pos", rank.cast("bigint"))
-        .groupBy(*keys, "pos")
-        .agg(
-            F.first(F.when(F.col("side") == GOLDEN, payload), ignorenulls=True).alias("g"),
-            F.first(F.when(F.col("side") == AGENT, payload), ignorenulls=True).alias("a"),
-        )
-    )
-
-
-def aligned_rows(rows: DataFrame, keys: list[str], values: list[str], row_cap: int = MAX_RESULT_ROWS) -> DataFrame:
-    """Ranked rows of every result within the cap."""
-    tally = tally_rows(rows, keys, values)
-    totals = case_totals(tally, keys, values)
-    over = totals.filter(F.greatest("n_golden", "n_agent") > row_cap).select(*keys)
-    return rank_rows(null_safe_join(tally, over, keys, "left_anti"), keys, values)
+def aligned_rows(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Both sides of every result by rank: ``(keys, pos, g, a)``, a side may be null. Results may have any size."""
+    segments = align_sorted(tally_rows(rows, keys, values), [*keys, *values], keys=keys)
+    position = F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("length")))
+    return segments.select(*keys, position.alias("pos"), "g", "a")
 
 
 def judged_rows(aligned: DataFrame, values: list[str]) -> DataFrame:
@@ -174,37 +144,20 @@ def judged_rows(aligned: DataFrame, values: list[str]) -> DataFrame:
 
 
 def diff_batch(
-    rows: DataFrame,
-    keys: list[str],
-    values: list[str] | None = None,
-    layouts: DataFrame | None = None,
-    row_cap: int = MAX_RESULT_ROWS,
-    oversize: str = "refuse",
+    rows: DataFrame, keys: list[str], values: list[str] | None = None, layouts: DataFrame | None = None
 ) -> DataFrame:
-    """Compare every result in one plan, one output row per result.
+    """Compare every result in one plan, one output row per result of any size.
 
     The exact comparison comes first and needs no order: results whose sides hold
     the same rows are settled by counting. Only results with equal row counts and
-    different rows are sorted and compared with tolerance. ``layouts`` lists the
-    columns of either side and keeps results without rows. A result over
-    ``row_cap`` is refused like any query over the cap; with ``oversize="align"``
-    it is compared through the range-ordered path instead.
+    different rows are ordered, by range, and compared with tolerance. ``layouts``
+    lists the columns of either side and keeps results without rows.
     """
     values = values or [c for c in rows.columns if c not in (*keys, "side")]
     tally = tally_rows(rows, keys, values)
     totals = case_totals(tally, keys, values)
-    if oversize == "align":
-        totals = durable(totals)
-    contested = _contested(totals)
-    small = contested.filter(F.col("n_golden") <= row_cap).select(*keys)
-    judged = judged_rows(rank_rows(null_safe_join(tally, small, keys, "left_semi"), keys, values), values)
-    counts = judged.groupBy(*keys).agg(
-        F.count_if(~F.col("ok")).alias("_apart"), F.count_if(~F.col("same")).alias("_unequal")
-    )
-    if oversize == "align":
-        large = contested.filter(F.col("n_golden") > row_cap).select(*keys)
-        if not large.isEmpty():
-            counts = counts.unionByName(_large_counts(null_safe_join(tally, large, keys, "left_semi"), keys, values))
+    contested = _contested(totals).select(*keys)
+    counts = _mismatch_counts(null_safe_join(tally, contested, keys, "left_semi"), keys, values)
     if layouts is None:
         none = F.array().cast("array<string>")
         cases = totals.withColumns({
@@ -219,11 +172,11 @@ def diff_batch(
         "_apart": F.coalesce("_apart", zero),
         "mismatched_rows": F.coalesce("_unequal", "_with_missing", zero),
     })
-    return describe(merged, keys, row_cap if oversize == "refuse" else None)
+    return describe(merged, keys)
 
 
-def _large_counts(tally: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Mismatch counts of results over the cap, whose sides have equal row counts.
+def _mismatch_counts(tally: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Mismatch counts of results whose sides have equal row counts.
 
     With equal counts in every result, equal positions in the two sorted tables
     belong to the same result and the same rank, so no rank per result is needed.
@@ -235,10 +188,10 @@ def _large_counts(tally: DataFrame, keys: list[str], values: list[str]) -> DataF
     )
 
 
-OUTCOME = """CASE WHEN {too_large} THEN 'too_large' WHEN NOT columns_match THEN 'columns'
+OUTCOME = """CASE WHEN NOT columns_match THEN 'columns'
   WHEN n_agent <> n_golden THEN 'row_count' WHEN _apart > 0 THEN 'values' ELSE 'match' END"""
 NAMES = "concat('[', array_join(transform({0}, c -> concat('\\'', c, '\\'')), ', '), ']')"
-SUMMARY = f"""CASE outcome WHEN 'too_large' THEN 'result exceeds {{cap}} row cap'
+SUMMARY = f"""CASE outcome
   WHEN 'columns' THEN concat('column mismatch ({GOLDEN_LABEL}: ', {NAMES.format("golden_cols")}, ', {AGENT_LABEL}: ',
                              {NAMES.format("agent_cols")}, ')')
   WHEN 'row_count' THEN concat('row count differs: {GOLDEN_LABEL}=', n_golden, ', {AGENT_LABEL}=', n_agent, ' (',
@@ -253,13 +206,10 @@ DETAIL = f"""CASE outcome
   ELSE '' END"""
 
 
-def describe(cases: DataFrame, keys: list[str], row_cap: int | None = None) -> DataFrame:
+def describe(cases: DataFrame, keys: list[str]) -> DataFrame:
     """Outcome, headline and detail: columns first, then row count, then values."""
-    too_large = "false" if row_cap is None else f"greatest(n_golden, n_agent) > {row_cap}"
-    return cases.selectExpr(
-        "*", f"{OUTCOME.format(too_large=too_large)} AS outcome", "n_agent - n_golden AS row_delta"
-    ).selectExpr(
-        *[f"`{k}`" for k in keys], "outcome = 'match' AS matched", "outcome", f"{SUMMARY.format(cap=f'{row_cap or 0:,}')} AS summary",
+    return cases.selectExpr("*", f"{OUTCOME} AS outcome", "n_agent - n_golden AS row_delta").selectExpr(
+        *[f"`{k}`" for k in keys], "outcome = 'match' AS matched", "outcome", f"{SUMMARY} AS summary",
         f"{DETAIL} AS detail", "columns_match", "only_golden", "only_agent", "n_golden", "n_agent", "row_delta",
         "mismatched_rows",
     )
@@ -274,15 +224,13 @@ def sub_signals(diffs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def diff_sample(
-    rows: DataFrame, keys: list[str], values: list[str], row_cap: int = MAX_RESULT_ROWS, size: int = SAMPLE_ROWS
-) -> DataFrame:
-    """The first differing rows of every result, one output row per differing cell.
+def diff_sample(rows: DataFrame, keys: list[str], values: list[str], size: int | None = SAMPLE_ROWS) -> DataFrame:
+    """The first ``size`` differing rows of every result (None: all), one output row per differing cell.
 
     As with the value comparison, only results with equal row counts are sampled.
     """
     tally = tally_rows(rows, keys, values)
-    contested = _contested(case_totals(tally, keys, values)).filter(F.col("n_golden") <= row_cap).select(*keys)
+    contested = _contested(case_totals(tally, keys, values)).select(*keys)
     types = {f.name: f.dataType for f in rows.schema.fields}
     cells = F.array(*[
         F.when(
@@ -296,14 +244,21 @@ def diff_sample(
         )
         for v in values
     ])
-    aligned = rank_rows(null_safe_join(tally, contested, keys, "left_semi"), keys, values)
+    aligned = align_sorted(null_safe_join(tally, contested, keys, "left_semi"), [*keys, *values], keys=keys)
     differing = aligned.withColumn("_cells", F.array_compact(cells)).filter(F.size("_cells") > 0)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-    return differing.withColumn("_nth", nth).filter(F.col("_nth") <= size).select(*keys, "pos", F.inline("_cells"))
-
-
-def multiset_match(golden: DataFrame, agent: DataFrame, keys: list[str], exact: list[str], floats: list[str],
-                   group_cap: int = MAX_RESULT_ROWS) -> DataFrame:
+    stop = F.col("start") + F.col("length")
+    if size is not None:  # the first segments hold the first rows
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start"))
+        differing = differing.withColumn("_nth", nth).filter(F.col("_nth") <= size)
+        stop = F.least(stop, F.col("start") + size)
+    placed = differing.withColumn("pos", F.explode(F.sequence(F.col("start") + 1, stop)))
+    if size is not None:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+        placed = placed.withColumn("_nth", nth).filter(F.col("_nth") <= size)
+    return placed.select(*keys, "pos", F.inline("_cells"))
+
+
+def multiset_match(golden: DataFrame, agent: DataFrame, keys: list[str], exact: list[str], floats: list[str]) -> DataFrame:
     """Order-free tolerant match per ``keys``: exact columns group, floats rank inside.
 
     Unlike the positional match, noise in a leading float column cannot pair
@@ -312,7 +267,7 @@ def multiset_match(golden: DataFrame, agent: DataFrame, keys: list[str], exact:
     rows = both_sides(golden.select(*keys, *exact, *floats), agent.select(*keys, *exact, *floats))
     group = [*keys, *exact]
     if floats:
-        groups = diff_batch(rows, group, floats, row_cap=group_cap, oversize="align")
+        groups = diff_batch(rows, group, floats)
     else:
         groups = result_sizes(rows, group).withColumn("matched", F.col("n_golden") == F.col("n_agent"))
     return groups.groupBy(*keys).agg(

@@ -102,7 +102,9 @@ def extract_json(answers: DataFrame, raw: str, name: str) -> DataFrame:
 
     Stepwise columns, so that no pattern runs twice on the same answer.
     """
-    inner, is_list = F.col("_inner"), F.startswith("_inner", F.lit("[")) & F.endswith("_inner", F.lit("]"))
+    inner = F.col("_inner")
+    # in brackets, only one whole JSON value gives a list of one
+    is_list = F.startswith(inner, F.lit("[")) & F.coalesce(F.json_array_length(F.concat(F.lit("["), inner, F.lit("]"))) == 1, F.lit(False))
     return (
         answers.withColumn("_text", strip(F.col(raw)))
         .withColumn("_block", F.regexp_extract("_text", FENCE, 0))
@@ -113,9 +115,12 @@ def extract_json(answers: DataFrame, raw: str, name: str) -> DataFrame:
     )
 
 
-def _to_bit(text: Column) -> Column:
+def _to_bit(text: Column, quoted: Column) -> Column:
+    """A JSON number or boolean as an integer; a JSON string only if it is written as one."""
+    whole = F.when(strip(text).rlike(r"\A[+-]?[0-9]+\z"), strip(text).try_cast("int"))
     return (
-        F.when(text == "true", F.lit(1)).when(text == "false", F.lit(0)).otherwise(text.try_cast("double").cast("int"))
+        F.when(quoted, whole).when(text == "true", F.lit(1)).when(text == "false", F.lit(0))
+        .otherwise(text.try_cast("double").cast("int"))
     )
 
 
@@ -125,7 +130,7 @@ def judge_verdicts(answers: DataFrame, raw: str) -> DataFrame:
     parsed = F.from_json("_json", F.lit(f"struct<{fields}>"), {"columnNameOfCorruptRecord": "_corrupt"})
     # as a generated row the answer is parsed once, not once per field
     read = extract_json(answers, raw, "_json").withColumn("_v", F.explode(F.array(parsed)))
-    bits = {d: _to_bit(F.col(f"_v.{d}")) for d in DIMENSIONS}
+    bits = {d: _to_bit(F.col(f"_v.{d}"), F.col("_json").rlike(f'"{d}"\\s*:\\s*"')) for d in DIMENSIONS}
     error = F.when(F.col("_json").isNull() | F.col("_v._corrupt").isNotNull(), F.lit("no JSON object"))
     for d in DIMENSIONS:
         error = error.when(bits[d].isNull(), F.lit(f"missing {d}"))

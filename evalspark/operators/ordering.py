@@ -52,46 +52,61 @@ def _running(ranged: DataFrame, sort: list[Column], counts: list[str]) -> DataFr
     return placed.withColumns({f"{c}_stop": F.col(f"_before_{c}") + F.col(f"_upto_{c}") for c in counts})
 
 
-def align_sorted(tally: DataFrame, order: list[str], block: int = BLOCK) -> DataFrame:
+def align_sorted(tally: DataFrame, order: list[str], block: int = BLOCK, keys: list[str] | None = None) -> DataFrame:
     """Line up the two sides of ``tally`` by position in their common order.
 
     ``tally`` has every distinct row once with its counts ``n_golden`` and
     ``n_agent``, so a value that makes up a third of the table is one row here.
     Returns segments ``(start, length, g, a)`` in which ``length`` positions hold
-    golden row ``g`` and agent row ``a``. Both sides need the same total (and,
-    when the order leads with group keys, the same in every group). Spans are
-    cut at multiples of ``block``, so a window never sees more than ``block``
+    golden row ``g`` and agent row ``a``. Without ``keys`` both sides need the
+    same total (and, when the order leads with group keys, the same in every
+    group). With ``keys``, which lead the order, positions count from 0 in every
+    group, the groups' columns come along, and the longer side meets nulls. Spans
+    are cut at multiples of ``block``, so a window never sees more than ``block``
     spans of either side.
     """
+    keys = keys or []
     sort = [F.col(c).asc_nulls_last() for c in order]
     placed = _running(_ranged(tally, sort), sort, ["n_golden", "n_agent"])
-    row = F.struct(*order)
-    spans = F.array(
-        F.struct((F.col("n_golden_stop") - F.col("n_golden")).alias("start"), F.col("n_golden_stop").alias("stop"),
-                 row.alias("g"), F.when(F.lit(False), row).alias("a")),
-        F.struct((F.col("n_agent_stop") - F.col("n_agent")).alias("start"), F.col("n_agent_stop").alias("stop"),
-                 F.when(F.lit(False), row).alias("g"), row.alias("a")),
-    )
+    row = F.struct(F.struct(*order).alias("r"))
+    none = F.when(F.lit(False), row)
+    begin = {side: F.col(f"{side}_stop") - F.col(side) for side in ("n_golden", "n_agent")}
+    if keys:
+        bases = placed.groupBy(*keys).agg(
+            *[F.min(begin[side]).alias(f"_{side}_base") for side in begin], *[F.sum(side).alias(f"_{side}_all") for side in begin])
+        placed = null_safe_join(placed, bases, keys, "inner")
+    base = {side: F.col(f"_{side}_base") if keys else F.lit(0) for side in begin}
+
+    def span(side: str, g: Column, a: Column) -> Column:
+        return F.struct((begin[side] - base[side]).alias("start"), (F.col(f"{side}_stop") - base[side]).alias("stop"), g.alias("g"), a.alias("a"))
+
+    spans = placed.select(*keys, F.inline(F.array(span("n_golden", row, none), span("n_agent", none, row))))
+    if keys:  # the shorter side of a group ends in a span of no row
+        kind = spans.schema["g"].dataType.simpleString()
+        nothing = F.struct(F.lit(None).cast(spans.schema["g"].dataType["r"].dataType).alias("r")).cast(kind)
+        short, long = F.least("_n_golden_all", "_n_agent_all"), F.greatest("_n_golden_all", "_n_agent_all")
+        golden_ends = F.col("_n_golden_all") < F.col("_n_agent_all")
+        spans = spans.unionByName(bases.select(
+            *keys, short.alias("start"), long.alias("stop"), F.when(golden_ends, nothing).alias("g"), F.when(~golden_ends, nothing).alias("a")))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
     pieces = (
-        placed.select(F.inline(spans))
-        .filter(F.col("stop") > F.col("start"))
+        spans.filter(F.col("stop") > F.col("start"))
         .withColumn("_block", F.explode(F.sequence(first, last)))
         .select(
-            "_block", "g", "a",
+            *keys, "_block", "g", "a",
             F.greatest("start", F.col("_block") * block).alias("_from"),
             F.least("stop", (F.col("_block") + 1) * block).alias("_to"),
         )
     )
-    by_position = Window.partitionBy("_block").orderBy("_from")
+    by_position = Window.partitionBy(*keys, "_block").orderBy("_from")
     filled = pieces.select(
-        "_from",
+        *keys, "_from",
         F.coalesce(F.lead("_from").over(by_position), F.col("_to")).alias("_until"),
-        F.last("g", ignorenulls=True).over(by_position).alias("g"),
-        F.last("a", ignorenulls=True).over(by_position).alias("a"),
+        F.last("g", ignorenulls=True).over(by_position)["r"].alias("g"),
+        F.last("a", ignorenulls=True).over(by_position)["r"].alias("a"),
     )
     return filled.filter(F.col("_until") > F.col("_from")).select(
-        F.col("_from").alias("start"), (F.col("_until") - F.col("_from")).alias("length"), "g", "a"
+        *keys, F.col("_from").alias("start"), (F.col("_until") - F.col("_from")).alias("length"), "g", "a"
     )
 
 

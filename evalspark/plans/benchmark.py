@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.constants import MAX_RESULT_ROWS
 from evalspark.operators import corpus as C, diff
 from evalspark.operators.ordering import null_safe_join
 from evalspark.operators.scores import case_status, optimization_label
@@ -43,7 +42,7 @@ def score_cases(pairs: DataFrame, diffs: DataFrame, stats: DataFrame, verdicts:
     )
 
 
-def execute_pairs(spark: SparkSession, pairs: DataFrame, row_cap: int = MAX_RESULT_ROWS) -> tuple[DataFrame, DataFrame]:
+def execute_pairs(spark: SparkSession, pairs: DataFrame, row_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Run both SQL texts of every pair; (encoded result rows, statistics).
 
     A golden text shared by several agents runs once. Only the texts visit the

@@ -103,7 +103,7 @@ def top_trailing_year(orders: DataFrame, as_of: dt.date = AS_OF, top: int = 10)
 
 def point_lookup(orders: DataFrame, customer_id: int = 999_999_999) -> DataFrame:
     """A customer that does not exist: no rows, full schema."""
-    return orders.filter(F.col("o_custkey") == customer_id).limit(100)
+    return orders.filter(F.col("o_custkey") == customer_id).orderBy("o_orderkey").limit(100)
 
 
 def between_average(orders: DataFrame, year: int = 2000) -> DataFrame:

@@ -12,9 +12,9 @@ LEDGER_SCHEMA = (
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """All recorded runs; a ledger that does not exist yet is empty."""
+    """All recorded runs; a ledger that does not exist yet is empty, a file that cannot be read fails."""
     try:
-        stored = spark.read.schema(LEDGER_SCHEMA).option("ignoreCorruptFiles", True).parquet(path)
+        stored = spark.read.schema(LEDGER_SCHEMA).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

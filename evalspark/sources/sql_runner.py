@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.constants import MAX_BYTES_SCANNED, MAX_RESULT_ROWS
 from evalspark.functions.encode import encode_rows
 from evalspark.functions.text import read_only_reason
 
@@ -38,49 +37,72 @@ def input_bytes(frame: DataFrame) -> int:
     return listed.agg(F.sum("length")).first()[0]
 
 
-def guarded(spark: SparkSession, sql: str, max_bytes: int = MAX_BYTES_SCANNED) -> tuple[DataFrame, int]:
-    """The query as a DataFrame with its input size, or the reason it is refused."""
+WRITING = ("Command", "ParsedStatement")  # what a plan that does more than read consists of
+
+
+def writes(spark: SparkSession, sql: str) -> bool:
+    """Whether the session's own parser finds a command or a write anywhere in the text; nothing runs."""
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    kinds = [spark._jvm.java.lang.Class.forName(f"{logical}.{name}") for name in WRITING]
+    open_ = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while open_:
+        node = open_.pop()
+        if any(kind.isInstance(node) for kind in kinds):
+            return True
+        for below in (node.children(), node.innerChildren()):
+            open_ += [below.apply(i) for i in range(below.size())]
+    return False
+
+
+def guarded(spark: SparkSession, sql: str, max_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """The query as a DataFrame with its input size, or the reason it is refused.
+
+    The text lint comes first; since it knows no string literals, the parsed plan
+    decides. ``max_bytes`` refuses larger inputs; None sets no limit.
+    """
     reason = spark.range(1).select(read_only_reason(F.lit(sql))).first()[0]
     if reason:
         raise QueryRefused(reason)
     try:
+        if writes(spark, sql.strip().rstrip(";")):
+            raise QueryRefused("only read queries are allowed")
         frame = spark.sql(sql.strip().rstrip(";"))
     except PySparkException as error:
         raise QueryRefused(f"dry-run failed: {error.getCondition() or error}") from error
     size = input_bytes(frame)
-    if size > max_bytes:
+    if max_bytes is not None and size > max_bytes:
         raise QueryRefused(f"would scan {size / 1e9:.2f} GB — exceeds {max_bytes / 1e9:.0f} GB ceiling")
     return frame, size
 
 
 def run_query(
-    spark: SparkSession, sql: str, max_bytes: int = MAX_BYTES_SCANNED, row_cap: int = MAX_RESULT_ROWS
+    spark: SparkSession, sql: str, max_bytes: int | None = None, row_cap: int | None = None
 ) -> tuple[DataFrame, QueryStats]:
-    """Guarded query and its statistics. The row count stops one row past the cap."""
+    """Guarded query and its statistics. With a row cap, the count stops one row past it."""
     frame, size = guarded(spark, sql, max_bytes)
     begin = time.monotonic()
     try:
-        rows = frame.limit(row_cap + 1).count()
+        rows = (frame if row_cap is None else frame.limit(row_cap + 1)).count()
     except PySparkException as error:
         raise QueryRefused(f"execution failed: {error.getCondition() or error}") from error
-    if rows > row_cap:
+    if row_cap is not None and rows > row_cap:
         raise QueryRefused(f"returned more than {row_cap:,} rows — exceeds {row_cap:,} row cap")
     return frame, QueryStats(size, (time.monotonic() - begin) * 1000, rows)
 
 
 def store_result(
-    spark: SparkSession, sql: str, tags: dict[str, str], path: str, row_cap: int = MAX_RESULT_ROWS
+    spark: SparkSession, sql: str, tags: dict[str, str], path: str, row_cap: int | None = None
 ) -> tuple[list[str], QueryStats]:
     """Run a query once and append its encoded rows, tagged, to the results table.
 
     The rows are written first and counted where they were written, so the query
-    runs a single time; writing stops one row past the cap.
+    runs a single time; with a row cap, writing stops one row past it.
     """
     frame, size = guarded(spark, sql)
     if len(set(frame.columns)) != len(frame.columns):
         raise QueryRefused(f"duplicate column names: {frame.columns}")
     begin = time.monotonic()
-    tagged = frame.limit(row_cap + 1).withColumns({k: F.lit(v) for k, v in tags.items()})
+    tagged = (frame if row_cap is None else frame.limit(row_cap + 1)).withColumns({k: F.lit(v) for k, v in tags.items()})
     try:
         encode_rows(tagged, list(tags)).write.mode("append").partitionBy(*tags).parquet(path)
     except PySparkException as error:
@@ -90,7 +112,7 @@ def store_result(
     for name, value in tags.items():
         written = written.filter(F.col(name) == value)
     rows = written.count()
-    if rows > row_cap:
+    if row_cap is not None and rows > row_cap:
         raise QueryRefused(f"returned more than {row_cap:,} rows — exceeds {row_cap:,} row cap")
     return frame.columns, QueryStats(size, duration, rows)
 

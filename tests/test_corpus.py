@@ -145,6 +145,6 @@ def test_lint_and_coverage(spark):
         "id string, prompt string, golden_reasoning string, tier string, category string, domain string",
     )
     found = {(r["id"], r["rule"], r["value"]) for r in C.corpus_lint(cases).collect()}
-    assert found == {("a", "duplicate_prompt", "2"), ("c", "missing_reasoning", "")}
+    assert found == {("a", "duplicate_prompt", "2"), ("b", "duplicate_prompt", "2"), ("c", "missing_reasoning", "")}
     totals = {(r["tier"], r["category"], r["domain"]): r["cases"] for r in C.coverage(cases).collect()}
     assert totals[(None, None, None)] == 3 and totals[("T1", None, None)] == 2

@@ -101,9 +101,8 @@ def test_spans_cut_at_blocks_cover_every_position_once(spark, block):
     assert sum(r["length"] for r in rows if not r["same"]) == brute(golden, agent)[1]
 
 
-@pytest.mark.parametrize("oversize,cap", [("refuse", 10_000), ("align", 20)])
-def test_batch_mode_equals_brute_force(spark, oversize, cap):
-    """One result holds a third of all rows; with a low cap it takes the range path."""
+def test_batch_mode_equals_brute_force(spark):
+    """One result holds a third of all rows."""
     rng = random.Random(11)
     golden, agent, expected = [], [], {}
     for case in range(12):
@@ -117,16 +116,34 @@ def test_batch_mode_equals_brute_force(spark, oversize, cap):
     schema = "case_id int, " + SCHEMA
     rows = diff.both_sides(*frames(spark, golden, agent, schema))
     for table, values in ((rows, ["s", "x", "n"]), (encode_rows(rows, ["case_id", "side"]), ["cells"])):
-        result = diff.diff_batch(table, ["case_id"], values, row_cap=cap, oversize=oversize).collect()
+        result = diff.diff_batch(table, ["case_id"], values).collect()
         got = {r["case_id"]: (r["matched"], r["mismatched_rows"] if r["row_delta"] == 0 else None) for r in result}
         assert got == expected
 
 
-def test_over_the_cap_is_refused(spark):
-    rows = [(1, float(i)) for i in range(30)] + [(2, 1.0)]
-    golden = spark.createDataFrame(rows, "case_id int, x double")
-    result = diff.diff_batch(diff.both_sides(golden, golden), ["case_id"], row_cap=20)
-    assert {r["case_id"]: r["outcome"] for r in result.collect()} == {1: "too_large", 2: "match"}
+def test_results_of_any_size(spark):
+    """Results above 10,000 rows with nulls, NaN, repeats and ties in the first column are compared to the last row."""
+    rng = random.Random(12)
+    big = [(rng.choice(["t", None]), rng.choice([1.0, float("nan"), None, rng.random()]), rng.choice([0, i])) for i in range(12_000)]
+    apart = [(s, x, n + 1 if i % 3000 == 7 else n) for i, (s, x, n) in enumerate(big)]
+    cases = {1: (big, big), 2: (big, apart), 3: (big, big[:-20]), 4: (big[:3], big[:3] + big), 5: (big[:2], []), 6: ([], big[:2])}
+    golden, agent = ([(k, *r) for k, both in cases.items() for r in both[side]] for side in (0, 1))
+    rows = diff.both_sides(*frames(spark, golden, agent, "case_id int, " + SCHEMA))
+    values = ["s", "x", "n"]
+    got = {r["case_id"]: r for r in diff.diff_batch(rows, ["case_id"], values).collect()}
+    for k, both in cases.items():
+        want = brute(*both)
+        assert (got[k]["matched"], got[k]["n_golden"], got[k]["n_agent"]) == (want[0], len(both[0]), len(both[1]))
+        if len(both[0]) == len(both[1]):
+            assert got[k]["mismatched_rows"] == want[1]
+    aligned = diff.aligned_rows(rows, ["case_id"], values)
+    count = {r["case_id"]: r for r in aligned.groupBy("case_id").agg(
+        F.count("g").alias("g"), F.count("a").alias("a"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n")).collect()}
+    for k, (g, a) in cases.items():
+        size = max(len(g), len(a))
+        assert tuple(count[k])[1:] == (len(g), len(a), 1, size, size)
+    sample = diff.diff_sample(rows, ["case_id"], values).collect()
+    assert {r["case_id"] for r in sample} == {2} and 1 <= len({r["pos"] for r in sample}) <= 5
 
 
 # --- facts ------------------------------------------------------------------------
@@ -232,15 +249,13 @@ def test_sample_shows_only_differing_cells(spark):
 
 
 def test_multiset_match_with_hot_group(spark):
-    """A group over the cap goes through the range path and gives the same answer."""
     rows = [("k", "hot", 1.0 + i * 1e-3) for i in range(60)] + [("k", "cold", 3.0)]
     near = [(k, e, x * (1 + 1e-8)) for k, e, x in rows]
     golden, agent = frames(spark, rows, near, "k string, e string, x double")
-    for cap in (10_000, 10):
-        got = diff.multiset_match(golden, agent, ["k"], ["e"], ["x"], group_cap=cap).first()
-        assert got["matched"] and got["n_golden"] == 61
+    got = diff.multiset_match(golden, agent, ["k"], ["e"], ["x"]).first()
+    assert got["matched"] and got["n_golden"] == 61
     far = agent.withColumn("x", F.when(F.col("x") > 1.05, F.col("x") * 2).otherwise(F.col("x")))
-    got = diff.multiset_match(golden, far, ["k"], ["e"], ["x"], group_cap=10).first()
+    got = diff.multiset_match(golden, far, ["k"], ["e"], ["x"]).first()
     assert not got["matched"] and got["differing_groups"] == 2
     counted = diff.multiset_match(golden, golden.limit(60), ["k"], ["e"], []).first()
     assert not counted["matched"]

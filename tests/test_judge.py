@@ -174,3 +174,10 @@ def test_ledger_store(spark, tmp_path):
     stored = read_ledger(spark, path)
     assert stored.count() == 2 and L.newest_runs(stored).first()["agent_name"] == "b"
     assert L.first_runs(stored).first()["agent_name"] == "a"
+
+
+def test_only_a_whole_json_array_is_a_list(spark):
+    good = '{"factual_accuracy": 1, "completeness": 0, "no_hallucination": "1"}'
+    texts = [f"[note] {good} [end]", f"[1] {good} [2]", f"[{good}]", good.replace(": 1,", ': "1.7",'), good.replace(": 1,", ': "true",'), good.replace(": 1,", ": true,")]
+    rows = J.judge_verdicts(spark.createDataFrame(list(enumerate(texts)), "k int, raw string"), "raw").orderBy("k").collect()
+    assert [r["error"] for r in rows] == [None, None, "no JSON object", "missing factual_accuracy", "missing factual_accuracy", None]
