@@ -84,7 +84,7 @@ def phases(blocks: dict, weights: dict, frame: int) -> list[dict]:
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, frame: int = 1000, block_chars: int = 65_536,
-          bucket_chars: int = 32 << 20) -> DataFrame:
+          bucket_chars: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, block, slot, release, deadline, place``.
 
     ``weights`` gives the target weight of each source by text; None takes the
