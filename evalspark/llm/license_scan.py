@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,25 @@ SCHEMA = ("doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last
 
 
 def settle(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """The detections that stand: by priority, then length, then place; one inside a standing one is suppressed."""
-    standing: list[tuple[int, int, Rule]] = []
+    """The detections that stand: by priority, then length, then place; one inside a standing one is suppressed.
+
+    A tree of prefix maxima over the starts holds how far any standing detection
+    that starts no later reaches, so thousands of detections in one text stay cheap.
+    """
+    starts = sorted({begin for begin, _, _ in found})
+    reach = [-1] * (len(starts) + 1)
+    standing = []
     for begin, end, rule in sorted(found, key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        if not any(b <= begin and end <= e for b, e, _ in standing):
-            standing.append((begin, end, rule))
+        own = k = bisect_right(starts, begin)
+        furthest = -1
+        while k:
+            furthest, k = max(furthest, reach[k]), k & (k - 1)
+        if furthest >= end:
+            continue
+        standing.append((begin, end, rule))
+        while own < len(reach):
+            reach[own] = max(reach[own], end)
+            own += own & -own
     return sorted(standing, key=lambda d: (d[0], d[1]))
 
 
@@ -44,16 +59,19 @@ def base_places(lowered: bytes) -> list[tuple[int, str]]:
     """First word and label of every place where a base phrase's words stand consecutively."""
     line, places = None, []
     for phrase, label in PHRASES.items():
-        words = phrase.encode().split()
-        if any(w not in lowered for w in words):
+        sought = phrase.encode()
+        if any(w not in lowered for w in sought.split()):
             continue
         if line is None:
             line = b" " + b" ".join(lowered.translate(NORMAL).split()) + b" "
-        at = line.find(b" " + phrase.encode() + b" ")
+        at = line.find(b" " + sought + b" ")
         while at >= 0:
-            places.append((line.count(b" ", 0, at), label))
-            at = line.find(b" " + phrase.encode() + b" ", at + 1)
-    return sorted(places)
+            places.append((at, label))
+            at = line.find(b" " + sought + b" ", at + 1)
+    if not places:
+        return []
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
+    return sorted(zip(np.searchsorted(blanks, [at for at, _ in places]).tolist(), (label for _, label in places)))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 
 from evalspark.llm import decontamination, license_scan, license_rules, secret_scan
@@ -58,6 +59,16 @@ def settled_by_hand(found):
     return sorted(out, key=lambda d: d[:2])
 
 
+def test_settling_many_overlaps_matches_all_pairs():
+    draw = random.Random(3)
+    for _ in range(400):
+        found = []
+        for _ in range(draw.randrange(30)):
+            begin, priority = draw.randrange(30), draw.randrange(4)
+            found.append((begin, begin + draw.randrange(1, 9), license_rules.Rule("x", priority, 0.5, b"", re.compile(b""))))
+        assert license_scan.settle(found) == settled_by_hand(found)
+
+
 def test_keyword_gate_hides_no_rule(corpus):
     lines = ["Licensed under the Apache License, Version 2.0.", "gnu gpl v2", "CC-BY 4.0 / CC0 1.0 / creative commons zero", "the unlicense", "eupl; isc license"]
     for text in [t for _, t, *_ in corpus if t and "icense" in t][:20] + lines:
