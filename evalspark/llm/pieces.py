@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +82,14 @@ class PieceCache:
         self.pool, self.used = np.zeros(1 << 18, np.int32), 0
 
     def find(self, pieces: pa.Array) -> np.ndarray:
-        """The slot of every piece."""
+        """The slot of every piece; the pieces are distinct."""
         wanted = pieces.to_pylist()
         if len(self.slots) + len(wanted) > self.most:
             self.clear()
-        new = [p for p in wanted if p not in self.slots]
-        if new:
+        slots = np.array(list(map(self.slots.get, wanted, repeat(-1))), np.int64)
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            new = [wanted[k] for k in unknown.tolist()]
             ids = self.encode(new)
             at = len(self.slots)
             while at + len(new) > len(self.lengths):
@@ -95,12 +98,13 @@ class PieceCache:
             total = int(counts.sum())
             while self.used + total > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used: self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+            self.pool[self.used: self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
             self.lengths[at: at + len(new)] = counts
             self.starts[at: at + len(new)] = self.used + np.cumsum(counts) - counts
             self.used += total
             self.slots.update(zip(new, range(at, at + len(new))))
-        return np.fromiter(map(self.slots.__getitem__, wanted), np.int64, len(wanted))
+            slots[unknown] = np.arange(at, at + len(new))
+        return slots
 
     def expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces in ``slots``, flat, and the number of ids of each."""
