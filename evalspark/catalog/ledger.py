@@ -11,11 +11,15 @@ JUDGE_HASH = "0f1e2d3c"
 FIELDS = ["case_id", "agent_sql", "agent_explanation"]
 
 # shared pieces of the checks
-BLOBS = """SELECT submission, count(*) AS n_rows, string_agg(concat(CAST(case_id AS STRING), chr(31), agent_sql, chr(31),
-    agent_explanation), chr(10) ORDER BY CAST(case_id AS STRING), agent_sql, agent_explanation) AS blob
-  FROM {submissions} GROUP BY submission"""
-CORPUS = """SELECT string_agg(concat(CAST(item_id AS STRING), chr(31), trim(text)), chr(10) ORDER BY CAST(item_id AS STRING),
-    trim(text)) AS corpus FROM benchmark"""
+def blob_sql(line: str) -> str:
+    words = [f"sum(CAST(concat('0x', substr(sha256({line}), {8 * i + 1}, 8)) AS BIGINT))" for i in range(8)]
+    return f"concat_ws(':', count(*), {', '.join(words)})"
+
+
+BLOBS = f"""SELECT submission, count(*) AS n_rows, {blob_sql(
+    "concat(CAST(case_id AS STRING), chr(31), agent_sql, chr(31), agent_explanation)")} AS blob
+  FROM {{submissions}} GROUP BY submission"""
+CORPUS = f"""SELECT {blob_sql("concat(CAST(item_id AS STRING), chr(31), trim(text))")} AS corpus FROM benchmark"""
 PRINTS = f"""SELECT submission, substr(sha256(blob), 1, 16) AS agent_hash, substr(sha256(corpus), 1, 16) AS corpus_hash,
     '{JUDGE_HASH}' AS judge_prompt_hash, substr(sha256(concat('agent:', blob, chr(10), 'corpus:', corpus, chr(10),
     'judge:', '{JUDGE_HASH}')), 1, 16) AS fingerprint

@@ -90,7 +90,6 @@ AGREEMENT_LINE_PATTERN = r"\*\*Overall agreement:\*\*\s*(\d+)%"
 
 # --- run ledger -------------------------------------------------------------
 FIELD_SEPARATOR = "\x1f"
-ROW_SEPARATOR = "\n"
 FINGERPRINT_HEX = 16
 PROMPT_HASH_HEX = 8
 RECENT_RUNS = 25

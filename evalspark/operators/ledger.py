@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalspark.constants import FIELD_SEPARATOR, FINGERPRINT_HEX, RECENT_RUNS, ROW_SEPARATOR
+from evalspark.constants import FIELD_SEPARATOR, FINGERPRINT_HEX, RECENT_RUNS
 from evalspark.functions.text import clean
-from evalspark.operators.ordering import null_safe_join, previous_row
+from evalspark.operators.ordering import previous_row
 
-ROWS_PER_CHUNK = 10_000
-BYTES_PER_CHUNK = 8 << 20
+HASH_WORDS = 8  # 32 bits each
 COMPONENTS = ("agent_hash", "corpus_hash", "judge_prompt_hash")
 
 
@@ -17,50 +16,28 @@ def sha16(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(FINGERPRINT_HEX))
 
 
-def canonical_blob(
-    rows: DataFrame, keys: list[str], fields: list[str], rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """One canonical text per key: fields stripped, rows sorted, joined by separators.
+def canonical_blob(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One short canonical text per key, the same form at every size: the row count and eight sums.
 
-    A key of up to ``rows_per_chunk`` rows and 8 MiB gives exactly that text. A
-    larger one is spread over chunks by a hash of the row; its blob is the list of the
-    chunk digests. The size decides which form applies, so equal content always
-    gives an equal blob, and no task holds more than about one chunk of distinct
-    rows. Copies are counted before the shuffle.
+    Fields are stripped and joined; the sums run over the eight 32-bit words of
+    every row's sha256. Equal content gives an equal text in whatever order the
+    rows come, and any row or copy more or less changes it. Rows are summed where
+    they are read, so a key of any size leaves one row per task. The sums detect
+    changes; they are no defence against texts forged to collide.
     """
-    cleaned = rows.select(*keys, *[clean(F.col(f).cast("string")).alias(f"_f{i}") for i, f in enumerate(fields)])
-    names = [f"_f{i}" for i in range(len(fields))]
-    length = sum((F.octet_length(n).cast("bigint") for n in names), F.lit(0))
-    sizes = cleaned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(length).alias("_bytes")).select(
-        *keys, "n_rows",
-        F.greatest(F.ceil(F.col("n_rows") / rows_per_chunk), F.ceil(F.col("_bytes") / BYTES_PER_CHUNK)).alias("_chunks"),
-    )
-    distinct = cleaned.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_copies"))
-    spread = null_safe_join(distinct, sizes, keys, "inner").withColumn(
-        "_chunk", F.pmod(F.xxhash64(*names), F.col("_chunks"))
-    )
-    line = lambda r: F.concat_ws(FIELD_SEPARATOR, *[r[n] for n in names])
-    gathered = F.array_sort(F.collect_list(F.struct(*names, "_copies")))
-    chunks = spread.groupBy(*keys, "n_rows", "_chunks", "_chunk").agg(gathered.alias("_rows"))
-    whole = F.flatten(F.transform("_rows", lambda r: F.array_repeat(line(r), r["_copies"].cast("int"))))
-    counted = F.transform("_rows", lambda r: F.concat_ws(FIELD_SEPARATOR, line(r), r["_copies"].cast("string")))
-    text = F.when(F.col("_chunks") == 1, F.array_join(whole, ROW_SEPARATOR)).otherwise(
-        F.sha2(F.array_join(counted, ROW_SEPARATOR), 256)
-    )
-    parts = F.array_sort(F.collect_list(F.struct("_chunk", "_text")))
-    return (
-        chunks.withColumn("_text", text)
-        .groupBy(*keys, "n_rows", "_chunks")
-        .agg(F.array_join(F.transform(parts, lambda p: p["_text"]), ROW_SEPARATOR).alias("_blob"))
-        .select(
-            *keys, "n_rows",
-            F.when(F.col("_chunks") == 1, F.col("_blob")).otherwise(F.concat(F.lit("tree:"), "_blob")).alias("blob"),
-        )
+    line = F.concat_ws(FIELD_SEPARATOR, *[clean(F.col(f).cast("string")) for f in fields])
+    hashed = rows.select(*keys, F.sha2(line, 256).alias("_hash"))
+    sums = [
+        F.sum(F.conv(F.substring("_hash", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string")
+        for i in range(HASH_WORDS)
+    ]
+    return hashed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums).alias("blob")
     )
 
 
 def run_fingerprint(agent: Column, corpus: Column, judge_hash: Column) -> Column:
-    """Hash over submission, corpus and judge prompt: any change gives a new run."""
+    """Hash over the blobs of submission and corpus and the judge prompt: any change gives a new run."""
     return sha16(F.concat(F.lit("agent:"), agent, F.lit("\ncorpus:"), corpus, F.lit("\njudge:"), judge_hash))
 
 

@@ -137,14 +137,19 @@ def test_latest_report_and_freshness(spark):
 
 # --- fingerprints ---------------------------------------------------------------------
 
-def blob(spark, rows, chunk=10_000):
+def blob(spark, rows):
     table = spark.createDataFrame(rows, "s string, id string, q string").repartition(5)
-    return {r["s"]: (r["n_rows"], r["blob"]) for r in L.canonical_blob(table, ["s"], ["id", "q"], chunk).collect()}
+    return {r["s"]: (r["n_rows"], r["blob"]) for r in L.canonical_blob(table, ["s"], ["id", "q"]).collect()}
+
+
+def blob_by_hand(lines):
+    digests = [hashlib.sha256("\x1f".join(x).encode()).digest() for x in lines]
+    return ":".join(map(str, [len(lines), *[sum(int.from_bytes(d[k: k + 4], "big") for d in digests) for k in range(0, 32, 4)]]))
 
 
 def test_blob_and_fingerprint_equal_a_plain_hash(spark):
     rows = [("a", " 2 ", "x\n"), ("a", "10", None), ("a", "2b", "y"), ("a", "10", None), ("b", "1", "z")]
-    expected = "\n".join("\x1f".join((i.strip(), (q or "").strip())) for s, i, q in sorted(rows, key=lambda r: r[1].strip()) if s == "a")
+    expected = blob_by_hand([(i.strip(), (q or "").strip()) for s, i, q in rows if s == "a"])
     got = blob(spark, rows)
     assert got["a"] == (4, expected)
     digest = hashlib.sha256(b"agent:" + expected.encode() + b"\ncorpus:C\njudge:J").hexdigest()[:16]
@@ -152,13 +157,14 @@ def test_blob_and_fingerprint_equal_a_plain_hash(spark):
     assert one.select(L.run_fingerprint(F.col("blob"), F.lit("C"), F.lit("J")).alias("f")).first()["f"] == digest
 
 
-def test_large_submissions_hash_in_chunks(spark):
-    """Order-free, sensitive to every row and to the number of copies."""
-    rows = [("a", str(i % 40), "q") for i in range(100)] + [("a", "copy", "same")] * 50
-    base = blob(spark, rows, 8)["a"][1]
-    assert base.startswith("tree:") and blob(spark, rows[::-1], 8)["a"][1] == base
-    assert blob(spark, rows[1:] + [("a", "zz", "q")], 8)["a"][1] != base
-    assert blob(spark, rows[:-1] + [rows[0]], 8)["a"][1] != base
+@pytest.mark.parametrize("size", [3, 12_000])
+def test_blobs_have_one_form_and_see_every_row(spark, size):
+    """Order-free, sensitive to every row and to the number of copies, alike at every size."""
+    rows = [("a", str(i % 400), "q") for i in range(size)] + [("a", "copy", "same")] * 5
+    base = blob(spark, rows)["a"][1]
+    assert base == blob_by_hand([r[1:] for r in rows]) == blob(spark, rows[::-1])["a"][1]
+    changed = [rows[1:], rows[1:] + [("a", "zz", "q")], rows[:-1] + [rows[0]], rows + [rows[-1]]]
+    assert len({base, *[blob(spark, c)["a"][1] for c in changed]}) == 5
 
 
 def test_ledger_store(spark, tmp_path):
