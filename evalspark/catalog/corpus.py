@@ -54,7 +54,8 @@ def joined(frame):
 def read_golden(t):
     """The corpus written as CSV with quotes and line breaks, read back and typed."""
     path = files.write_csv(t.corpus_raw.drop("case_pos").withColumn("note", F.lit("ignored")), scratch_path(t.spark, "corpus"))
-    return joined(C.golden_cases(files.read_golden(t.spark, path), include_drafts=True))
+    # the order in the files is that of the writer's tasks
+    return joined(C.golden_cases(files.read_golden(t.spark, path), include_drafts=True)).drop("case_pos")
 
 
 @query("read_submissions", """
@@ -66,7 +67,7 @@ def read_submissions(t):
         "agent_sql", "agent_explanation", "submission",
     )
     path = files.write_csv(rows, scratch_path(t.spark, "submissions"), ["submission"])
-    return C.agent_inputs(files.read_submissions(t.spark, path, "submission"), ["agent_name"])
+    return C.agent_inputs(files.read_submissions(t.spark, path, "submission"), ["agent_name"]).drop("case_pos")
 
 
 @query("parse_result_csv", """

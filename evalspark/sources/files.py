@@ -8,11 +8,11 @@ field are read as ``\\n``, whatever the file uses.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from evalspark.constants import GOLDEN_OPTIONAL, GOLDEN_REQUIRED, SUBMISSION_REQUIRED
 
-MAX_COLUMNS = 64  # a required column further right counts as missing
+FILE_ROWS = 1 << 33  # the numbers of rows of one file stay below, as Spark numbers the rows of a task
 CSV_OPTIONS = {
     "header": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
@@ -23,13 +23,27 @@ WRITE_OPTIONS = {
 }
 
 
+def _header_width(spark: SparkSession, paths: str | list[str]) -> int:
+    """The most columns any header of the files may have: the commas of its first line, plus one.
+
+    Names do not span lines. Cells beyond the header have no name and are not read.
+    """
+    lines = spark.read.text(paths).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.regexp_count("value", F.lit(",")).alias("commas"),
+    )
+    first = lines.groupBy("path").agg(F.min_by("commas", F.struct("block", "line")).alias("commas"))
+    return (first.agg(F.max("commas")).first()[0] or 0) + 1
+
+
 def _raw_cells(spark: SparkSession, paths: str | list[str], partitions: list[str]) -> DataFrame:
-    names = [f"_c{i}" for i in range(MAX_COLUMNS)]
+    """Every record as ``cells``, with its ``path`` and a number that ascends within the file."""
+    names = [f"_c{i}" for i in range(_header_width(spark, paths))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     read = spark.read.schema(schema).options(**CSV_OPTIONS).csv(paths)
     return read.select(
         F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("path"),
-        *[F.col(p) for p in partitions],
+        F.monotonically_increasing_id().alias("_row"), *[F.col(p) for p in partitions],
     )
 
 
@@ -40,33 +54,33 @@ def read_named_csv(
     optional: tuple[str, ...] = (),
     partitions: list[str] | None = None,
 ) -> DataFrame:
-    """Rows of CSV files with named columns, as text, with their ``path``.
+    """Rows of CSV files with named columns, as text, with their ``path`` and ``case_pos``.
 
-    A column is null where the file does not have it. A file that lacks a
-    required column, or has no header, fails the query that reads it.
+    The first record of a file is its header, and only that one; of equal names
+    the last counts. A column is null where the file does not have it. A file
+    that lacks a required column fails the query that reads it. ``case_pos``
+    ascends with the path and the row in the file.
     """
     partitions = partitions or []
     raw = _raw_cells(spark, paths, partitions)
     wanted = F.array(*[F.lit(c) for c in required])
-    lacking = F.array_except(wanted, "cells")
-    # the header is the row that misses the fewest required names
-    candidate = F.when(
-        F.size(lacking) < len(required), F.struct(F.size(lacking).alias("n"), lacking.alias("missing"), "cells")
-    )
-    headers = raw.groupBy("path").agg(F.min(candidate).alias("_h")).select(
-        "path", F.coalesce("_h.missing", wanted).alias("missing"), F.col("_h.cells").alias("names")
-    )
-    problem = F.concat("path", F.lit(": missing required columns ["), F.array_join("missing", ", "), F.lit("]"))
+    # a file is one task, so its rows are numbered in order
+    headers = raw.groupBy("path").agg(F.min_by("cells", "_row").alias("names"), F.min("_row").alias("_head"))
+    missing = F.array_except(wanted, "names")
+    problem = F.concat("path", F.lit(": missing required columns ["), F.array_join(missing, ", "), F.lit("]"))
     checked = headers.select(
-        "path", F.when(F.size("missing") > 0, F.raise_error(problem).cast("array<string>")).otherwise(F.col("names")).alias("names")
+        "path", "_head", F.row_number().over(Window.orderBy("path")).cast("bigint").alias("_file"),  # one row per file
+        F.when(F.size(missing) > 0, F.raise_error(problem).cast("array<string>")).otherwise(F.col("names")).alias("names"),
     )
-    body = raw.join(checked, "path").filter(~F.col("cells").eqNullSafe(F.col("names")))
+    body = raw.join(checked, "path").filter(F.col("_row") > F.col("_head"))
 
     def cell(name: str) -> Column:
-        at = F.array_position("names", name)
-        return F.when(at > 0, F.try_element_at("cells", at.cast("int"))).alias(name)
+        at = F.size("names") + 1 - F.array_position(F.reverse("names"), name)
+        known = F.array_contains(F.transform("names", lambda n: F.coalesce(n, F.lit(""))), name)
+        return F.when(known, F.try_element_at("cells", at.cast("int"))).alias(name)
 
-    return body.select(*[cell(c) for c in (*required, *optional)], "path", *partitions)
+    place = (F.col("_file") * FILE_ROWS + F.col("_row") - F.col("_head")).alias("case_pos")
+    return body.select(*[cell(c) for c in (*required, *optional)], "path", place, *partitions)
 
 
 def empty_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -94,7 +108,7 @@ def read_submissions(spark: SparkSession, paths: str | list[str], agent_partitio
     partitions = [agent_partition] if agent_partition else []
     rows = read_named_csv(spark, paths, SUBMISSION_REQUIRED, partitions=partitions)
     agent = F.col(agent_partition).cast("string") if agent_partition else agent_from_path(F.col("path"))
-    return rows.select(agent.alias("agent_name"), *SUBMISSION_REQUIRED, "path")
+    return rows.select(agent.alias("agent_name"), *SUBMISSION_REQUIRED, "path", "case_pos")
 
 
 def write_csv(frame: DataFrame, path: str, partition_by: list[str] | None = None) -> str:

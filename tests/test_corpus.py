@@ -64,6 +64,36 @@ def test_submissions_of_a_folder_with_different_headers(spark, tmp_path):
     assert files.empty_files(spark, str(tmp_path)).count() == 1
 
 
+def test_the_first_record_is_the_header(spark, tmp_path):
+    """Repeated header lines are rows, order is kept, of equal names the last counts, and any width will do."""
+    plain = [golden(id=f"c{k}") for k in (3, 1, 2)]
+    path = tmp_path / "a.csv"
+    write(path, [plain[0], {c: c for c in COLUMNS}, *plain[1:]], COLUMNS)
+    got = files.read_golden(spark, str(path)).orderBy("case_pos").collect()
+    assert [r["id"] for r in got] == ["c3", "id", "c1", "c2"]
+
+    wide = tmp_path / "wide.csv"
+    write(wide, plain, [*[f"x{k}" for k in range(100)], *COLUMNS])
+    assert [r["id"] for r in files.read_golden(spark, str(wide)).orderBy("case_pos").collect()] == ["c3", "c1", "c2"]
+
+    twice = tmp_path / "twice.csv"
+    twice.write_text("id,agent_sql,agent_explanation,id\nold,SELECT 1,x,new\n")
+    assert [r["id"] for r in files.read_submissions(spark, str(twice)).collect()] == ["new"]
+
+    bad = tmp_path / "bad.csv"
+    write(bad, [{c: c for c in COLUMNS}, golden()], COLUMNS)
+    bad.write_text("title\n" + bad.read_text())
+    with pytest.raises(PySparkException, match="missing required columns"):
+        files.read_golden(spark, str(bad)).collect()
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, k in (("b.csv", 1), ("a.csv", 2), ("c.csv", 3)):
+        write(folder / name, [golden(id=f"{k}-{i}") for i in range(3)], COLUMNS)
+    got = files.read_golden(spark, str(folder)).orderBy("case_pos").collect()
+    assert [r["id"] for r in got] == [f"{k}-{i}" for k in (2, 1, 3) for i in range(3)]
+
+
 def test_violations(spark):
     rows = [
         golden(), golden(), golden(id="  "), golden(id="t", tier=" t2 "), golden(id="bad_tier", tier="T7", status="draft"),
