@@ -217,6 +217,20 @@ def test_backoff_scores(spark, corpus, most, part_words, frequent):
         assert got[doc][0] == n and math.isclose(got[doc][1], score, rel_tol=1e-9, abs_tol=1e-6), doc
 
 
+def test_backoff_keeps_rare_words(spark, corpus):
+    """More distinct words than are broadcast: each keeps its own count."""
+    pick = random.Random(11)
+    rare = [" ".join(f"r{k}" for k in range(at, at + 7_000)) for at in range(0, 70_000, 7_000)]
+    rare += ["r5 r6 r7 the r5 r6", "r69999", " ".join(f"r{pick.randrange(70_000)}" for _ in range(3_000)), "r8 r8 r8", "r8 r8"]
+    rows = list(corpus) + [(500_000 + k, t) for k, t in enumerate(rare)]
+    want = scores_by_hand(rows, 1 << 40)
+    for some in ({}, {"part_words": 9_000, "bundle_words": 20_000, "frequent_words": 20, "broadcast_words": 300}):
+        got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.backoff_scores(frame(spark, rows), **some).collect()}
+        assert got.keys() == want.keys()
+        for doc, (n, score) in want.items():
+            assert got[doc][0] == n and math.isclose(got[doc][1], score, rel_tol=1e-9, abs_tol=1e-6), (some, doc)
+
+
 def test_backoff_on_an_empty_table(spark, nothing):
     assert lm_scoring.backoff_scores(nothing).count() == 0
     assert [tuple(r)[:2] for r in lm_scoring.backoff_scores(frame(spark, [(1, None), (None, "a b")])).collect()] == [(1, 0)]
