@@ -9,6 +9,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -336,6 +337,24 @@ def test_mixing(spark, corpus):
     assert source_mixing.mixed(frame(spark, [])).count() == 0
 
 
+def test_targets_hold_over_many_blocks(spark):
+    """Against the target weight itself no source is a block ahead or behind, however long the phase."""
+    chars = {f"s{k}": 4000 if k == 0 else 200 + k for k in range(20)}
+    rows = [(doc, "abcde", "en", s) for doc, s in enumerate(s for s, n in chars.items() for _ in range(n))]
+    at = {r["slot"]: r["source"] for r in source_mixing.mixed(frame(spark, rows), block_chars=5, bucket_chars=2000).collect()}
+    assert sorted(at) == list(range(len(rows)))
+    weights = {s: Fraction(math.sqrt(5 * n)) for s, n in chars.items()}
+    total, used = sum(weights.values()), dict.fromkeys(chars, 0)
+    for slot in range(len(rows)):
+        used[at[slot]] += 1
+        assert all(abs(n - (slot + 1) * weights[s] / total) < 1 for s, n in used.items()), slot
+        if used[at[slot]] == chars[at[slot]]:
+            break
+    assert slot > 4000
+    share = source_mixing.shares({k: 1 + k % 7 for k in range(2500)})  # more sources than slots of a frame
+    assert all(n * sum(1 + k % 7 for k in range(2500)) == (1 + k % 7) * sum(share.values()) for k, n in share.items())
+
+
 def test_interleave_writes_in_order(spark, corpus):
     order = {r["doc_id"]: (r["slot"], r["place"]) for r in source_mixing.mixed(frame(spark, corpus), block_chars=3000).collect()}
     path = scratch_path(spark, "mixed")
