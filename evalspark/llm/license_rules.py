@@ -1,7 +1,7 @@
 """The signature rules of the license scan, built from families and forms.
 
 A rule is a regular expression over the lower-cased UTF-8 bytes of a text, a
-keyword that must occur before the expression is tried, a label, a priority (a
+keyword that must occur, blank runs read as one space, before the expression is tried, a label, a priority (a
 smaller number wins) and a weight between 0 and 1.
 """
 
@@ -85,9 +85,10 @@ SENTENCES = [
     ("mpl", b"source code form", r"this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", b"unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("zlib", b"as-is", r"this software is provided 'as-is',? without any express or implied warranty"),
-    ("boost", b"machine-executable", r"copies of the software,? in whole or in part,? and all derivative works of the software"),
+    ("boost", b"derivative works", r"copies of the software,? in whole or in part,? and all derivative works of the software"),
     ("public-domain", b"public domain", r"(?:dedicated|released|placed) (?:in|in ?to) the public domain"),
-    ("proprietary", b"all rights reserved", r"(?:confidential and proprietary|all rights reserved\. no part of)"),
+    ("proprietary", b"confidential and", r"confidential and proprietary"),
+    ("proprietary", b"all rights reserved", r"all rights reserved\. no part of"),
 ]
 NOTICE = r"(?:licensed|released|distributed|available|provided|published|offered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a )?"
 

@@ -43,13 +43,24 @@ def settle(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     return sorted(standing, key=lambda d: (d[0], d[1]))
 
 
+BLANKS = bytes.maketrans(b"\t\r\n", b"   ")
+
+
+def one_blank(lowered: bytes) -> bytes:
+    """The text with every run of blanks, as the patterns know them, as one space."""
+    line = lowered.translate(BLANKS)
+    while b"  " in line:
+        line = line.replace(b"  ", b" ")
+    return line
+
+
 def detect(lowered: bytes) -> list[tuple[int, int, Rule]]:
     """The standing detections of a lower-cased text, as byte intervals."""
     present: dict[bytes, bool] = {}
-    found = []
+    line, found = one_blank(lowered), []
     for rule in rules():
         if rule.keyword not in present:
-            present[rule.keyword] = rule.keyword in lowered
+            present[rule.keyword] = rule.keyword in line
         if present[rule.keyword]:
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(lowered)]
     return settle(found)
@@ -79,7 +90,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         words = Words(part.column("text"), ALNUM, lower=True)
         whole = words.data.tobytes()
-        seen = any(k in whole for k in keywords)
+        line = one_blank(whole)
+        seen = any(k in line for k in keywords)
         rows = []
         for row, (begin, end) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist())):
             lowered = whole[begin:end] if seen else b""

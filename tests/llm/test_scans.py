@@ -77,6 +77,23 @@ def test_keyword_gate_hides_no_rule(corpus):
         assert license_scan.detect(lowered) == settled_by_hand(every)
 
 
+def test_keyword_gate_reads_wrapped_lines(spark):
+    texts = [
+        "GNU Lesser General\nPublic License", "the GNU  General Public License", "creative\r\ncommons zero", "common\tpublic license", "isc\n\nlicense",
+        "GNU Free\nDocumentation  License 1.3", "released into the public\ndomain", "This Source  Code\nForm is subject to the terms of the Mozilla Public License",
+        "all rights\nreserved.  No part of", "Confidential and\nproprietary", "open  software license 3.0",
+        "copies of the Software, in whole or in part, and all derivative\nworks of the Software",
+    ]
+    for text in texts:
+        lowered = text.translate(LOWER).encode()
+        every = [(m.start(), m.end(), r) for r in license_rules.rules() for m in r.pattern.finditer(lowered)]
+        assert every and license_scan.detect(lowered) == settled_by_hand(every), text
+    got = license_scan.licenses(frame(spark, [(k, t) for k, t in enumerate(texts)]).coalesce(1)).collect()
+    assert all(r["labels"] and r["score"] > 0 for r in got)
+    alone = license_scan.licenses(frame(spark, [(1, texts[0])])).collect()[0]  # nothing else in the slice opens the gate
+    assert alone["labels"] == "lgpl"
+
+
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
