@@ -141,6 +141,23 @@ def test_secrets(spark, corpus):
     assert hits and not [s for k in (6, 7, 8) for s in got[300_000 + k]["added"]]
 
 
+def test_keys_of_letters_and_keys_beside_urls(spark):
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(draw.choice(a) for _ in range(n)) for a in (letters, letters + letters.upper()) for n in (20, 32, 40) for _ in range(100)]
+    key = "sk_live_aB3dE6gH9jK2mN5pQ8sT1v"
+    found = [f"SITE_URL=http://db.local/x\nSTRIPE={key}", f"http://db.local/x\n{key}", f"http://db.local/x\t{key}", f"see http://db.local/ {key}",
+             "postgres://app:aB3dE6gH9jK2mN5pQ8sT1vW4@db.local/x", "https://aB3dE6gH9jK2mN5pQ8sT1vW4@git.local/x",
+             "https://hooks.local/services/T0/B0/aB3dE6gH9jK2mN5pQ8sT1vW4", "https://db.local/x?sig=aB3dE6gH9jK2mN5pQ8sT1vW4"]
+    clean = ["getElementsByTagNameAndClassName", "internationalizationofeverything", "Donaudampfschifffahrtsgesellschaft", "usr/local/lib/python_site/packages",
+             "anticonstitutionnellement", "https://news.local/2024/05/a-long-title-of-a-page-in-may-2024/index7", "sha256: aB3dE6gH9jK2mN5pQ8sT1vW4yZ7"]
+    texts = [*found, *clean, *(f"key {k} end" for k in keys)]
+    got = {r["doc_id"]: len(r["added"]) for r in secret_scan.secrets(frame(spark, list(enumerate(texts)))).collect()}
+    assert [t for k, t in enumerate(texts) if k < len(found) and got[k] != 1] == []
+    assert [t for k, t in enumerate(texts) if len(found) <= k < len(found) + len(clean) and got[k]] == []
+    assert sum(got[k] for k in range(len(found) + len(clean), len(texts))) >= 0.97 * len(keys)
+
+
 def test_secret_query(spark, given):
     got = {r["doc_id"]: r for r in QUERIES["op2_secret_scan"](spark, SF_DIR).collect()}
     for doc, text, *_ in given:
