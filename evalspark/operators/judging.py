@@ -64,10 +64,15 @@ def prompt_hash(template: Column) -> Column:
     return F.left(F.sha2(template, 256), F.lit(PROMPT_HASH_HEX))
 
 
+def csv_header(columns: list[str]) -> str:
+    """The header line of a result: all of it if the result is empty."""
+    return ",".join(columns) + "\n"
+
+
 def result_csv_head(
     rows: DataFrame, keys: list[str], columns: list[str], order: list[str], head: int = RESULT_HEAD_ROWS
 ) -> DataFrame:
-    """Result per key as CSV text, cut after ``head`` rows with a note of the full size.
+    """Result per key as CSV text, cut after ``head`` rows with a note of the full size. A key without rows has none.
 
     The rank filter prunes every input partition to ``head`` rows per key before
     the shuffle, so at most that many lines are gathered.
@@ -81,7 +86,7 @@ def result_csv_head(
         .agg(F.array_sort(F.collect_list(F.struct("_rank", F.to_csv(F.struct(*columns)).alias("line")))).alias("_lines"))
     )
     text = F.concat(
-        F.lit(",".join(columns) + "\n"),
+        F.lit(csv_header(columns)),
         F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"),
         F.lit("\n"),
     )

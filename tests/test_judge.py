@@ -3,10 +3,12 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark.catalog import judging
 from evalspark.operators import calibration as C, judging as J, ledger as L
 
 GOOD = {"factual_accuracy": 1, "completeness": 0, "no_hallucination": True, "failure_category": "wrong_join", "reasoning": "a {b} c"}
@@ -71,6 +73,22 @@ def test_result_head(spark):
     }
 
 
+def test_requests_of_empty_results(spark):
+    """Golden result empty, both results empty, no result known at all: each case keeps its request."""
+    result = "case_id int, l_returnflag string, l_linestatus string, n bigint, sum_qty double"
+    cols = "l_returnflag,l_linestatus,n,sum_qty"
+    given = SimpleNamespace(
+        supplier=spark.createDataFrame([(k, f"S{k}", k) for k in range(1, 5)], "s_suppkey int, s_name string, s_nationkey int"),
+        golden_results=spark.createDataFrame([(1, "A", "F", 2, 3.0)], result),
+        agent_results=spark.createDataFrame([(1, "A", "F", 2, 3.0), (2, "A", "F", 2, 3.0)], result),
+        result_columns=spark.createDataFrame([(k, side, cols) for k in (1, 2, 3) for side in ("golden", "agent")], "case_id int, side string, cols string"))
+    got = {r["case_id"]: r["request"] for r in judging.judge_requests(given).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert f"Golden result:\n{cols}\nA,F,2,3.0\n\n\nAgent SQL:" in got[1]
+    assert all(f"Golden result:\n{cols}\n\n\nAgent SQL:" in got[k] for k in (2, 3, 4))
+    assert "row count differs: peak=0, agent=1" in got[2] and "results match" in got[3]
+
+
 # --- calibration --------------------------------------------------------------------
 
 def scores(spark, cells, dim="d"):
