@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalspark.llm import (
-    decontamination, license_scan, lm_scoring, ngram_join, quality_classifier, quality_rules, secret_scan, source_mixing,
-    substring_dedup, token_files,
+    decontamination, license_scan, lloyd, lm_scoring, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan,
+    source_mixing, substring_dedup, token_counts, token_files,
 )
 from evalspark.llm.tables import table
 from evalspark.session import scratch_path
@@ -89,3 +89,18 @@ def op9_quality_classifier(spark, sf_dir):
 @query
 def op10_source_mixing(spark, sf_dir):
     return source_mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lloyd_clusters(spark, sf_dir):
+    return lloyd.clusters(table(spark, sf_dir, "embeddings"), dims=64, k=40, rounds=5)
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
