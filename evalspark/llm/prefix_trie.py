@@ -197,6 +197,8 @@ def prefix_trie(conversations: DataFrame, height: int = 4) -> DataFrame:
     conversations there is no root and no row. Other columns are left behind.
     ``height`` bounds what a node explodes to and changes no result.
     """
+    if height < 2:
+        raise ValueError("a band has a height of two or more")
     turns, lengths = rebuilt(cut(ordered_turns(conversations)))
     lengths = cut(lengths)
     found = cut(prefixes(turns, lengths, height))

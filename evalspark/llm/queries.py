@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalspark.llm import (
-    decontamination, license_scan, lloyd, lm_scoring, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan,
+    checks, decontamination, license_scan, lloyd, lm_scoring, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan,
     source_mixing, substring_dedup, token_counts, token_files,
 )
 from evalspark.llm.tables import table
 from evalspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = dict(checks.CHECKS)
 
 
 def vocabulary(name: str) -> str:
