@@ -2,11 +2,14 @@
 
 A byte-level vocabulary never merges across its pre-tokeniser's pieces, so the
 ids of a text are the ids of its pieces in order. The pieces are found for a
-whole slice at once; the library encodes each distinct piece once per worker.
+whole slice at once, and the distinct ones are merged together. Nothing is kept
+from slice to slice but the vocabulary's tables.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -14,6 +17,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from evalspark.llm.merging import RankMerger
+from evalspark.llm.textkit import raw
+
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 # The characters with Unicode's White_Space property.
 WHITE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -68,87 +74,80 @@ def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.append(chars[starts], len(data)), np.searchsorted(starts, rows)
 
 
-class PieceCache:
-    """Ids of encoded pieces, kept for a worker's lifetime and started anew beyond ``most`` pieces."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 600_000):
-        self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.lengths, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.int32), 0
-
-    def find(self, pieces: pa.Array) -> np.ndarray:
-        """The slot of every piece."""
-        wanted = pieces.to_pylist()
-        if len(self.slots) + len(wanted) > self.most:
-            self.clear()
-        new = [p for p in wanted if p not in self.slots]
-        if new:
-            ids = self.encode(new)
-            at = len(self.slots)
-            while at + len(new) > len(self.lengths):
-                self.lengths, self.starts = np.resize(self.lengths, 2 * len(self.lengths)), np.resize(self.starts, 2 * len(self.starts))
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(counts.sum())
-            while self.used + total > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used: self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-            self.lengths[at: at + len(new)] = counts
-            self.starts[at: at + len(new)] = self.used + np.cumsum(counts) - counts
-            self.used += total
-            self.slots.update(zip(new, range(at, at + len(new))))
-        return np.fromiter(map(self.slots.__getitem__, wanted), np.int64, len(wanted))
-
-    def expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the pieces in ``slots``, flat, and the number of ids of each."""
-        counts = self.lengths[slots].astype(np.int64)
-        ends = np.cumsum(counts)
-        place = np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.pool[place], counts
-
-
-def encode_rows(data: np.ndarray, offsets: np.ndarray, cache: PieceCache,
-                whole: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rows, flat, and the number of ids of each row; ``whole`` encodes rows of rare characters."""
-    edges, rows = split_pieces(data, offsets)
-    coded = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    slots = cache.find(coded.dictionary)
-    ids, counts = cache.expand(slots[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64))
-    total = np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(counts, out=total[1:])
-    ends = total[rows]
-    lengths = np.diff(ends)
-    four = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data >= 0xF0, out=four[1:])
-    rare = np.flatnonzero(np.diff(four[offsets]))
-    if len(rare):
-        parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        strings = [data[offsets[r]: offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in rare]
-        for r, found in zip(rare, whole(strings)):
-            parts[r], lengths[r] = np.array(found, np.int32), len(found)
-        ids = np.concatenate(parts)
-    return ids, lengths
-
-
-@lru_cache(2)
-def byte_bpe(path: str) -> tuple[PieceCache, Callable[[list[str]], list[list[int]]]]:
-    """A piece cache over a tokenizers file, and the library's own call for whole texts.
-
-    Strings of special tokens inside a text are ordinary text.
-    """
+def expand(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids behind ``codes``, flat, and the number of each; ``ids`` and ``counts`` hold them per distinct entry."""
+    starts, wanted = np.cumsum(counts) - counts, counts[codes]
+    ends = np.cumsum(wanted)
+    place = np.repeat(starts[codes] - (ends - wanted), wanted) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return ids[place], wanted
+
+
+class ByteVocabulary:
+    """A byte-level vocabulary: the ids of single bytes, its joins, and the library's own call for whole texts."""
+
+    def __init__(self, first: np.ndarray, merger: RankMerger, whole: Callable[[list[str]], list[list[int]]]):
+        self.first, self.merger, self.whole = first, merger, whole
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, flat, and the number of ids of each row. Equal pieces are merged once a call.
+
+        Rows with characters beyond the basic plane go to the library.
+        """
+        edges, rows = split_pieces(data, offsets)
+        coded = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        distinct, where = raw(coded.dictionary)
+        found, sizes = self.merger.merged(self.first[distinct], where[:-1])
+        ids, counts = expand(found, sizes, coded.indices.to_numpy(zero_copy_only=False))
+        total = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=total[1:])
+        ends = total[rows]
+        lengths = np.diff(ends)
+        four = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(data >= 0xF0, out=four[1:])
+        rare = np.flatnonzero(np.diff(four[offsets]))
+        if len(rare):
+            parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            strings = [data[offsets[r]: offsets[r + 1]].tobytes().decode("utf-8", "replace") for r in rare]
+            for r, own in zip(rare, self.whole(strings)):
+                parts[r], lengths[r] = np.array(own, np.int32), len(own)
+            ids = np.concatenate(parts)
+        return ids, lengths
+
+
+@lru_cache(1)
+def byte_bpe(path: str) -> ByteVocabulary:
+    """The vocabulary of a tokenizers file. Strings of special tokens inside a text are ordinary text."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as lines:
+        model = json.load(lines)["model"]
+    # printable bytes stand for themselves, the others for the characters from 256 on, in order
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xAD)]
+    names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ids = model["vocab"]
+    first = np.array([ids[names[b]] for b in range(256)], np.int32)
+    pairs = [(ids[a], ids[b], rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])]
 
     def whole(strings: list[str]) -> list[list[int]]:
         return [x.ids for x in library.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def pieces(found: list[bytes]) -> list[list[int]]:
-        return whole([p.decode("utf-8", "replace") for p in found])
+    return ByteVocabulary(first, RankMerger(*zip(*pairs), max(ids.values()) + 1), whole)
+
 
-    return PieceCache(pieces), whole
+@lru_cache(1)
+def rank_bpe(path: str) -> ByteVocabulary:
+    """The vocabulary of a tiktoken file with the usual pattern: two tokens join if their bytes are a token."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    pairs = [(ranks[t[:k]], ranks[t[k:]], rank, rank)
+             for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+    return ByteVocabulary(
+        first, RankMerger(*zip(*pairs), max(ranks.values()) + 1), lambda strings: [library.encode_ordinary(t) for t in strings])

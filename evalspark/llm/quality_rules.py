@@ -10,16 +10,15 @@ language is unknown.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalspark.llm.pieces import PieceCache
-from evalspark.llm.textkit import NOT_BLANK, ODD, Words, covered, mix, slices, window_hashes
+from evalspark.llm.pieces import expand, rank_bpe
+from evalspark.llm.textkit import NOT_BLANK, ODD, Words, covered, mix, raw, slices, window_hashes
+from evalspark.llm.token_counts import merge_table
 
 SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 STATS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -35,27 +34,10 @@ BANDS = {
 MIN_TOKENS = 100
 
 
-@lru_cache(1)
-def vocabularies(bpe_path: str, piece_path: str) -> tuple[PieceCache, PieceCache]:
-    """Caches of word ids, once per worker. The second holds, per word, its tokens and its byte-fallback tokens."""
-    import sentencepiece
-    import tiktoken
-    from public_tokenizers import PATTERN
-
-    with open(bpe_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-    is_byte = np.array([pieces.is_byte(k) for k in range(pieces.get_piece_size())])
-
-    def words(found: list[bytes]) -> list[list[int]]:
-        return [bpe.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in found]
-
-    def fallback(found: list[bytes]) -> list[list[int]]:
-        ids = pieces.encode([w.decode("utf-8", "replace") for w in found], num_threads=1)
-        return [[len(x), int(is_byte[x].sum())] for x in ids]
-
-    return PieceCache(words, 400_000), PieceCache(fallback, 400_000)
+def blank_before(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and row offsets of words with a blank before each."""
+    data, offsets = raw(words)
+    return np.insert(data, offsets[:-1], 0x20), offsets + np.arange(len(offsets))
 
 
 def entropies(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -99,16 +81,15 @@ def _repeat_words(words: Words, codes: np.ndarray, size: int = 8) -> np.ndarray:
 
 def _measure(bpe_path: str, piece_path: str):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, fallback = vocabularies(bpe_path, piece_path)
+        bpe, fallback = rank_bpe(bpe_path), merge_table(piece_path)
         for part in slices(batches):
             words = Words(part.column("text"), NOT_BLANK)
             codes, distinct = words.encode()
             lead = (words.data & 0xC0) != 0x80
             word_chars = words.per_row(lead & words.inside)
-            ids, counts = bpe.expand(bpe.find(distinct)[codes] if len(codes) else codes)
+            ids, counts = expand(*bpe.encode(*blank_before(distinct)), codes)
             n_tokens = words.words_per_row(counts)
-            pair = fallback.expand(fallback.find(distinct)[codes] if len(codes) else codes)[0].reshape(-1, 2).astype(np.int64)
-            pieces, bytes_ = words.words_per_row(pair[:, 0]), words.words_per_row(pair[:, 1])
+            pieces, bytes_ = (words.words_per_row(n[codes]) for n in fallback.count_both(distinct))
             total = np.maximum(n_tokens, 1)
             # bytes that begin a character beyond the Latin blocks (U+0250 and up)
             foreign = words.per_row(words.data >= 0xCA)

@@ -7,13 +7,11 @@ joins the pairs of its own best rank at once, and what survives is counted.
 
 A sequence is a pre-token: texts are cut wherever two neighbouring characters
 stand side by side in no piece, which no join can cross. Equal pre-tokens of a
-slice are merged once. A sequence whose joins keep opening better pairs, such as
-a very long run of blanks, takes its remaining steps one by one from a heap.
+slice are merged once.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,12 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evalspark.llm.merging import RankMerger
 from evalspark.llm.tables import texts
 from evalspark.llm.textkit import raw, slices
 
 SPACE = "▁"
-NEVER = np.iinfo(np.int32).max
-PATIENCE = 64  # rounds that stop at an opening join before a sequence goes to the heap; the result is the same
 
 
 class MergeTable:
@@ -69,148 +66,27 @@ class MergeTable:
         scores = sorted({model.get_score(k) for k in plain}, reverse=True)
         rank = {s: k for k, s in enumerate(scores)}
         pairs = [
-            (number[piece[:k]] * (size + 5) + number[piece[k:]], rank[model.get_score(whole)], whole)
+            (number[piece[:k]], number[piece[k:]], rank[model.get_score(whole)], whole)
             for piece, whole in number.items() for k in range(1, len(piece)) if piece[:k] in number and piece[k:] in number
         ]
-        pairs.sort()
-        keys, ranks, wholes = (np.array(x) for x in zip(*pairs))
-        self.keys = keys.astype(np.int64)
-        self.ranks = np.append(ranks, NEVER).astype(np.int32)
-        self.wholes = np.append(wholes, size).astype(np.int32)
-        self.places = dict(zip(keys.tolist(), zip(ranks.tolist(), wholes.tolist())))
-        # a first look by hash: most pairs are no join
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self._slot(self.keys)] = True
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
-
-    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The place of each pair in the table; the last place stands for pairs that do not join."""
-        keys = left.astype(np.int64) * (self.size + 5) + right
-        found = np.full(len(keys), len(self.keys))
-        some = np.flatnonzero(self.bits[self._slot(keys)])
-        wanted = keys[some]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        hit = self.keys[at] == wanted
-        found[some[hit]] = at[hit]
-        return found
+        self.merger = RankMerger(*zip(*pairs), size + 5)
 
     def surviving(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The tokens of every sequence: ``starts`` are the first symbols of non-empty sequences in ``symbols``."""
-        total = np.zeros(len(starts), np.int64)
-        owner = np.arange(len(starts))
-        pairs = self._pairs(symbols, starts)
-        opened = np.zeros(len(starts), np.int64)
-        while len(symbols):
-            ranks = self.ranks[pairs]
-            best = np.minimum.reduceat(ranks, starts)
-            lengths = np.diff(np.append(starts, len(symbols)))
-            slow = opened > PATIENCE
-            for k in np.flatnonzero(slow):
-                total[owner[k]] = self.one_by_one(symbols[starts[k]: starts[k] + lengths[k]])
-            live = (best < NEVER) & ~slow
-            if not live.all():  # finished sequences are counted and leave
-                done = np.repeat(~live, lengths)
-                counted = np.add.reduceat(np.where(done, self.cost[symbols], 0), starts)
-                total[owner[~live & ~slow]] = counted[~live & ~slow]
-                symbols, pairs, ranks = symbols[~done], pairs[~done], ranks[~done]
-                lengths, owner, best, opened = lengths[live], owner[live], best[live], opened[live]
-                if not len(symbols):
-                    break
-                starts = np.cumsum(lengths) - lengths
-            symbols, pairs, starts, stopped = self._step(symbols, pairs, starts, lengths, ranks == np.repeat(best, lengths), best)
-            opened[stopped] += 1
-        return total
-
-    def one_by_one(self, symbols: np.ndarray) -> int:
-        """The tokens of one sequence, joined pair by pair in the order of rank and place."""
-        at = symbols.tolist()
-        following, preceding = [*range(1, len(at)), -1], [*range(-1, len(at) - 1)]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            place = self.places.get(at[a] * (self.size + 5) + at[b])
-            if place is not None:
-                heapq.heappush(heap, (place[0], a, at[a], at[b], place[1]))
-
-        for k in range(len(at) - 1):
-            offer(k, k + 1)
-        while heap:
-            _, a, left, right, whole = heapq.heappop(heap)
-            b = following[a]
-            if at[a] != left or b < 0 or at[b] != right:
-                continue  # one of the two has been joined since
-            at[a], at[b] = whole, -1
-            following[a] = following[b]
-            if following[b] >= 0:
-                preceding[following[b]] = a
-            if preceding[a] >= 0:
-                offer(preceding[a], a)
-            if following[a] >= 0:
-                offer(a, following[a])
-        return int(self.cost[[k for k in at if k >= 0]].sum())
-
-    def _pairs(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For every symbol the place of the pair that it begins; the last symbol of a sequence begins none."""
-        pairs = np.full(len(symbols), len(self.keys))
-        if len(symbols) > 1:
-            pairs[:-1] = self.join(symbols[:-1], symbols[1:])
-            pairs[starts[1:] - 1] = len(self.keys)
-        return pairs
-
-    def _step(self, symbols, pairs, starts, lengths, marked, best):
-        """Join the best pairs of every sequence, from the left up to the first join that opens a better pair.
-
-        Up to there one after the other gives the same as all at once: pairs that
-        overlap go to the left one, and no join changes which pair is best.
-        """
-        none, last = len(self.keys), len(symbols) - 1
-        at = np.flatnonzero(marked)
-        # of overlapping pairs every second one counts, from the left; a sequence's last symbol begins no pair
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        run = np.flatnonzero(fresh)
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-        row = np.searchsorted(starts, at, "right") - 1
-        whole = self.wholes[pairs[at]]
-        ends = starts + lengths
-        # the neighbours as they are when this pair's turn comes: left ones joined already, right ones not
-        has_left, has_right = at > starts[row], at + 2 < ends[row]
-        left = symbols[np.maximum(at - 1, 0)]
-        chained = np.zeros(len(at), bool)
-        chained[1:] = at[1:] == at[:-1] + 2
-        chained &= has_left
-        left[chained] = whole[np.flatnonzero(chained) - 1]
-        before = np.where(has_left, self.join(left, whole), none)
-        after = np.where(has_right, self.join(whole, symbols[np.minimum(at + 2, last)]), none)
-        opens = np.minimum(self.ranks[before], self.ranks[after]) <= best[row]
-        # of every sequence: the joins before the first opening one, and that one
-        earlier = np.cumsum(opens) - opens
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        take = earlier == np.repeat(earlier[first], np.diff(np.append(first, len(at))))
-        stopped = row[take & opens]
-        at, row, whole, before, after = at[take], row[take], whole[take], before[take], after[take]
-        symbols[at] = whole
-        pairs[at] = after
-        left_open = at > starts[row]
-        pairs[at[left_open] - 1] = before[left_open]
-        # two joins side by side: the pair between them is that of the joined symbols
-        beside = np.flatnonzero((at[1:] == at[:-1] + 2) & (row[1:] == row[:-1]))
-        pairs[at[beside]] = before[beside + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        lengths = lengths - np.bincount(row, minlength=len(lengths))
-        return symbols[keep], pairs[keep], np.cumsum(lengths) - lengths, stopped
+        kept, counts = self.merger.merged(symbols, starts)
+        return np.add.reduceat(self.cost[kept], np.cumsum(counts) - counts) if len(kept) else counts
 
     def count(self, column: pa.Array) -> np.ndarray:
         """The tokens of every text of ``column``; null counts as empty."""
+        return self.count_both(column)[0]
+
+    def count_both(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of every text, and those of them that stand for single bytes."""
         data, offsets = raw(column)
-        counts = np.zeros(len(offsets) - 1, np.int64)
+        counts, fallen = np.zeros((2, len(offsets) - 1), np.int64)
         some = np.flatnonzero(np.diff(offsets))
         if not len(some):
-            return counts
+            return counts, fallen
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         width = np.diff(np.append(lead, len(data)))
@@ -223,18 +99,19 @@ class MergeTable:
         cut[1:] = ~self.beside[letters[:-1], letters[1:]]
         cut[heads] = True
         begin = np.flatnonzero(cut)
-        alone = np.flatnonzero(letters[begin] == 0)  # characters outside the vocabulary fall back to their bytes
-        each = np.zeros(len(begin), np.int64)
-        each[alone] = width[begin[alone]]
         edges = np.append(begin, len(letters)) * 2
         units = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(begin), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(letters)])
         coded = units.dictionary_encode()
         distinct, where = raw(coded.dictionary)
         survived = self.surviving(self.symbol[distinct.view(np.uint16)], where[:-1] // 2)
-        each += np.where(letters[begin] == 0, 0, survived[coded.indices.to_numpy(zero_copy_only=False)])
-        counts[some] = np.add.reduceat(each, np.searchsorted(begin, heads))
-        return counts
+        # a character outside the vocabulary stands alone and falls back to its bytes
+        foreign = letters[begin] == 0
+        bytes_ = np.where(foreign, width[begin], 0)
+        each = np.where(foreign, bytes_, survived[coded.indices.to_numpy(zero_copy_only=False)])
+        first = np.searchsorted(begin, heads)
+        counts[some], fallen[some] = np.add.reduceat(each, first), np.add.reduceat(bytes_, first)
+        return counts, fallen
 
 
 @lru_cache(1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evalspark.llm.pieces import byte_bpe, encode_rows
+from evalspark.llm.pieces import byte_bpe
 from evalspark.llm.tables import texts
 from evalspark.llm.textkit import SLICE_BYTES, list_column, raw, slices
 from evalspark.llm.wavelet import WaveletMatrix
@@ -37,14 +37,14 @@ def _shard(part: int, shard: int, before: int, doc_ids: list, counts: np.ndarray
 
 def _build(tokenizer: str, end_id: int, bits: int, shard_tokens: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, whole = byte_bpe(tokenizer)
+        known = byte_bpe(tokenizer)
         part, shard, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list = []
         sizes: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
         for piece in slices(batches, limit=min(SLICE_BYTES, 4 * shard_tokens)):
             data, offsets = raw(piece.column("text"))
-            ids, counts = encode_rows(data, offsets, cache, whole)
+            ids, counts = known.encode(data, offsets)
             tokens.append(np.insert(ids, np.cumsum(counts), end_id))
             sizes.append(counts + 1)
             docs += piece.column("doc_id").to_pylist()

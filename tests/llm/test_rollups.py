@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evalspark.llm import lloyd, prefix_trie, queries, token_counts
+from evalspark.llm import lloyd, merging, prefix_trie, queries, token_counts
 from tests.llm.conftest import SF_DIR, edge_texts
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, cluster string, block int, cells string"
@@ -129,7 +129,7 @@ def test_token_counts_are_the_library_s(library):
 def test_both_ways_of_joining_agree(library, patience, monkeypatch):
     """One by one from the first round on, and never."""
     some = [t for t in hard_texts(library) if t and len(t) < 700][:900]
-    monkeypatch.setattr(token_counts, "PATIENCE", patience)
+    monkeypatch.setattr(merging, "PATIENCE", patience)
     table = token_counts.MergeTable(queries.vocabulary("piece_bpe_32k.model"))
     assert table.count(pa.array(some, pa.string())).tolist() == [len(library.encode(t, num_threads=1)) for t in some]
 
