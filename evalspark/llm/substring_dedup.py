@@ -67,9 +67,9 @@ def _mark(window: int, short: int):
             row, least, places = row[order], least[order], places[order]
             new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (least[1:] != least[:-1])])) if len(row) else row
             yield pa.RecordBatch.from_arrays([
-                pa.array(least[new], pa.int64()), part.column("doc_id").take(pa.array(row[new])),
+                pa.array(least[new], pa.int64()), part.column("doc_id").take(pa.array(row[new])), part.column("nth").take(pa.array(row[new])),
                 pa.array((np.add.reduceat(places, new) if len(new) else new).astype(np.int32)),
-            ], names=["least", "doc_id", "places"])
+            ], names=["least", "doc_id", "nth", "places"])
 
     return mark
 
@@ -101,12 +101,13 @@ def _pack(window: int, short: int, hot: int, with_words: bool):
             text = words.data.tobytes()
             packed = [b" ".join(text[a:b].split()) for a, b in zip(words.starts[start].tolist(), words.ends[start + windows + window - 2].tolist())]
             keys = pa.array([hashlib.md5(x).digest() for x in packed], pa.binary())
-            doc = part.column("doc_id").take(pa.array(row))
-            out = {"least": pa.array(least, pa.int64()), "key": keys, "doc_id": doc, "start": pa.array((start - words.first[row]).astype(np.int32))}
+            doc, nth = part.column("doc_id").take(pa.array(row)), part.column("nth").to_numpy()[row].astype(np.int64)
+            place = nth << 32 | start - words.first[row]
+            out = {"least": pa.array(least, pa.int64()), "key": keys, "doc_id": doc, "start": pa.array(place)}
             if with_words:
                 out["words"] = pa.array(packed, pa.binary())
                 code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                order = np.lexsort((start - words.first[row], doc.to_numpy(), code))
+                order = np.lexsort((place, doc.to_numpy(), code))
                 lead = order[np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))] if len(order) else order
                 yield pa.RecordBatch.from_pydict(out).take(pa.array(lead))
             else:
@@ -192,8 +193,10 @@ def _lost(window: int):
                     ids.append(doc)
                     begins.append(start + a)
                     ends.append(start + b - 1 + window)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
-                                             names=["doc_id", "begin", "end"])
+            begin, end = np.array(begins, np.int64), np.array(ends, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array((begin >> 32).astype(np.int32)), pa.array((begin & 0xFFFFFFFF).astype(np.int32)),
+                pa.array((end & 0xFFFFFFFF).astype(np.int32))], names=["doc_id", "nth", "begin", "end"])
 
     return lost
 
@@ -213,52 +216,58 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = b" ".join(words.data[words.offsets[row]: words.offsets[row + 1]].tobytes().split())
             kept.append(text)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(gone), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_words", "n_removed", "kept"])
+            [part.column("doc_id"), part.column("nth"), pa.array(words.counts.astype(np.int64)), pa.array(gone), pa.array(kept, pa.binary())],
+            names=["doc_id", "nth", "n_words", "n_removed", "kept"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _rest(batches):
         digests = [hashlib.sha256(x).hexdigest() for x in part.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(digests)], names=["doc_id", "nth", "n_words", "n_removed", "kept_sha256"])
 
 
 def flagged(docs: DataFrame, window: int, short: int) -> DataFrame:
-    """``doc_id, text, marks`` of the documents with repeated minimisers; ``marks`` lists these with their total times."""
-    marks = docs.mapInArrow(_mark(window, short), "least bigint, doc_id bigint, places int")
+    """``doc_id, nth, text, marks`` of the documents with repeated minimisers; ``marks`` lists these with their total times."""
+    marks = docs.mapInArrow(_mark(window, short), "least bigint, doc_id bigint, nth int, places int")
     repeated = marks.groupBy("least").agg(F.sum("places").alias("times")).filter("times > 1")
-    found = marks.select("least", "doc_id").join(repeated.hint("merge"), "least").groupBy("doc_id").agg(
+    found = marks.select("least", "doc_id", "nth").join(repeated.hint("merge"), "least").groupBy("doc_id", "nth").agg(
         F.collect_list(F.struct("least", "times")).alias("marks"))
-    return docs.join(found.hint("merge"), "doc_id").select("doc_id", "text", "marks")
+    return docs.join(found.hint("merge"), ["doc_id", "nth"]).select("doc_id", "nth", "text", "marks")
 
 
 def lost_words(flags: DataFrame, window: int, short: int, hot: int) -> DataFrame:
-    """``doc_id, lost``: the word intervals [begin, end) covered by windows that also start earlier."""
-    strings = flags.mapInArrow(_pack(window, short, hot, True), "least bigint, key binary, doc_id bigint, start int, words binary")
+    """``doc_id, nth, lost``: the word intervals [begin, end) covered by windows that also start earlier."""
+    strings = flags.mapInArrow(_pack(window, short, hot, True), "least bigint, key binary, doc_id bigint, start bigint, words binary")
     # dealt by minimiser once: the strings of a slice are distinct already, and grouping and sorting keep the partitions
     first = strings.repartition("least").groupBy("least", "key").agg(
         F.min(F.struct("doc_id", "start")).alias("at"), F.first("words").alias("words"))
     settled = first.select("least", "key", "at.doc_id", "at.start", "words").sortWithinPartitions("least").mapInArrow(
-        _count(window), "key binary, first_doc bigint, first_start int, later binary")
-    places = flags.mapInArrow(_pack(window, short, hot, False), "key binary, doc_id bigint, start int, windows int")
+        _count(window), "key binary, first_doc bigint, first_start bigint, later binary")
+    places = flags.mapInArrow(_pack(window, short, hot, False), "key binary, doc_id bigint, start bigint, windows int")
     spans = places.join(settled, "key").select("doc_id", "start", "windows", "first_doc", "first_start", "later").mapInArrow(
-        _lost(window), "doc_id bigint, begin int, end int")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("lost"))
+        _lost(window), "doc_id bigint, nth int, begin int, end int")
+    return spans.groupBy("doc_id", "nth").agg(F.collect_list(F.struct("begin", "end")).alias("lost"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return texts(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``doc_id, nth, text`` and whether ids repeat; ``nth`` tells the texts of one id apart, and is 0 where none repeats."""
+    rows = texts(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    again = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    nth = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) if again else F.lit(0)
+    return rows.select("doc_id", nth.cast("int").alias("nth"), "text"), again
 
 
-def _changed(rows: DataFrame, function, kind: str, window: int = 20, short: int = 6, hot: int = 50_000) -> DataFrame:
+def _changed(docs: DataFrame, function, kind: str, window: int = 20, short: int = 6, hot: int = 50_000) -> DataFrame:
     """All documents as they are, but those with something to lose as they become; only these travel with their texts."""
-    schema = f"doc_id bigint, n_words bigint, n_removed bigint, {kind}"
+    schema = f"doc_id bigint, nth int, n_words bigint, n_removed bigint, {kind}"
     name = kind.split()[0]
-    flags = cut(flagged(rows, window, short))
-    after = flags.select("doc_id", "text").join(lost_words(flags, window, short, hot).hint("merge"), "doc_id").mapInArrow(function, schema)
-    after = after.select("doc_id", F.col("n_removed").alias("_removed"), F.col(name).alias("_after"))
+    rows, again = _numbered(docs)
+    flags = cut(flagged(rows.dropDuplicates(["doc_id", "nth"]) if again else rows, window, short))
+    after = flags.select("doc_id", "nth", "text").join(
+        lost_words(flags, window, short, hot).hint("merge"), ["doc_id", "nth"]).mapInArrow(function, schema)
+    after = after.select("doc_id", "nth", F.col("n_removed").alias("_removed"), F.col(name).alias("_after"))
     whole = rows.withColumn("lost", F.lit(None).cast("array<struct<begin:int,end:int>>")).mapInArrow(function, schema)
-    return whole.join(after, "doc_id", "left").select(
+    return whole.join(after, ["doc_id", "nth"], "left").select(
         "doc_id", "n_words", F.coalesce("_removed", "n_removed").alias("n_removed"), F.coalesce("_after", name).alias(name))
 
 
@@ -266,14 +275,16 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept`` (the kept words joined by blanks, UTF-8).
 
     Earlier means a smaller doc_id, or the same document and a smaller start. A
-    null or empty text has no words. Rows with a null doc_id are left out; ids
-    must be distinct, as "earlier" is told by them. Options: ``window`` words,
-    ``short`` words of a minimiser, and ``hot``, the number of super-k-mers from
-    which a minimiser sends single windows.
+    null or empty text has no words. Rows with a null doc_id are left out. Rows
+    that repeat id and text are one document given several times: they are no
+    copies of each other, and each gets its result. Different texts of one id are
+    documents in the order of a 31-bit hash of theirs, which tells them apart.
+    Options: ``window`` words, ``short`` words of a minimiser, and ``hot``, the
+    number of super-k-mers from which a minimiser sends single windows.
     """
-    return _changed(_numbered(docs), _rest, "kept binary", **options)
+    return _changed(docs, _rest, "kept binary", **options)
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
     """As ``without_repeats``, with the sha256 of the kept words instead of the words."""
-    return _changed(_numbered(docs), _digest, "kept_sha256 string", **options)
+    return _changed(docs, _digest, "kept_sha256 string", **options)

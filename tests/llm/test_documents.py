@@ -128,6 +128,22 @@ def test_repeats(spark, corpus):
     assert all(hashlib.sha256(kept[d]).hexdigest() == x[2] for d, x in want.items())
 
 
+def test_repeats_of_repeated_rows(spark):
+    """As many rows out as in: equal rows get the same result, different texts of one id count as documents of their own."""
+    p, q = (" ".join(f"{c}{k}" for k in range(50)) for c in "pq")
+    rows = [(1, p), (2, p), (2, p), (3, q), (3, q), (4, f"{p} {q}"), (5, f"new {q}"), (5, f"other {q} words"), (5, f"new {q}"), (6, None), (6, ""), (6, None)]
+    got = substring_dedup.without_repeats(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    text = lambda d: sorted((r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in got if r["doc_id"] == d)
+    assert text(1) == [(50, 0, p)] and text(2) == [(50, 50, "")] * 2 and text(3) == [(50, 0, q)] * 2 and text(4) == [(100, 100, "")]
+    assert text(5) == [(51, 50, "new")] * 2 + [(52, 50, "other words")] and text(6) == [(0, 0, "")] * 3
+    # nobody earlier: of two texts of one id one keeps the passage, its copies with it
+    twins = [(7, f"a {p}"), (7, f"b {p}"), (7, f"a {p}")]
+    again = substring_dedup.without_repeats(frame(spark, twins)).collect()
+    assert len(again) == 3 and {r["n_removed"] for r in again} == {0, 50}
+    assert len({(r["n_removed"], bytes(r["kept"])) for r in again}) == 2
+
+
 def test_window_ranks():
     codes = np.random.default_rng(1).integers(0, 3, 500)
     for size in (1, 2, 5, 8):
