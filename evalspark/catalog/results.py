@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.catalog import query
 from evalspark.functions.encode import encode_rows
 from evalspark.operators import diff
+from evalspark.operators.multiset import multiset_match
 
 KEYS = ["case_id"]
 VALUES = ["l_returnflag", "l_linestatus", "n", "sum_qty"]
@@ -175,11 +176,29 @@ FROM (SELECT l_returnflag, o, l, count(*) FILTER (WHERE has_g) AS n_golden, coun
         bool_and(ok) AS matched FROM ({PAIR_GROUPS}) GROUP BY l_returnflag, o, l)
 GROUP BY l_returnflag""")
 def exec_match_multiset(t):
-    return diff.multiset_match(
+    return multiset_match(
         t.lineitem, t.perturbed_lineitem, ["l_returnflag"], ["l_orderkey", "l_linenumber"], ["l_quantity"]
     )
 
 
+# quantities are whole and discounts whole percents, far apart beside the tolerance, so rounding undoes the noise
+CANONICAL = """SELECT l_returnflag, l_linestatus, round(q) AS q, round(d, 2) AS d, count(*) AS n FROM {side} GROUP BY ALL"""
+
+
+@query("exec_match_multiset_numbers", f"""
+SELECT l_returnflag, CAST(sum(n_golden) AS BIGINT) AS n_golden, CAST(sum(n_agent) AS BIGINT) AS n_agent,
+  count(*) FILTER (WHERE NOT matched) AS differing_groups, bool_and(matched) AS matched
+FROM (SELECT coalesce(g.l_returnflag, a.l_returnflag) AS l_returnflag, coalesce(g.l_linestatus, a.l_linestatus) AS l_linestatus,
+        sum(coalesce(g.n, 0)) AS n_golden, sum(coalesce(a.n, 0)) AS n_agent, bool_and(coalesce(g.n = a.n, false)) AS matched
+      FROM ({CANONICAL.replace('{side}', '{noisy_golden}')}) g FULL JOIN ({CANONICAL.replace('{side}', '{noisy_agent}')}) a
+        ON g.l_returnflag = a.l_returnflag AND g.l_linestatus = a.l_linestatus AND g.q = a.q AND g.d = a.d
+      GROUP BY ALL)
+GROUP BY l_returnflag""")
+def exec_match_multiset_numbers(t):
+    """Two noisy numbers, a sixth of all rows in one group, nearly all rows tied in either number."""
+    return multiset_match(t.noisy_golden, t.noisy_agent, ["l_returnflag"], ["l_linestatus"], ["q", "d"])
+
+
 @query("exec_match_pair", """
 WITH g AS (SELECT l_returnflag, l_linestatus, l_quantity, l_orderkey, row_number() OVER (ORDER BY l_returnflag, l_linestatus,
        l_quantity, l_orderkey) AS pos FROM {lineitem}),

@@ -258,26 +258,6 @@ def diff_sample(rows: DataFrame, keys: list[str], values: list[str], size: int |
     return placed.select(*keys, "pos", F.inline("_cells"))
 
 
-def multiset_match(golden: DataFrame, agent: DataFrame, keys: list[str], exact: list[str], floats: list[str]) -> DataFrame:
-    """Order-free tolerant match per ``keys``: exact columns group, floats rank inside.
-
-    Unlike the positional match, noise in a leading float column cannot pair
-    rows whose exact columns differ.
-    """
-    rows = both_sides(golden.select(*keys, *exact, *floats), agent.select(*keys, *exact, *floats))
-    group = [*keys, *exact]
-    if floats:
-        groups = diff_batch(rows, group, floats)
-    else:
-        groups = result_sizes(rows, group).withColumn("matched", F.col("n_golden") == F.col("n_agent"))
-    return groups.groupBy(*keys).agg(
-        F.sum("n_golden").alias("n_golden"),
-        F.sum("n_agent").alias("n_agent"),
-        F.count_if(~F.col("matched")).alias("differing_groups"),
-        F.bool_and("matched").alias("matched"),
-    )
-
-
 def diff_frames(golden: DataFrame, agent: DataFrame) -> DataFrame:
     """Pair mode: one row describing how two tables of any size differ."""
     for frame in (golden, agent):

@@ -68,6 +68,19 @@ FROM {lineitem}""",
 SELECT l_orderkey, l_linenumber, l_returnflag,
        CASE WHEN l_orderkey % 1000 = 1 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity
 FROM {lineitem} WHERE l_orderkey % 5000 <> 3""",
+    # the same lines with noise below the tolerance in both numbers; one group holds other rows, one more of them
+    "noisy_golden": """
+SELECT l_returnflag, l_linestatus, l_quantity * (1 + 2e-6 * (l_orderkey % 3 - 1)) AS q,
+       l_discount * (1 + 2e-6 * (l_partkey % 3 - 1)) AS d
+FROM {lineitem}""",
+    "noisy_agent": """
+SELECT l_returnflag, l_linestatus, l_quantity * (1 + 2e-6 * (l_suppkey % 3 - 1)) AS q,
+       CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_orderkey % 1000 = 7 THEN l_discount + 0.01 ELSE l_discount END
+         * (1 + 2e-6 * (l_linenumber % 3 - 1)) AS d
+FROM {lineitem}
+UNION ALL
+SELECT l_returnflag, l_linestatus, l_quantity AS q, l_discount AS d
+FROM {lineitem} WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND l_orderkey % 1000 = 8""",
     # calls to the judge with its raw answers
     "judge_log": """
 SELECT user_id AS run_id, event_id AS call_id, ts AS called_at,

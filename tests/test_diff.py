@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.encode import encode_rows
 from evalspark.operators import diff
+from evalspark.operators.multiset import multiset_match
 from evalspark.operators.ordering import align_sorted
 
 
@@ -170,7 +171,7 @@ def test_noise_in_a_leading_column_swaps_rows(spark):
     golden, agent = frames(spark, [(1.0, "a"), (1 + 1e-12, "b")], [(1 + 1e-12, "a"), (1.0, "b")], "x double, s string")
     assert not outcome(golden, agent)["matched"]
     tagged = [f.withColumn("k", F.lit(1)) for f in (golden, agent)]
-    assert diff.multiset_match(*tagged, ["k"], ["s"], ["x"]).first()["matched"]
+    assert multiset_match(*tagged, ["k"], ["s"], ["x"]).first()["matched"]
 
 
 def test_reordered_columns_mismatch_without_detail(spark):
@@ -252,12 +253,12 @@ def test_multiset_match_with_hot_group(spark):
     rows = [("k", "hot", 1.0 + i * 1e-3) for i in range(60)] + [("k", "cold", 3.0)]
     near = [(k, e, x * (1 + 1e-8)) for k, e, x in rows]
     golden, agent = frames(spark, rows, near, "k string, e string, x double")
-    got = diff.multiset_match(golden, agent, ["k"], ["e"], ["x"]).first()
+    got = multiset_match(golden, agent, ["k"], ["e"], ["x"]).first()
     assert got["matched"] and got["n_golden"] == 61
     far = agent.withColumn("x", F.when(F.col("x") > 1.05, F.col("x") * 2).otherwise(F.col("x")))
-    got = diff.multiset_match(golden, far, ["k"], ["e"], ["x"]).first()
+    got = multiset_match(golden, far, ["k"], ["e"], ["x"]).first()
     assert not got["matched"] and got["differing_groups"] == 2
-    counted = diff.multiset_match(golden, golden.limit(60), ["k"], ["e"], []).first()
+    counted = multiset_match(golden, golden.limit(60), ["k"], ["e"], []).first()
     assert not counted["matched"]
 
 
