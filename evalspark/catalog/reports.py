@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalspark.catalog import query
@@ -11,7 +13,8 @@ from evalspark.catalog.results import SUMMARY, _diffs
 from evalspark.catalog.scorecards import JUDGED, TOP, _line
 from evalspark.operators.scores import score_efficiency
 from evalspark.plans import benchmark as B, reporting as R, scorecard as S
-from evalspark.sources.sql_runner import QueryRefused, run_query
+from evalspark.session import scratch_path
+from evalspark.sources.sql_runner import execute_texts
 
 AGENT = ["agent_name"]
 
@@ -148,25 +151,28 @@ def calibration_report_lines(t):
     return R.calibration_report_lines(t.calibration_cases)
 
 
-QUERIES = {
-    "by_flag": "SELECT l_returnflag, count(*) AS n FROM {table} GROUP BY l_returnflag;",
-    "big_orders": "-- large quantities\nSELECT count(*) AS n FROM {table} WHERE l_quantity > 40",
-    "dump": "SELECT * FROM {table}",
-    "write": "DROP TABLE {table}",
-    "typo": "SELECT no_such_column FROM {table}",
-}
+# one SQL text per nation, of five kinds: two that run, a write, a typo, a comment
+NATION_SQL = """CASE n_nationkey % 5
+  WHEN 0 THEN concat('SELECT c_mktsegment, count(*) AS n FROM {table} WHERE c_nationkey = ', n_nationkey, ' GROUP BY 1;')
+  WHEN 1 THEN concat('-- all of them', char(10), 'SELECT * FROM {table} WHERE c_nationkey = ', n_nationkey)
+  WHEN 2 THEN 'DROP TABLE {table}' WHEN 3 THEN 'SELECT no_such_column FROM {table}' ELSE '-- nothing to select' END"""
 
 
-@query("run_query_stats")
+@query("run_query_stats", """
+SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN coalesce(segments, 0) WHEN 1 THEN coalesce(customers, 0) END AS row_count,
+  CASE n_nationkey % 5 WHEN 0 THEN true WHEN 1 THEN true END AS scanned,
+  CASE n_nationkey % 5 WHEN 0 THEN 2 WHEN 1 THEN (SELECT count(*) FROM (DESCRIBE {customer})) END AS n_cols,
+  CASE n_nationkey % 5 WHEN 2 THEN 'only SELECT/WITH' WHEN 3 THEN 'dry-run failed: UNRESOLVED_COLUMN.WITH_SUGGESTION'
+    WHEN 4 THEN 'empty SQL' END AS error
+FROM {nation} LEFT JOIN (SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments, count(*) AS customers
+  FROM {customer} GROUP BY c_nationkey) ON c_nationkey = n_nationkey""")
 def run_query_stats(t):
-    """Guarded execution of several SQL texts over the line items."""
-    t.lineitem.createOrReplaceTempView("evalspark_lineitem")
-    stats = []
-    for name, text in QUERIES.items():
-        sql = text.format(table="evalspark_lineitem")
-        try:
-            _, s = run_query(t.spark, sql)
-            stats.append((name, s.bytes_scanned, s.row_count, None))
-        except QueryRefused as refused:
-            stats.append((name, None, None, str(refused)))
-    return t.spark.createDataFrame(stats, "name string, bytes_scanned bigint, row_count bigint, error string")
+    """Guarded execution of a table of SQL texts over the customers, several side by side."""
+    name = f"evalspark_customer_{uuid.uuid4().hex}"
+    t.customer.createOrReplaceTempView(name)
+    texts = t.nation.select(F.col("n_name").alias("name"), F.expr(NATION_SQL.replace("{table}", name)).alias("sql"))
+    stats = execute_texts(texts, scratch_path(t.spark, "texts"))[1]
+    t.spark.catalog.dropTempView(name)
+    return stats.select(
+        "name", F.col("n_rows").alias("row_count"), (F.col("bytes") > 0).alias("scanned"), F.size("cols").cast("bigint").alias("n_cols"),
+        F.regexp_extract("error", "^(only SELECT/WITH|[^(]*)", 1).alias("error"))

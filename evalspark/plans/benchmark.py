@@ -9,14 +9,10 @@ from evalspark.operators.ordering import null_safe_join
 from evalspark.operators.scores import case_status, optimization_label
 from evalspark.plans.scorecard import scorecard
 from evalspark.session import scratch_path
-from evalspark.sources.sql_runner import RESULT_SCHEMA, QueryRefused, store_result
+from evalspark.sources.sql_runner import execute_texts
 
 CASE_KEYS = ["agent_name", "case_id"]
 SHARED = "_golden"  # stands for the agent where a result belongs to all of them
-STATS_SCHEMA = (
-    "agent_name string, case_id string, side string, cols array<string>, bytes bigint, duration_ms double, "
-    "n_rows bigint, error string"
-)
 VERDICT_COLUMNS = ("factual_accuracy", "completeness", "no_hallucination", "failure_category", "reasoning", "judge_error")
 
 
@@ -42,36 +38,23 @@ def score_cases(pairs: DataFrame, diffs: DataFrame, stats: DataFrame, verdicts:
     )
 
 
-def execute_pairs(spark: SparkSession, pairs: DataFrame, row_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def execute_pairs(
+    pairs: DataFrame, row_cap: int | None = None, max_bytes: int | None = None, width: int = 8, path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Run both SQL texts of every pair; (encoded result rows, statistics).
 
-    A golden text shared by several agents runs once. Only the texts visit the
-    driver, which has to submit them.
+    A golden text shared by several agents runs once. Agent texts follow where the
+    golden query of their case left a result, which its statistics tell.
     """
-    results = scratch_path(spark, "results")
-    stats = []
-
-    def run(side: str, agent: str, case_id: str, sql: str) -> bool:
-        tags = {"side": side, "agent_name": agent, "case_id": case_id}
-        try:
-            cols, s = store_result(spark, sql, tags, results, row_cap)
-            stats.append((agent, case_id, side, cols, s.bytes_scanned, s.duration_ms, s.row_count, None))
-            return True
-        except QueryRefused as refused:
-            stats.append((agent, case_id, side, None, None, None, None, str(refused)))
-            return False
-
-    runnable = set()
-    for row in pairs.select("case_id", "golden_sql").distinct().toLocalIterator():
-        if run(diff.GOLDEN, SHARED, row["case_id"], row["golden_sql"]):
-            runnable.add(row["case_id"])
-    for row in pairs.select("agent_name", "case_id", "agent_sql").toLocalIterator():
-        if row["case_id"] in runnable:  # a failed golden query ends the case
-            run(diff.AGENT, row["agent_name"], row["case_id"], row["agent_sql"])
-    statistics = spark.createDataFrame(stats, STATS_SCHEMA)
-    schema = RESULT_SCHEMA.format(tags="side string, agent_name string, case_id string")
-    rows = spark.read.schema(schema).parquet(results) if runnable else spark.createDataFrame([], schema)
-    return rows, statistics
+    path = path or scratch_path(pairs.sparkSession, "results")
+    golden = pairs.select(
+        F.lit(diff.GOLDEN).alias("side"), F.lit(SHARED).alias("agent_name"), "case_id", F.col("golden_sql").alias("sql")).distinct()
+    golden_rows, golden_stats = execute_texts(golden, f"{path}/golden", width, row_cap, max_bytes)
+    ran = golden_stats.filter("error IS NULL").select("case_id").distinct()  # a failed golden query ends the case
+    agent = pairs.join(ran, "case_id", "left_semi").select(
+        F.lit(diff.AGENT).alias("side"), "agent_name", "case_id", F.col("agent_sql").alias("sql"))
+    agent_rows, agent_stats = execute_texts(agent, f"{path}/agent", width, row_cap, max_bytes)
+    return golden_rows.unionByName(agent_rows), golden_stats.unionByName(agent_stats)
 
 
 def compare_results(pairs: DataFrame, rows: DataFrame, statistics: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +93,7 @@ def run_benchmark(
     from ``judge_verdicts`` over collected responses.
     """
     pairs = C.pair_cases(goldens, inputs).withColumnRenamed("id", "case_id")
-    rows, statistics = execute_pairs(spark, pairs)
+    rows, statistics = execute_pairs(pairs)
     diffs, stats = compare_results(pairs, rows, statistics)
     cases = score_cases(pairs, diffs, stats, verdicts.select(*CASE_KEYS, *VERDICT_COLUMNS))
     return cases, scorecard(cases)

@@ -1,17 +1,22 @@
 """Run golden and agent SQL texts as guarded read queries.
 
-The texts differ, so every one is its own Spark query; its result goes to the
-long results table of encoded rows, and all comparing and scoring is then done
-for every case in one plan.
+The texts differ, so every one is its own Spark query. A bounded pool of threads
+submits them from a streamed table of texts, each in a job group of its own;
+results and statistics go to files as the queries end, so the driver holds the
+texts in flight and a bounded batch of statistics, whatever the number of cases.
+All comparing and scoring is then done for every case in one plan.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 from evalspark.functions.encode import encode_rows
 from evalspark.functions.text import read_only_reason
@@ -54,13 +59,14 @@ def writes(spark: SparkSession, sql: str) -> bool:
     return False
 
 
-def guarded(spark: SparkSession, sql: str, max_bytes: int | None = None) -> tuple[DataFrame, int]:
+def guarded(spark: SparkSession, sql: str, max_bytes: int | None = None, linted: bool = False) -> tuple[DataFrame, int]:
     """The query as a DataFrame with its input size, or the reason it is refused.
 
-    The text lint comes first; since it knows no string literals, the parsed plan
-    decides. ``max_bytes`` refuses larger inputs; None sets no limit.
+    The text lint comes first, unless the text has passed it already; since it
+    knows no string literals, the parsed plan decides. ``max_bytes`` refuses
+    larger inputs; None sets no limit.
     """
-    reason = spark.range(1).select(read_only_reason(F.lit(sql))).first()[0]
+    reason = None if linted else spark.range(1).select(read_only_reason(F.lit(sql))).first()[0]
     if reason:
         raise QueryRefused(reason)
     try:
@@ -90,31 +96,90 @@ def run_query(
     return frame, QueryStats(size, (time.monotonic() - begin) * 1000, rows)
 
 
+CELLS_SCHEMA = "cells array<struct<missing:int,num:double,txt:string,kind:string>>"
+STATS_COLUMNS = "cols array<string>, bytes bigint, duration_ms double, n_rows bigint, error string"
+BATCH = 500  # statistics on the driver before they are written
+
+
 def store_result(
-    spark: SparkSession, sql: str, tags: dict[str, str], path: str, row_cap: int | None = None
+    spark: SparkSession, sql: str, tags: Row, path: str, row_cap: int | None = None, max_bytes: int | None = None
 ) -> tuple[list[str], QueryStats]:
-    """Run a query once and append its encoded rows, tagged, to the results table.
+    """Run a linted query once and write its encoded rows, tagged, to the new folder ``path``.
 
-    The rows are written first and counted where they were written, so the query
-    runs a single time; with a row cap, writing stops one row past it.
+    The rows are counted while they are written; with a row cap, writing stops
+    one row past it and the result is refused.
     """
-    frame, size = guarded(spark, sql)
+    frame, size = guarded(spark, sql, max_bytes, linted=True)
     if len(set(frame.columns)) != len(frame.columns):
         raise QueryRefused(f"duplicate column names: {frame.columns}")
+    seen = Observation()
+    held = frame if row_cap is None else frame.limit(row_cap + 1)
+    rows = encode_rows(held).withColumns({k: F.lit(v) for k, v in tags.asDict().items()})
     begin = time.monotonic()
-    tagged = (frame if row_cap is None else frame.limit(row_cap + 1)).withColumns({k: F.lit(v) for k, v in tags.items()})
     try:
-        encode_rows(tagged, list(tags)).write.mode("append").partitionBy(*tags).parquet(path)
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     except PySparkException as error:
         raise QueryRefused(f"execution failed: {error.getCondition() or error}") from error
     duration = (time.monotonic() - begin) * 1000
-    written = spark.read.schema(RESULT_SCHEMA.format(tags=", ".join(f"{k} string" for k in tags))).parquet(path)
-    for name, value in tags.items():
-        written = written.filter(F.col(name) == value)
-    rows = written.count()
-    if row_cap is not None and rows > row_cap:
+    count = seen.get["rows"]
+    if row_cap is not None and count > row_cap:
         raise QueryRefused(f"returned more than {row_cap:,} rows — exceeds {row_cap:,} row cap")
-    return frame.columns, QueryStats(size, duration, rows)
+    return frame.columns, QueryStats(size, duration, count)
+
 
+def _submitted(pool: ThreadPoolExecutor, width: int, work, rows: Iterator[Row]) -> Iterator[tuple]:
+    """The results of ``work`` over ``rows`` as they come in, with at most twice ``width`` rows in hand."""
+    pending: set[Future] = set()
+    for row in rows:
+        pending.add(pool.submit(work, row))
+        if len(pending) >= 2 * width:
+            done, pending = wait(pending, return_when=FIRST_COMPLETED)
+            yield from (f.result() for f in done)
+    yield from (f.result() for f in pending)
 
-RESULT_SCHEMA = "cells array<struct<missing:int,num:double,txt:string,kind:string>>, {tags}"
+
+def execute_texts(
+    texts: DataFrame, path: str, width: int = 8, row_cap: int | None = None, max_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Run the ``sql`` of every row of ``texts``; (encoded result rows, statistics) under ``path``, a new folder.
+
+    The other columns of ``texts`` tag both tables. Texts are linted in the plan
+    that streams them. A text that is refused or fails leaves its reason in the
+    statistics and no row in the results. ``width`` queries run side by side.
+    """
+    spark = texts.sparkSession
+    tags = T.StructType([f for f in texts.schema.fields if f.name != "sql"])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tags)
+    linted = texts.fillna("", ["sql"]).withColumn("_reason", read_only_reason(F.col("sql")))
+    names = [f.name for f in tags]
+
+    def work(row: Row) -> tuple:
+        key = Row(**{n: row[n] for n in names})
+        folder = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(f"evalspark-{folder}", ", ".join(str(v) for v in key), interruptOnCancel=True)
+        try:
+            if row["_reason"]:
+                raise QueryRefused(row["_reason"])
+            cols, stats = store_result(spark, row["sql"], key, f"{path}/rows/{folder}", row_cap, max_bytes)
+        except QueryRefused as refused:
+            return (*key, None, None, None, None, str(refused))
+        return (*key, cols, stats.bytes_scanned, stats.duration_ms, stats.row_count, None)
+
+    def save(batch: list[tuple]) -> None:
+        spark.createDataFrame(batch, f"{kinds}, {STATS_COLUMNS}").coalesce(1).write.mode("append").parquet(f"{path}/stats")
+
+    batch: list[tuple] = []
+    with ThreadPoolExecutor(width) as pool:
+        for found in _submitted(pool, width, work, linted.toLocalIterator(prefetchPartitions=True)):
+            batch.append(found)
+            if len(batch) == BATCH:
+                save(batch)
+                batch = []
+    save(batch)
+    stats = spark.read.schema(f"{kinds}, {STATS_COLUMNS}").parquet(f"{path}/stats")
+    kept = stats.filter("error IS NULL").select(*names)  # a result over the cap is on disk, but not a result
+    schema = f"{CELLS_SCHEMA}, {kinds}"
+    if kept.isEmpty():
+        return spark.createDataFrame([], schema), stats
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
+    return rows.join(kept.hint("merge"), names, "left_semi") if row_cap is not None else rows, stats

@@ -9,7 +9,7 @@ from evalspark import catalog
 from tests.oracle import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"kappa_bootstrap", "run_query_stats"}
+ROWS_ONLY = {"kappa_bootstrap"}
 
 
 @pytest.fixture(scope="module")
