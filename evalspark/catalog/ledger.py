@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from evalspark.catalog import query
 from evalspark.operators import ledger as L
+from evalspark.session import scratch_path
+from evalspark.sources.ledger_store import LedgerConflict, append_runs, newest_entries
 
 JUDGE_HASH = "0f1e2d3c"
 FIELDS = ["case_id", "agent_sql", "agent_explanation"]
@@ -111,3 +113,31 @@ SELECT agent_name, run_id, prev_run_id, CASE WHEN prev_run_id IS NOT NULL THEN c
   CASE WHEN judge_prompt_hash <> pj THEN 'judge_prompt_hash' END) END AS changed FROM looked""")
 def changed_components(t):
     return L.changed_components(t.run_ledger)
+
+
+@query("stored_ledger", """
+WITH early AS (SELECT * FROM {run_ledger} WHERE finished_at < TIMESTAMP '1998-01-01'
+  QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY finished_at, run_id) = 1),
+later AS (SELECT * FROM {run_ledger} WHERE finished_at >= TIMESTAMP '1998-01-01' AND fingerprint NOT IN (SELECT fingerprint FROM early)
+  QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY finished_at, run_id) = 1),
+forced AS (SELECT * FROM {run_ledger} WHERE fingerprint < '8'
+  QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY finished_at DESC, run_id DESC) = 1)
+SELECT *, CAST(1 AS BIGINT) AS version FROM early WHERE fingerprint >= '8'
+UNION ALL BY NAME SELECT *, 2 AS version FROM later WHERE fingerprint >= '8'
+UNION ALL BY NAME SELECT *, 3 AS version FROM forced""")
+def stored_ledger(t):
+    """A ledger on storage after two appends, two refused ones and a forced one: the newest entry per fingerprint."""
+    path, runs, cut = scratch_path(t.spark, "ledger"), t.run_ledger, F.lit("1998-01-01").cast("timestamp_ntz")
+    early = L.first_runs(runs.filter(F.col("finished_at") < cut))
+    append_runs(early, path)
+    for refused in (early, L.first_runs(runs)):  # all known; some known
+        try:
+            append_runs(refused, path)
+        except LedgerConflict:
+            continue
+        raise AssertionError("a fingerprint was recorded twice")
+    late = L.first_runs(L.runs_to_execute(
+        runs.filter(F.col("finished_at") >= cut).withColumn("forced", F.lit(False)), newest_entries(t.spark, path)).drop("forced"))
+    append_runs(late, path)
+    append_runs(L.newest_runs(runs.filter(F.col("fingerprint") < "8")), path, force=True)
+    return newest_entries(t.spark, path)

@@ -165,6 +165,7 @@ SELECT substr(sha256(concat('run:', CAST(o_custkey % 400 AS STRING), o_orderstat
        o_orderkey AS run_id,
        o_orderdate AS finished_at,
        concat('runs/', CAST(o_orderkey AS STRING), '.md') AS report_path,
+       concat('submissions/agent_', CAST(o_custkey % 7 AS STRING), '.csv') AS source_csv,
        substr(sha256(concat('a', CAST(o_custkey % 3 AS STRING))), 1, 16) AS agent_hash,
        substr(sha256(concat('c', o_orderstatus)), 1, 16) AS corpus_hash,
        substr(sha256(concat('j', o_orderpriority)), 1, 8) AS judge_prompt_hash
