@@ -15,6 +15,7 @@ import numpy as np
 
 NEVER = np.iinfo(np.int32).max
 SLOT_BITS = 20
+BATCH = 1 << 17  # symbols that take their steps together
 PATIENCE = 64  # rounds that stop at an opening join before a sequence goes to the heap; the result is the same
 
 
@@ -59,8 +60,17 @@ class RankMerger:
     def merged(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The surviving symbols of all sequences, flat and in order, and the number of each.
 
-        ``starts`` are the first places of the sequences in ``symbols``, none of them empty.
+        ``starts`` are the first places of the sequences in ``symbols``, none of
+        them empty. They are taken in batches that fit the processor's caches.
         """
+        edges = np.append(starts, len(symbols))
+        cuts = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(symbols), BATCH)), len(starts)))
+        parts = [self._merged(symbols[edges[a]: edges[b]], starts[a:b] - edges[a]) for a, b in zip(cuts[:-1], cuts[1:])]
+        if not parts:
+            return symbols[:0], np.zeros(0, np.int64)
+        return np.concatenate([s for s, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _merged(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(starts), np.int64)
         owner, done = np.arange(len(starts)), []
         symbols, opened = symbols.copy(), np.zeros(len(starts), np.int64)
@@ -93,8 +103,6 @@ class RankMerger:
             lengths = np.bincount(rows, minlength=len(starts))
             starts = np.cumsum(lengths) - lengths
             opened[stopped] += 1
-        if not done:
-            return symbols, counts
         begin = np.cumsum(counts) - counts
         owners = np.concatenate([o for o, _ in done])
         sizes = counts[owners]

@@ -42,7 +42,7 @@ def _build(tokenizer: str, end_id: int, bits: int, shard_tokens: int):
         docs: list = []
         sizes: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
-        for piece in slices(batches, limit=min(SLICE_BYTES, 4 * shard_tokens)):
+        for piece in slices(batches, limit=min(SLICE_BYTES // 2, 4 * shard_tokens)):
             data, offsets = raw(piece.column("text"))
             ids, counts = known.encode(data, offsets)
             tokens.append(np.insert(ids, np.cumsum(counts), end_id))
