@@ -42,6 +42,11 @@ OUTCOMES = f"""SELECT l.case_id, l.golden_cols = l.agent_cols AS columns_match,
     CASE WHEN golden_cols <> agent_cols THEN 'columns' WHEN n_golden <> n_agent THEN 'row_count'
          WHEN apart > 0 THEN 'values' ELSE 'match' END AS outcome
   FROM ({LAYOUT}) l JOIN ({COUNTS}) c ON l.case_id = c.case_id JOIN ({VALUE_COUNTS}) v ON l.case_id = v.case_id"""
+CELL = "CASE WHEN g_{c} <> a_{c} THEN concat('{name} peak=', CAST(g_{c} AS STRING), ' agent=', CAST(a_{c} AS STRING)) END"
+FIRST_ROWS = f"""SELECT case_id, string_agg(concat('row ', pos, ': ', concat_ws('; ', {CELL.format(c='flag', name='l_returnflag')},
+    {CELL.format(c='status', name='l_linestatus')}, {CELL.format(c='n', name='n')}, {CELL.format(c='sum_qty', name='sum_qty')})),
+    chr(10) ORDER BY pos) AS shown
+  FROM (SELECT * FROM ({MARKED}) WHERE NOT same QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos) <= 5) GROUP BY case_id"""
 SUMMARY = f"""SELECT case_id, outcome = 'match' AS matched, outcome, CASE outcome
     WHEN 'columns' THEN concat('column mismatch (peak: ', {QUOTED.format(c='golden_cols')}, ', agent: ',
                                {QUOTED.format(c='agent_cols')}, ')')
@@ -52,7 +57,8 @@ SUMMARY = f"""SELECT case_id, outcome = 'match' AS matched, outcome, CASE outcom
     WHEN 'columns' THEN concat('missing in agent: [''', only_golden, ''']', chr(10),
                                'extra in agent: [''', only_agent, ''']')
     WHEN 'row_count' THEN concat('agent returned ', abs(row_delta), CASE WHEN row_delta > 0 THEN ' extra' ELSE ' fewer' END, ' rows')
-    ELSE '' END AS detail FROM ({OUTCOMES})"""
+    WHEN 'values' THEN concat('first mismatching rows:', chr(10), shown)
+    ELSE '' END AS detail FROM ({OUTCOMES}) LEFT JOIN ({FIRST_ROWS}) USING (case_id)"""
 
 
 def _rows(t):

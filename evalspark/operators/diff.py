@@ -144,10 +144,13 @@ def judged_rows(aligned: DataFrame, values: list[str]) -> DataFrame:
 
 
 def diff_batch(
-    rows: DataFrame, keys: list[str], values: list[str] | None = None, layouts: DataFrame | None = None
+    rows: DataFrame, keys: list[str], values: list[str] | None = None, layouts: DataFrame | None = None,
+    size: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """Compare every result in one plan, one output row per result of any size.
 
+    ``detail`` of a result with other values shows its first ``size`` differing rows.
+
     The exact comparison comes first and needs no order: results whose sides hold
     the same rows are settled by counting. Only results with equal row counts and
     different rows are ordered, by range, and compared with tolerance. ``layouts``
@@ -157,7 +160,7 @@ def diff_batch(
     tally = tally_rows(rows, keys, values)
     totals = case_totals(tally, keys, values)
     contested = _contested(totals).select(*keys)
-    counts = _mismatch_counts(null_safe_join(tally, contested, keys, "left_semi"), keys, values)
+    counts = _mismatch_counts(null_safe_join(tally, contested, keys, "left_semi"), keys, values, size)
     if layouts is None:
         none = F.array().cast("array<string>")
         cases = totals.withColumns({
@@ -172,20 +175,61 @@ def diff_batch(
         "_apart": F.coalesce("_apart", zero),
         "mismatched_rows": F.coalesce("_unequal", "_with_missing", zero),
     })
-    return describe(merged, keys)
+    return describe(merged, keys, values == [CELLS])
+
+
+def differing_cells(values: list[str], g_type: T.StructType, a_type: T.StructType) -> Column:
+    """The cells of the structs ``g`` and ``a`` that differ: column, golden and agent value as text.
+
+    A cell missing on both sides does not differ here. Encoded cells are named by
+    their number, from 0.
+    """
+    if values == [CELLS]:
+        def both(x: Column, y: Column) -> Column:
+            apart = ~encoded_identical(F.array(x), F.array(y)) & ~((x["missing"] == 1) & (y["missing"] == 1))
+            return F.struct(apart.alias("apart"), x["txt"].alias("golden_value"), y["txt"].alias("agent_value"))
+
+        numbered = F.transform(F.zip_with(F.col("g.cells"), F.col("a.cells"), both), lambda c, k: F.struct(
+            c["apart"].alias("apart"), k.cast("string").alias("column"), c["golden_value"].alias("golden_value"),
+            c["agent_value"].alias("agent_value")))
+        return F.transform(F.filter(numbered, lambda c: c["apart"]), lambda c: F.struct(c["column"], c["golden_value"], c["agent_value"]))
+    return F.array_compact(F.array(*[
+        F.when(
+            ~cells_identical(F.col(f"g.`{v}`"), F.col(f"a.`{v}`"), g_type[v].dataType, a_type[v].dataType)
+            & ~(F.col(f"g.`{v}`").isNull() & F.col(f"a.`{v}`").isNull()),
+            F.struct(
+                F.lit(v).alias("column"), F.col(f"g.`{v}`").cast("string").alias("golden_value"),
+                F.col(f"a.`{v}`").cast("string").alias("agent_value")))
+        for v in values
+    ]))
 
 
-def _mismatch_counts(tally: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Mismatch counts of results whose sides have equal row counts.
+SAMPLE = "array<struct<pos:bigint,cells:array<struct<column:string,golden_value:string,agent_value:string>>>>"
+
+
+def _mismatch_counts(tally: DataFrame, keys: list[str], values: list[str], size: int = SAMPLE_ROWS) -> DataFrame:
+    """Mismatch counts and the first ``size`` differing rows of results whose sides have equal row counts.
 
     With equal counts in every result, equal positions in the two sorted tables
     belong to the same result and the same rank, so no rank per result is needed.
+    A block of positions hands on its first ``size`` differing segments only.
     """
     judged = judged_rows(align_sorted(tally, [*keys, *values]), values)
-    return judged.select(*[F.col(f"g.{k}").alias(k) for k in keys], "length", "ok", "same").groupBy(*keys).agg(
+    cells = differing_cells(values, judged.schema["g"].dataType, judged.schema["a"].dataType)
+    named = judged.select(
+        *[F.col(f"g.{k}").alias(k) for k in keys], "_block", "start", "length", "ok", "same",
+        F.when(~F.col("same"), cells).alias("cells"))
+    shown = F.coalesce(F.size("cells") > 0, F.lit(False))
+    so_far = F.count_if(shown).over(Window.partitionBy("_block", *keys).orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.when(shown & (so_far <= size), F.struct("start", "length", "cells"))
+    found = named.withColumn("_first", first).groupBy(*keys).agg(
         F.sum(F.when(F.col("ok"), 0).otherwise(F.col("length"))).alias("_apart"),
         F.sum(F.when(F.col("same"), 0).otherwise(F.col("length"))).alias("_unequal"),
-    )
+        F.min("start").alias("_base"), F.array_sort(F.collect_list("_first")).alias("_sample"))
+    rows = F.flatten(F.transform(F.slice("_sample", 1, size), lambda s: F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.least(s["length"], F.lit(size))),
+        lambda k: F.struct((s["start"] - F.col("_base") + k).alias("pos"), s["cells"].alias("cells")))))
+    return found.select(*keys, "_apart", "_unequal", F.slice(rows, 1, size).cast(SAMPLE).alias("_sample"))
 
 
 OUTCOME = """CASE WHEN NOT columns_match THEN 'columns'
@@ -203,14 +247,21 @@ DETAIL = f"""CASE outcome
     if(size(only_golden) > 0, concat('missing in agent: ', {NAMES.format("only_golden")}), NULL),
     if(size(only_agent) > 0, concat('extra in agent: ', {NAMES.format("only_agent")}), NULL))
   WHEN 'row_count' THEN concat('agent returned ', abs(row_delta), if(row_delta > 0, ' extra', ' fewer'), ' rows')
+  WHEN 'values' THEN if(coalesce(size(_sample), 0) = 0, '', concat('first mismatching rows:\n', array_join(transform(_sample,
+    r -> concat('row ', r.pos, ': ', array_join(transform(r.cells,
+      c -> concat({{name}}, ' {GOLDEN_LABEL}=', coalesce(c.golden_value, 'null'), ' {AGENT_LABEL}=', coalesce(c.agent_value, 'null'))), '; '))),
+    '\n')))
   ELSE '' END"""
+# encoded cells carry their number instead of a name
+CELL_NAME = "coalesce(get(golden_cols, try_cast(c.column AS INT)), concat('column ', c.column))"
 
 
-def describe(cases: DataFrame, keys: list[str]) -> DataFrame:
+def describe(cases: DataFrame, keys: list[str], encoded: bool = False) -> DataFrame:
     """Outcome, headline and detail: columns first, then row count, then values."""
+    detail = DETAIL.format(name=CELL_NAME if encoded else "c.column")
     return cases.selectExpr("*", f"{OUTCOME} AS outcome", "n_agent - n_golden AS row_delta").selectExpr(
         *[f"`{k}`" for k in keys], "outcome = 'match' AS matched", "outcome", f"{SUMMARY} AS summary",
-        f"{DETAIL} AS detail", "columns_match", "only_golden", "only_agent", "n_golden", "n_agent", "row_delta",
+        f"{detail} AS detail", "columns_match", "only_golden", "only_agent", "n_golden", "n_agent", "row_delta",
         "mismatched_rows",
     )
 
@@ -230,31 +281,14 @@ def diff_sample(rows: DataFrame, keys: list[str], values: list[str], size: int |
     As with the value comparison, only results with equal row counts are sampled.
     """
     tally = tally_rows(rows, keys, values)
-    contested = _contested(case_totals(tally, keys, values)).select(*keys)
-    types = {f.name: f.dataType for f in rows.schema.fields}
-    cells = F.array(*[
-        F.when(
-            ~cells_identical(F.col(f"g.{v}"), F.col(f"a.{v}"), types[v], types[v])
-            & ~(F.col(f"g.{v}").isNull() & F.col(f"a.{v}").isNull()),
-            F.struct(
-                F.lit(v).alias("column"),
-                F.col(f"g.{v}").cast("string").alias("golden_value"),
-                F.col(f"a.{v}").cast("string").alias("agent_value"),
-            ),
-        )
-        for v in values
-    ])
-    aligned = align_sorted(null_safe_join(tally, contested, keys, "left_semi"), [*keys, *values], keys=keys)
-    differing = aligned.withColumn("_cells", F.array_compact(cells)).filter(F.size("_cells") > 0)
-    stop = F.col("start") + F.col("length")
-    if size is not None:  # the first segments hold the first rows
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start"))
-        differing = differing.withColumn("_nth", nth).filter(F.col("_nth") <= size)
-        stop = F.least(stop, F.col("start") + size)
-    placed = differing.withColumn("pos", F.explode(F.sequence(F.col("start") + 1, stop)))
+    contested = null_safe_join(tally, _contested(case_totals(tally, keys, values)).select(*keys), keys, "left_semi")
     if size is not None:
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-        placed = placed.withColumn("_nth", nth).filter(F.col("_nth") <= size)
+        found = _mismatch_counts(contested, keys, values, size)
+        return found.select(*keys, F.inline("_sample")).select(*keys, "pos", F.inline("cells"))
+    aligned = align_sorted(contested, [*keys, *values], keys=keys)
+    cells = differing_cells(values, aligned.schema["g"].dataType, aligned.schema["a"].dataType)
+    differing = aligned.withColumn("_cells", cells).filter(F.size("_cells") > 0)
+    placed = differing.withColumn("pos", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("length"))))
     return placed.select(*keys, "pos", F.inline("_cells"))
 
 
@@ -269,15 +303,17 @@ def diff_frames(golden: DataFrame, agent: DataFrame) -> DataFrame:
     same_columns = golden.columns == agent.columns
     n_golden, n_agent = golden.count(), agent.count()
     apart = mismatched = 0
+    sample: list = []
     if same_columns and n_golden == n_agent and n_golden and golden.columns:
         plain = [f"c{i}" for i in range(len(golden.columns))]  # result columns may have any name
-        counted = pair_segments(golden.toDF(*plain), agent.toDF(*plain)).agg(
-            F.sum(F.when(F.col("ok"), 0).otherwise(F.col("length"))).alias("apart"),
-            F.sum(F.when(F.col("same"), 0).otherwise(F.col("length"))).alias("mismatched"),
-        ).first()  # two numbers
-        apart, mismatched = counted["apart"], counted["mismatched"]
+        tally, values = pair_tally(golden.toDF(*plain), agent.toDF(*plain))
+        counted = _mismatch_counts(tally, [], values).first()  # two numbers and a few rows
+        apart, mismatched = counted["_apart"], counted["_unequal"]
+        names_of = dict(zip(plain, golden.columns)) | {str(i): c for i, c in enumerate(golden.columns)}
+        sample = [(r["pos"], [(names_of[c["column"]], c["golden_value"], c["agent_value"]) for c in r["cells"]]) for r in counted["_sample"]]
     number = lambda n: F.lit(n).cast("bigint")
-    one = golden.sparkSession.range(1).select(
+    one = golden.sparkSession.createDataFrame([(sample,)], f"_sample {SAMPLE}").select(
+        "_sample",
         F.lit(same_columns).alias("columns_match"), names(golden.columns).alias("golden_cols"),
         names(agent.columns).alias("agent_cols"), names(only_golden).alias("only_golden"),
         names(only_agent).alias("only_agent"), number(n_golden).alias("n_golden"), number(n_agent).alias("n_agent"),
@@ -286,8 +322,8 @@ def diff_frames(golden: DataFrame, agent: DataFrame) -> DataFrame:
     return describe(one, [])
 
 
-def pair_segments(golden: DataFrame, agent: DataFrame) -> DataFrame:
-    """Aligned segments of two equally long tables with ``ok`` and ``same``.
+def pair_tally(golden: DataFrame, agent: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Distinct rows of two tables with their counts, and the columns that hold the values.
 
     Columns of one type on both sides are compared as they are; where a type
     differs, the rows are encoded, which keeps numbers apart from text.
@@ -295,5 +331,4 @@ def pair_segments(golden: DataFrame, agent: DataFrame) -> DataFrame:
     values = golden.columns
     if [f.dataType for f in golden.schema.fields] != [f.dataType for f in agent.schema.fields]:
         golden, agent, values = encode_rows(golden), encode_rows(agent), [CELLS]
-    tally = tally_rows(both_sides(golden, agent), [], values)
-    return judged_rows(align_sorted(tally, values), values)
+    return tally_rows(both_sides(golden, agent), [], values), values

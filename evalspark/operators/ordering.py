@@ -58,7 +58,7 @@ def align_sorted(tally: DataFrame, order: list[str], block: int = BLOCK, keys: l
     ``tally`` has every distinct row once with its counts ``n_golden`` and
     ``n_agent``, so a value that makes up a third of the table is one row here.
     Returns segments ``(start, length, g, a)`` in which ``length`` positions hold
-    golden row ``g`` and agent row ``a``. Without ``keys`` both sides need the
+    golden row ``g`` and agent row ``a``, dealt by ``_block`` of positions. Without ``keys`` both sides need the
     same total (and, when the order leads with group keys, the same in every
     group). With ``keys``, which lead the order, positions count from 0 in every
     group, the groups' columns come along, and the longer side meets nulls. Spans
@@ -100,13 +100,13 @@ def align_sorted(tally: DataFrame, order: list[str], block: int = BLOCK, keys: l
     )
     by_position = Window.partitionBy(*keys, "_block").orderBy("_from")
     filled = pieces.select(
-        *keys, "_from",
+        *keys, "_block", "_from",
         F.coalesce(F.lead("_from").over(by_position), F.col("_to")).alias("_until"),
         F.last("g", ignorenulls=True).over(by_position)["r"].alias("g"),
         F.last("a", ignorenulls=True).over(by_position)["r"].alias("a"),
     )
     return filled.filter(F.col("_until") > F.col("_from")).select(
-        *keys, F.col("_from").alias("start"), (F.col("_until") - F.col("_from")).alias("length"), "g", "a"
+        *keys, "_block", F.col("_from").alias("start"), (F.col("_until") - F.col("_from")).alias("length"), "g", "a"
     )
 
 

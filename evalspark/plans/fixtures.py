@@ -51,7 +51,7 @@ SELECT l_suppkey AS case_id, l_returnflag, l_linestatus, count(*) AS n, round(su
 FROM {lineitem} GROUP BY l_suppkey, l_returnflag, l_linestatus""",
     "agent_results": """
 SELECT case_id, l_returnflag, l_linestatus, n,
-       CASE case_id % 6 WHEN 2 THEN sum_qty * (1 + 1e-7) WHEN 3 THEN sum_qty * 1.01 ELSE sum_qty END AS sum_qty
+       CASE case_id % 6 WHEN 2 THEN sum_qty * (1 + 1e-7) WHEN 3 THEN sum_qty * 101 / 100 ELSE sum_qty END AS sum_qty
 FROM {golden_results} g WHERE NOT (case_id % 6 = 1 AND l_returnflag = 'R')
 UNION ALL
 SELECT case_id, l_returnflag, l_linestatus, n, sum_qty

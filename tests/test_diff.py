@@ -276,3 +276,33 @@ def test_column_names_may_be_anything(spark):
     golden = spark.createDataFrame([(1, 2.0), (2, 3.0)], "`avg(a.b)` int, `x y` double")
     assert outcome(golden, golden)["matched"]
     assert not outcome(golden, golden.withColumn("x y", F.lit(7.0)))["matched"]
+
+
+def test_detail_shows_the_first_differing_rows(spark):
+    golden = [(i, float(i), None) for i in range(9)]
+    agent = [(i, float(i) + (0.5 if i % 2 else 0), None if i < 5 else "new") for i in range(9)]
+    got = outcome(*frames(spark, golden, agent, "i int, x double, `odd name` string"))
+    assert got["detail"].split("\n") == [
+        "first mismatching rows:", "row 2: x peak=1.0 agent=1.5", "row 4: x peak=3.0 agent=3.5",
+        "row 6: x peak=5.0 agent=5.5; odd name peak=null agent=new", "row 7: odd name peak=null agent=new",
+        "row 8: x peak=7.0 agent=7.5; odd name peak=null agent=new"]
+    # copies are rows of their own
+    got = outcome(*frames(spark, [("a", 1)] * 8, [("a", 2)] * 8, "s string, n int"))
+    assert got["detail"].split("\n")[1:] == [f"row {k}: n peak=1 agent=2" for k in range(1, 6)]
+    # two missing cells are counted, but there is nothing to show
+    assert outcome(*frames(spark, [(None, 1.0), ("a", 1.0)], [(None, 1.0), ("a", 2.0)], "s string, x double"))["detail"].endswith(
+        "row 1: x peak=1.0 agent=2.0")
+
+
+def test_detail_of_many_results_names_encoded_cells(spark):
+    golden = [(k, j, float(j)) for k in range(4) for j in range(300)]
+    agent = [(k, j, float(j) + (j % 3 == 2) * k) for k in range(4) for j in range(300)]
+    table = diff.both_sides(*frames(spark, golden, agent, "case_id int, j int, x double"))
+    cols = spark.createDataFrame([(k, s, ["j", "total"]) for k in range(4) for s in ("golden", "agent")], "case_id int, side string, cols array<string>")
+    encoded = encode_rows(table, ["case_id", "side"])
+    for rows, values, name in ((table, ["j", "x"], "x"), (encoded, [diff.CELLS], "total")):
+        got = {r["case_id"]: r["detail"] for r in diff.diff_batch(rows, ["case_id"], values, cols).collect()}
+        assert got[0] == ""
+        for k in (1, 2, 3):
+            shown = [f"row {j + 1}: {name} peak={float(j)} agent={float(j + k)}" for j in (2, 5, 8, 11, 14)]
+            assert got[k].split("\n") == ["first mismatching rows:", *shown]
