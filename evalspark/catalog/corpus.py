@@ -45,6 +45,8 @@ GOLDENS = f"""SELECT {strip('id')} AS id, upper({strip('tier')}) AS tier, {strip
 INPUTS = f"""SELECT {strip('id')} AS id, {strip('agent_sql')} AS agent_sql,
     {strip('agent_explanation')} AS agent_explanation, case_pos FROM {{submission_raw}} WHERE {PRESENT}"""
 
+AGENT_INPUTS = INPUTS.replace("SELECT", "SELECT agent_name,", 1).replace("{submission_raw}", "{agent_answers}")
+
 
 def joined(frame):
     return frame.withColumns({c: F.array_join(c, "|") for c in ("tables", "sql_features")})
@@ -194,7 +196,8 @@ def unanswered(t):
 
 
 @query("unanswered_by_agent", """
-SELECT d.doc_id AS id, a.agent_name FROM documents d, (SELECT unnest(['q0', 'q1', 't1']) AS agent_name) a
+SELECT d.doc_id AS id, a.agent_name FROM documents d, (SELECT DISTINCT concat('q', quality) AS agent_name FROM labels
+  UNION SELECT DISTINCT concat('t', toxic) FROM labels) a
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id
   AND (concat('q', l.quality) = a.agent_name OR concat('t', l.toxic) = a.agent_name))""")
 def unanswered_by_agent(t):
@@ -205,7 +208,7 @@ def unanswered_by_agent(t):
             F.concat(F.lit("q"), F.col("quality").cast("string")), F.concat(F.lit("t"), F.col("toxic").cast("string"))
         )).alias("agent_name"),
     )
-    return C.unanswered(goldens, answers, ["q0", "q1", "t1"])
+    return C.unanswered_by_agent(goldens, answers)
 
 
 @query("extra_inputs", f"""
@@ -217,17 +220,13 @@ def extra_inputs(t):
 
 
 @query("unmatched_lists", f"""
-WITH approved AS (SELECT * FROM ({GOLDENS}) WHERE status = 'approved'), inputs AS ({INPUTS}),
-loose AS (SELECT 'unanswered' AS kind, id, case_pos FROM approved WHERE id NOT IN (SELECT id FROM inputs)
-  UNION ALL SELECT 'extra', id, case_pos FROM inputs WHERE id NOT IN (SELECT id FROM approved))
-SELECT kind, case_pos // 1000 AS block, count(*) AS n, string_agg(id, ', ' ORDER BY case_pos, id) AS ids
-FROM loose GROUP BY 1, 2""")
+WITH approved AS (SELECT * FROM ({GOLDENS}) WHERE status = 'approved'), inputs AS ({AGENT_INPUTS}),
+loose AS (SELECT a.agent_name, 'unanswered' AS kind, g.id, g.case_pos FROM approved g, (SELECT DISTINCT agent_name FROM inputs) a
+    WHERE NOT EXISTS (SELECT 1 FROM inputs i WHERE i.id = g.id AND i.agent_name = a.agent_name)
+  UNION ALL SELECT agent_name, 'extra', id, case_pos FROM inputs WHERE id NOT IN (SELECT id FROM approved))
+SELECT agent_name, kind, count(*) AS n, string_agg(id, ', ' ORDER BY case_pos, id) AS ids FROM loose GROUP BY 1, 2""")
 def unmatched_lists(t):
-    goldens, inputs = C.golden_cases(t.corpus_raw), C.agent_inputs(t.submission_raw)
-    loose = C.unanswered(goldens, inputs).select(F.lit("unanswered").alias("kind"), "id", "case_pos").union(
-        C.extra_inputs(goldens, inputs).select(F.lit("extra").alias("kind"), "id", "case_pos")
-    )
-    return C.id_lists(loose, ["kind"])
+    return C.unmatched_lists(C.golden_cases(t.corpus_raw), C.agent_inputs(t.agent_answers, ["agent_name"]))
 
 
 @query("category_dim", """

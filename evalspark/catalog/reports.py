@@ -11,6 +11,7 @@ from evalspark.catalog.calibration import AGREED, GATES, LABEL as KAPPA_LABEL, L
 from evalspark.catalog.cases import LABEL
 from evalspark.catalog.results import SUMMARY, _diffs
 from evalspark.catalog.scorecards import JUDGED, TOP, _line
+from evalspark.operators import corpus as C
 from evalspark.operators.scores import score_efficiency
 from evalspark.plans import benchmark as B, reporting as R, scorecard as S
 from evalspark.session import scratch_path
@@ -92,7 +93,9 @@ CASE_LINES = f"""[concat('### ', case_id, '  ·  ', tier, '  ·  ', category), '
   CASE WHEN error IS NULL AND judged THEN '' END,
   CASE WHEN error IS NULL THEN concat('**Optimization:** `', {LABEL}, '`') END, CASE WHEN error IS NULL THEN '' END,
   {_query_line('golden', 'peak', 900, 50)}, {_query_line('agent', 'agent', 800, 40)}, CASE WHEN error IS NULL THEN '' END]"""
-HEADER_LINES = f"""[concat('# Benchmark run — ', agent_name), '', concat('- **Cases scored:** ', cases), '',
+HEADER_LINES = f"""[concat('# Benchmark run — ', agent_name, ' — 2001-08-01'), '', concat('- **Agent:** `', agent_name, '`'),
+  concat('- **Cases scored:** ', cases), '- **Judge model:** judge-one', '- **JUDGE_PROMPT hash:** `0f1e2d3c`',
+  CASE WHEN cases % 2 = 0 THEN concat('- **Usage:** ', cases, ' calls') END, '',
   '## Trust-weighted scorecard', '',
   concat('- **', {_line('headline', 'Headline correctness (T1)', '0.90', '90%')}, '**'),
   concat('- **', {_line('trust', 'Trust-critical correctness', '0.85', '85%')}, '**'),
@@ -105,8 +108,16 @@ HEADER_LINES = f"""[concat('# Benchmark run — ', agent_name), '', concat('- **
     WHEN 'promote' THEN 'VERDICT: ok to promote — all aggregates above threshold.'
     WHEN 'do_not_promote' THEN 'VERDICT: do not promote — trust-critical or calibration below threshold; investigate before re-scoring.'
     ELSE 'VERDICT: investigate — headline correctness below threshold but trust-critical and calibration look ok.' END), '']"""
-TOP_TEXT = f"""SELECT agent_name, string_agg(concat(category, ' (', failures, ')'), ', ' ORDER BY place) AS top_failures
-  FROM ({TOP}) GROUP BY agent_name"""
+TITLES = """SELECT unnest(['translation_correctness', 'schema_selection', 'business_logic', 'temporal_logic', 'silent_wrongness',
+    'ambiguity_handling', 'hallucination_resistance', 'refusal_scope', 'efficiency', 'reasoning_faithfulness',
+    'consistency_rephrasing', 'adversarial_robustness']) AS category,
+  unnest(['Translation correctness', 'Schema selection', 'Business logic & domain knowledge', 'Temporal & calendar logic',
+    'Silent-wrongness traps', 'Ambiguity handling', 'Hallucination resistance', 'Refusal & scope awareness', 'Efficiency / cost',
+    'Reasoning faithfulness', 'Consistency under rephrasing', 'Adversarial / robustness']) AS title"""
+TOP_TEXT = f"""SELECT agent_name, string_agg(concat(title, ' (', failures, ')'), ', ' ORDER BY place) AS top_failures
+  FROM ({TOP}) JOIN ({TITLES}) USING (category) GROUP BY agent_name"""
+LOOSE = """SELECT concat('agent_', CAST(doc_id % 5 AS STRING)) AS agent_name, CASE WHEN toxic = 1 THEN 'extra' ELSE 'unanswered' END AS kind,
+  concat('doc_', CAST(doc_id AS STRING)) AS id, doc_id AS case_pos FROM {labels} WHERE quality = 0 OR toxic = 1"""
 
 
 @query("report_lines", f"""
@@ -114,10 +125,18 @@ SELECT * FROM (
   SELECT agent_name, CAST(2 AS BIGINT) AS section, case_pos AS pos, unnest(range(len(ls))) AS line_no, unnest(ls) AS line
   FROM (SELECT *, list_filter({CASE_LINES}, lambda x: x IS NOT NULL) AS ls FROM {{case_runs}})
   UNION ALL SELECT agent_name, 0, 0, unnest(range(len(ls))), unnest(ls)
-  FROM (SELECT *, {HEADER_LINES} AS ls FROM ({JUDGED}) j LEFT JOIN ({TOP_TEXT}) f USING (agent_name)))
+  FROM (SELECT *, {HEADER_LINES} AS ls FROM ({JUDGED}) j LEFT JOIN ({TOP_TEXT}) f USING (agent_name))
+  UNION ALL SELECT agent_name, 1, 2, unnest([0, 1]), unnest(['## Per-case detail', '']) FROM (SELECT DISTINCT agent_name FROM {{case_runs}})
+  UNION ALL SELECT agent_name, 1, CASE kind WHEN 'extra' THEN 1 ELSE 0 END, unnest([0, 1]), unnest([concat(CASE kind WHEN 'extra'
+      THEN '⚠ **Agent inputs without matching golden:** ' ELSE '⚠ **Prompts not answered by agent:** ' END, ids), ''])
+  FROM (SELECT agent_name, kind, string_agg(id, ', ' ORDER BY case_pos) AS ids FROM ({LOOSE}) GROUP BY agent_name, kind))
 WHERE line IS NOT NULL""")
 def report_lines(t):
-    return R.report_lines(reported_cases(t), S.scorecard(t.case_runs), AGENT)
+    cards = S.scorecard(t.case_runs).withColumns({
+        "finished_at": F.lit("2001-08-01"), "judge_model": F.lit("judge-one"), "judge_prompt_hash": F.lit("0f1e2d3c"),
+        "usage": F.when(F.col("cases") % 2 == 0, F.concat(F.col("cases").cast("string"), F.lit(" calls")))})
+    loose = t.spark.sql(LOOSE, labels=t.labels)
+    return R.report_lines(reported_cases(t), cards, AGENT, C.id_lists(loose, ["agent_name", "kind"]))
 
 
 TRIPLE = "concat('(', {s}_factual_accuracy, ',', {s}_completeness, ',', {s}_no_hallucination, ')')"

@@ -6,9 +6,10 @@ Validation returns every violation as a row ``(id, rule, value)``; with
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark.constants import APPROVED, CATEGORY_SLUGS, GOLDEN_SQL_COLUMN, TIER_NAMES
 from evalspark.functions.text import clean, parse_flag, parse_list, read_only_reason, strip
@@ -125,19 +126,35 @@ def pair_cases(goldens: DataFrame, inputs: DataFrame) -> DataFrame:
     return goldens.join(inputs.drop("case_pos"), "id")
 
 
-def unanswered(goldens: DataFrame, inputs: DataFrame, agents: list[str] | None = None) -> DataFrame:
-    """Golden cases without an answer; per agent when a list of agents is given."""
-    if agents is None:
-        return goldens.join(inputs.select("id"), "id", "left_anti")
-    # the agents that did answer are gathered per case: at most one entry per listed agent
-    listed = inputs.filter(F.col("agent_name").isin(agents))
-    answered = listed.groupBy("id").agg(F.collect_set("agent_name").alias("_answered"))
-    missing = F.array_except(
-        F.array(*[F.lit(a) for a in agents]), F.coalesce("_answered", F.array().cast("array<string>"))
-    )
-    return goldens.join(answered, "id", "left").select(
-        *goldens.columns, F.explode(missing).alias("agent_name")
-    )
+AGENT_BUCKET = 512  # agents whose answers to a case meet in one task
+
+
+def unanswered(goldens: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Golden cases without an answer."""
+    return goldens.join(inputs.select("id"), "id", "left_anti")
+
+
+def unanswered_by_agent(goldens: DataFrame, inputs: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Golden cases without an answer of an agent, one row per case and agent.
+
+    The agents are those of ``inputs``, or the ``agent_name`` of ``agents``, which
+    also knows agents that answered nothing. Agents are numbered inside hash
+    buckets; per case and bucket the numbers that answered are taken from all of
+    the bucket, so what is gathered is bounded by the bucket, however many agents
+    or cases there are. Only the number of agents visits the driver.
+    """
+    names = (inputs if agents is None else agents).select("agent_name").filter(F.col("agent_name").isNotNull()).distinct()
+    buckets = max(1, math.ceil(names.count() / AGENT_BUCKET))
+    bucket = F.pmod(F.xxhash64("agent_name"), F.lit(buckets)).alias("bucket")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("agent_name"))
+    numbered = names.select("agent_name", bucket).withColumn("place", place)
+    sizes = numbered.groupBy("bucket").agg(F.max("place").alias("size"))
+    answered = inputs.select("id", "agent_name").join(numbered, "agent_name").groupBy("id", "bucket").agg(
+        F.collect_set("place").alias("answered"))
+    wanted = goldens.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>"))).join(sizes, "bucket")
+    missing = F.array_except(F.sequence(F.lit(1), F.col("size")), F.coalesce("answered", F.array().cast("array<int>")))
+    left = wanted.join(answered, ["id", "bucket"], "left").select(*goldens.columns, "bucket", F.explode(missing).alias("place"))
+    return left.join(numbered, ["bucket", "place"]).select(*goldens.columns, "agent_name")
 
 
 def extra_inputs(goldens: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -146,12 +163,24 @@ def extra_inputs(goldens: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def id_lists(ids: DataFrame, keys: list[str], block: int = 1000) -> DataFrame:
-    """Ids as comma lists in position order, one line per ``block`` positions."""
-    blocked = ids.withColumn("block", F.floor(F.col("case_pos") / block))
-    ordered = F.array_sort(F.collect_list(F.struct("case_pos", "id")))  # at most `block` ids
-    return blocked.groupBy(*keys, "block").agg(
-        F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ordered, lambda s: s["id"]), ", ").alias("ids")
-    )
+    """Ids as one comma list per key, in position order.
+
+    Blocks of positions are joined first, so the task of a list sees one text per
+    block; the list itself is as long as its ids.
+    """
+    blocked = ids.withColumn("_block", F.floor(F.col("case_pos") / block))
+    joined = lambda field, parts: F.array_join(F.transform(F.array_sort(parts), lambda s: s[field]), ", ")
+    texts = blocked.groupBy(*keys, "_block").agg(
+        F.count(F.lit(1)).alias("n"), joined("id", F.collect_list(F.struct("case_pos", "id"))).alias("ids"))
+    return texts.groupBy(*keys).agg(F.sum("n").alias("n"), joined("ids", F.collect_list(F.struct("_block", "ids"))).alias("ids"))
+
+
+def unmatched_lists(goldens: DataFrame, inputs: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Per agent the ids of golden cases it left unanswered and of its answers to no case, one list each."""
+    missing = unanswered_by_agent(goldens.select("id", "case_pos"), inputs, agents)
+    loose = missing.select("agent_name", F.lit("unanswered").alias("kind"), "id", "case_pos").unionByName(
+        extra_inputs(goldens, inputs).select("agent_name", F.lit("extra").alias("kind"), "id", "case_pos"))
+    return id_lists(loose, ["agent_name", "kind"])
 
 
 def normalised_prompt(prompt: Column) -> Column:

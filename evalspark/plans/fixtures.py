@@ -158,6 +158,13 @@ SELECT CASE WHEN l.doc_id % 50 = 3 THEN concat('stray_', CAST(l.doc_id AS STRING
        CASE WHEN l.doc_id % 75 = 10 THEN NULL ELSE concat('because of ', CAST(l.toxic AS STRING)) END AS agent_explanation,
        l.doc_id AS case_pos
 FROM {labels} l""",
+    # raw submissions of several agents, each with some of the answers
+    "agent_answers": """
+SELECT concat('q', CAST(x.quality AS STRING)) AS agent_name, s.*
+FROM {submission_raw} s JOIN {labels} x ON x.doc_id = s.case_pos
+UNION ALL
+SELECT concat('t', CAST(y.toxic AS STRING)) AS agent_name, r.*
+FROM {submission_raw} r JOIN {labels} y ON y.doc_id = r.case_pos""",
     # run history: one row per finished run
     "run_ledger": """
 SELECT substr(sha256(concat('run:', CAST(o_custkey % 400 AS STRING), o_orderstatus)), 1, 16) AS fingerprint,

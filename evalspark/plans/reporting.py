@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalspark.constants import AGREEMENT_BAR, DIMENSIONS, GOLDEN_LABEL, AGENT_LABEL
+from evalspark.constants import AGREEMENT_BAR, CATEGORIES, DIMENSIONS, GOLDEN_LABEL, AGENT_LABEL
 from evalspark.functions.text import fixed, percent
 from evalspark.operators import calibration as K
 from evalspark.plans.scorecard import AGGREGATES, aggregate_line, verdict_message
@@ -23,29 +23,61 @@ def _explode(frame: DataFrame, keys: list[str], section: int, pos: Column, lines
     return placed.filter(F.col("line").isNotNull()).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
+TITLES = dict((c[0], c[1]) for c in CATEGORIES)
+
+
+def titled(top_failures: Column) -> Column:
+    """``slug (n), ...`` with the titles of the categories; an unknown slug stays."""
+    titles = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
+
+    def one(item: Column) -> Column:
+        slug = F.substring_index(item, " (", 1)
+        return F.concat(F.coalesce(F.try_element_at(titles, slug), slug), F.substring(item, F.length(slug) + 1, F.length(item)))
+
+    return F.array_join(F.transform(F.split(top_failures, ", "), one), ", ")
+
+
+#: What a report says about its run, where the scorecards have it: column and text around it.
+RUN_FIELDS = (("judge_model", "Judge model", ""), ("judge_prompt_hash", "JUDGE_PROMPT hash", "`"), ("usage", "Usage", ""))
+
+
 def header_lines(cards: DataFrame, keys: list[str]) -> DataFrame:
+    """Title, run fields and scorecard of every report.
+
+    ``finished_at``, ``judge_model``, ``judge_prompt_hash`` and ``usage`` appear
+    where ``cards`` has them and they are not null.
+    """
     bold = lambda label, value, tail="": F.concat(F.lit(f"- **{label}:** "), value, F.lit(tail))
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    title = [F.lit("# Benchmark run — "), name]
+    if "finished_at" in cards.columns:
+        title.append(F.coalesce(F.concat(F.lit(" — "), F.col("finished_at").cast("string")), F.lit("")))
+    given = [bold(label, F.concat(F.lit(mark), F.col(c).cast("string"), F.lit(mark))) for c, label, mark in RUN_FIELDS if c in cards.columns]
     lines = [
-        F.concat(F.lit("# Benchmark run — "), *[F.col(k).cast("string") for k in keys]),
+        F.concat(*title),
         F.lit(""),
+        bold("Agent", F.concat(F.lit("`"), name, F.lit("`"))),
         bold("Cases scored", F.col("cases").cast("string")),
+        *given,
         F.lit(""), F.lit("## Trust-weighted scorecard"), F.lit(""),
         *[F.concat(F.lit("- **"), aggregate_line(name), F.lit("**")) for name in AGGREGATES],
         bold("Efficiency ratio (median, on correct)", fixed(F.col("efficiency_median"), 2)),
         bold("Reasoning faithfulness (judge avg)", fixed(F.col("faithfulness"), 2), " / 3"),
-        F.when(F.col("top_failures") != "", bold("Failures concentrated in", F.col("top_failures"))),
+        F.when(F.col("top_failures") != "", bold("Failures concentrated in", titled(F.col("top_failures")))),
         F.lit(""),
         F.concat(F.lit("> "), verdict_message()),
         F.lit(""),
     ]
-    return _explode(cards, keys, 0, F.lit(0), lines)
+    return _explode(cards, keys, 0, F.lit(0), lines).unionByName(
+        _explode(cards, keys, 1, F.lit(2), [F.lit("## Per-case detail"), F.lit("")]))
 
 
 def unmatched_lines(lists: DataFrame, keys: list[str]) -> DataFrame:
-    label = F.when(F.col("kind") == "unanswered", F.lit("⚠ **Prompts not answered by agent:** ")).otherwise(
+    first = F.col("kind") == "unanswered"
+    label = F.when(first, F.lit("⚠ **Prompts not answered by agent:** ")).otherwise(
         F.lit("⚠ **Agent inputs without matching golden:** ")
     )
-    return _explode(lists, keys, 1, F.col("block"), [F.concat(label, F.col("ids")), F.lit("")])
+    return _explode(lists, keys, 1, F.when(first, 0).otherwise(1), [F.concat(label, F.col("ids")), F.lit("")])
 
 
 def case_detail_lines(cases: DataFrame, keys: list[str]) -> DataFrame:

@@ -123,10 +123,24 @@ def test_pairing(spark):
     assert {r["id"] for r in C.unanswered(goldens, inputs).collect()} == {"b", "c"}
     assert [r["id"] for r in C.extra_inputs(goldens, inputs).collect()] == ["x"]
     many = spark.createDataFrame([("a", "p"), ("b", "p"), ("a", "q")], "id string, agent_name string")
-    got = {(r["agent_name"], r["id"]) for r in C.unanswered(goldens, many, ["p", "q"]).collect()}
+    got = {(r["agent_name"], r["id"]) for r in C.unanswered_by_agent(goldens, many).collect()}
     assert got == {("p", "c"), ("q", "b"), ("q", "c")}
 
 
+def test_unanswered_over_many_agents_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(C, "AGENT_BUCKET", 4)
+    agents, cases = [f"a{k}" for k in range(30)], [f"c{k}" for k in range(12)]
+    answers = [(c, a) for i, c in enumerate(cases) for j, a in enumerate(agents) if (i * j) % 5 == 1 or j == 3]
+    goldens = spark.createDataFrame([(c, i * 700) for i, c in enumerate(cases)], "id string, case_pos int")
+    inputs = spark.createDataFrame([(c, a, 9) for c, a in answers * 2] + [("stray", "a3", 5), ("c0", None, 1)], "id string, agent_name string, case_pos int")
+    known = spark.createDataFrame([(a,) for a in [*agents, "silent"]], "agent_name string")
+    got = {(r["id"], r["agent_name"]) for r in C.unanswered_by_agent(goldens, inputs, known).collect()}
+    assert got == {(c, a) for c in cases for a in [*agents, "silent"]} - set(answers)
+    lists = {(r["agent_name"], r["kind"]): (r["n"], r["ids"]) for r in C.unmatched_lists(goldens, inputs, known).collect()}
+    assert lists[("silent", "unanswered")] == (12, ", ".join(cases)) and lists[("a3", "extra")] == (1, "stray")
+    assert ("a3", "unanswered") not in lists and len(lists) == len({a for _, a in got}) + 1
+
+
 def test_inline_result_csv(spark):
     texts = spark.createDataFrame([("v1", "month,n\n2026-04,8421\n"), ("v2", 'month,n\n"a,b",1\nx,2\n')], "case_id string, text string")
     got = files.parse_result_csv(texts, "text", "month string, n bigint", ["case_id"]).collect()
