@@ -74,17 +74,21 @@ def read_submissions(t):
 
 @query("parse_result_csv", """
 SELECT l_suppkey AS case_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag, l_linestatus) - 1 AS pos,
-  l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(sum(l_quantity), 4) AS qty
+  l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(sum(l_quantity), 4) AS qty,
+  concat(l_returnflag, '"', chr(10), l_linestatus, CASE WHEN l_suppkey % 2 = 0 THEN chr(13) ELSE ', ' END, chr(10)) AS note
 FROM {lineitem} GROUP BY l_suppkey, l_returnflag, l_linestatus""")
 def parse_result_csv(t):
-    """Every small result rendered as inline CSV text and parsed again."""
+    """Every small result rendered as inline CSV text, with quotes and line breaks inside fields, and parsed again."""
     line = F.to_csv(F.struct("l_returnflag", "l_linestatus", "n", "sum_qty"))
+    even = F.col("case_id") % 2 == 0  # these end their lines with CRLF
+    note = F.concat(F.lit('"'), "l_returnflag", F.lit('""\n'), "l_linestatus", F.when(even, "\r").otherwise(", "), F.lit('\n"'))
     texts = t.golden_results.groupBy("case_id").agg(  # one line per flag and status
-        F.concat(
-            F.lit("flag,status,n,qty\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")
-        ).alias("text")
-    )
-    return files.parse_result_csv(texts, "text", "flag string, status string, n bigint, qty double", ["case_id"])
+        F.array_sort(F.collect_list(F.concat_ws(",", line, note))).alias("lines"))
+    end = F.when(even, "\r\n").otherwise("\n")
+    texts = texts.select("case_id", "lines", end.alias("end"))
+    joined = F.aggregate("lines", F.concat(F.lit("flag,status,n,qty,note"), "end"), lambda text, one: F.concat(text, one, F.col("end")))
+    return files.parse_result_csv(
+        texts.select("case_id", joined.alias("text")), "text", "flag string, status string, n bigint, qty double, note string", ["case_id"])
 
 
 @query("corpus_violations", f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from evalspark.catalog import query
@@ -58,7 +60,28 @@ def calibration_drift(t):
     return rounded(K.calibration_drift(history, ["dim"], "run_no"), "kappa", "change")
 
 
-@query("kappa_bootstrap")
+# Poisson(1) draws told by the hash of seed, replicate and block
+POISSON = "list_count(list_filter([{steps}], lambda s: s <= bits))".format(
+    steps=", ".join(str(int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)))) for k in range(10)))
+BITS = "CAST(concat('0x', substr(sha256({text}), 1, 8)) AS BIGINT)"
+DRAWS = f"""SELECT replicate, block, CAST({POISSON} AS BIGINT) AS times FROM (
+    SELECT r.replicate, b.block, {BITS.format(text="concat('7:', r.replicate, ':', b.block)")} AS bits
+    FROM (SELECT unnest(range(500)) AS replicate) r, (SELECT unnest(range(128)) AS block) b)"""
+
+
+@query("kappa_bootstrap", f"""
+WITH blocked AS (SELECT dim, human, judge, {BITS.format(text="CAST(case_id AS STRING)")} % 128 AS block FROM {{calibration_scores}}),
+draws AS MATERIALIZED ({DRAWS}),
+drawn AS (SELECT dim, replicate, sum(times) AS n, sum(CASE WHEN human = judge THEN times ELSE 0 END) AS agreed,
+    sum(CASE WHEN human = 1 THEN times ELSE 0 END) AS h, sum(CASE WHEN judge = 1 THEN times ELSE 0 END) AS j
+  FROM blocked JOIN draws USING (block) GROUP BY dim, replicate),
+rates AS (SELECT dim, n, agreed * 1.0::DOUBLE / n AS po, (h * 1.0::DOUBLE / n) * (j * 1.0::DOUBLE / n)
+    + (1 - h * 1.0::DOUBLE / n) * (1 - j * 1.0::DOUBLE / n) AS pe FROM drawn),
+kappas AS (SELECT dim, CASE WHEN n = 0 THEN 0.0 WHEN pe >= 1 THEN CASE WHEN po >= 1 THEN 1.0 ELSE 0.0 END
+    ELSE (po - pe) / (1 - pe) END::DOUBLE AS k FROM rates),
+spread AS (SELECT dim, quantile_cont(k, 0.025) AS low, quantile_cont(k, 0.975) AS high FROM kappas GROUP BY dim)
+SELECT dim, round(kappa, 9) AS kappa, round(low, 9) AS low, round(high, 9) AS high, low >= 0.6 OR high < 0.6 AS conclusive
+FROM ({kappa_check('dim')}) JOIN spread USING (dim)""")
 def kappa_bootstrap(t):
     return rounded(K.kappa_bootstrap(t.calibration_scores, ["dim"]), "kappa", "low", "high")
 

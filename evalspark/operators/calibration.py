@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.constants import (
     AGREEMENT_BAR, AGREEMENT_LINE_PATTERN, CALIBRATION_FILE_PATTERN, DIMENSIONS, KAPPA_BAR, REASONING_PREVIEW,
@@ -204,38 +202,42 @@ def calibration_drift(history: DataFrame, keys: list[str], order: str) -> DataFr
     return looked.withColumn("change", F.col("kappa") - F.col("prev_kappa")).drop("prev_kappa")
 
 
-def kappa_bootstrap(scores: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """Bootstrap interval of kappa per key.
+#: Cumulated Poisson(1) probabilities in parts of 2^32: how often a block is drawn follows from 32 bits.
+POISSON_STEPS = tuple(int((1 << 32) * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10))
+
+
+def hash_bits(text: Column) -> Column:
+    """The first 32 bits of the sha256 of a text as a number."""
+    return F.conv(F.left(F.sha2(text, 256), F.lit(8)), 16, 10).cast("bigint")
 
-    Kappa depends on the rows only through the 2x2 counts, and resampling n rows
-    with replacement draws those counts from a multinomial. So the data is read
-    once into four counts per key, and the replicates are drawn from these.
-    """
-    human, judge = F.col("human") == 1, F.col("judge") == 1
-    cells = scores.groupBy(*keys).agg(
-        F.count_if(human & judge).alias("n11"), F.count_if(human & ~judge).alias("n10"),
-        F.count_if(~human & judge).alias("n01"), F.count_if(~human & ~judge).alias("n00"),
-    )
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lows, highs, points = [], [], []
-            for counts in batch[["n11", "n10", "n01", "n00"]].to_numpy():
-                n = counts.sum()
-                rng = np.random.default_rng([seed, *counts.tolist()])
-                sample = np.vstack([counts, rng.multinomial(n, counts / n, size=replicates)]) / n
-                po = sample[:, 0] + sample[:, 3]
-                p, q = sample[:, 0] + sample[:, 1], sample[:, 0] + sample[:, 2]
-                pe = p * q + (1 - p) * (1 - q)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    value = np.where(pe >= 1, np.where(po >= 1, 1.0, 0.0), (po - pe) / (1 - pe))
-                points.append(value[0])
-                lows.append(np.quantile(value[1:], 0.025))
-                highs.append(np.quantile(value[1:], 0.975))
-            yield batch.assign(kappa=points, low=lows, high=highs)
-
-    schema = cells.select("*", *[F.lit(0.0).alias(c) for c in ("kappa", "low", "high")]).schema
-    drawn = cells.mapInPandas(draw, schema)
-    return drawn.withColumn(
-        "conclusive", (F.col("low") >= KAPPA_BAR) | (F.col("high") < KAPPA_BAR)
-    ).select(*keys, "kappa", "low", "high", "conclusive")
+def bootstrap_weights(spark: SparkSession, replicates: int, blocks: int, seed: int) -> DataFrame:
+    """How often each block is drawn in each replicate, a table of ``replicates`` x ``blocks`` rows told by hashes alone."""
+    drawn = spark.range(replicates * blocks).select(
+        F.expr(f"id div {blocks}").alias("replicate"), (F.col("id") % blocks).alias("block"))
+    bits = hash_bits(F.concat_ws(":", F.lit(seed), "replicate", "block"))
+    times = sum(((F.col("bits") >= step).cast("bigint") for step in POISSON_STEPS), F.lit(0))
+    return drawn.withColumn("bits", bits).select("replicate", "block", times.alias("times"))
+
+
+def kappa_bootstrap(
+    scores: DataFrame, keys: list[str], case: str = "case_id", replicates: int = 500, blocks: int = 128, seed: int = 7
+) -> DataFrame:
+    """Block bootstrap interval of kappa per key.
+
+    Cases fall into fixed blocks by the hash of their id, all rows of a case into
+    the same one. The data is read once into four counts per key and block; a
+    replicate weighs the blocks with Poisson draws that follow from the hash of
+    replicate and block, so the interval is the same wherever it is computed.
+    """
+    counts = agreement_counts(
+        scores.withColumn("block", F.pmod(hash_bits(F.col(case).cast("string")), F.lit(blocks))), [*keys, "block"])
+    names = ("n", "agreed", "human_ones", "judge_ones")
+    weights = bootstrap_weights(scores.sparkSession, replicates, blocks, seed)
+    drawn = counts.join(weights, "block").groupBy(*keys, "replicate").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in names])
+    value = kappa(*map(F.col, names))
+    spread = drawn.withColumn("kappa", value).groupBy(*keys).agg(
+        F.percentile("kappa", 0.025).alias("low"), F.percentile("kappa", 0.975).alias("high"))  # one number per replicate
+    point = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names]).select(*keys, value.alias("kappa"))
+    return null_safe_join(point, spread, keys, "inner").withColumn(
+        "conclusive", (F.col("low") >= KAPPA_BAR) | (F.col("high") < KAPPA_BAR)).select(*keys, "kappa", "low", "high", "conclusive")

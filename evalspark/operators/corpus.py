@@ -33,7 +33,17 @@ def present(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_ids(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+    """Keys that occur more than once, with their number of copies.
+
+    Keys may be long texts: rows are counted by a digest, and only the texts of
+    repeated digests travel.
+    """
+    cells = [F.coalesce(F.concat(F.lit("v"), F.sha2(F.col(k).cast("string"), 256)), F.lit("null")) for k in keys]
+    named = rows.select(*keys, F.sha2(F.concat_ws(",", *cells), 256).alias("_digest"))
+    copies = named.groupBy("_digest").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+    found = named.join(copies, "_digest", "left_semi").groupBy("_digest").agg(
+        *[F.first(k).alias(k) for k in keys], F.count(F.lit(1)).alias("copies"))  # equal digests, equal keys
+    return found.select(*keys, "copies")
 
 
 def golden_violations(raw: DataFrame, include_drafts: bool = False) -> DataFrame:

@@ -118,10 +118,19 @@ def write_csv(frame: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 def parse_result_csv(frame: DataFrame, text: str, schema: str, keep: list[str]) -> DataFrame:
-    """Inline CSV text (header line first) to typed rows, numbered from 0."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line != "")
-    numbered = frame.select(*keep, F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("pos", "_line"))
-    parsed = F.from_csv("_line", F.lit(schema), {"quote": '"', "escape": '"'})
+    """Inline CSV text (header record first) to typed rows, numbered from 0.
+
+    A line break ends a record where the quotes before it are even, so quoted
+    fields may hold line breaks; breaks may be LF or CRLF, and empty lines are no
+    records. Only a text that holds a quote is split quote by quote.
+    """
+    # pieces between quotes alternate: outside, inside, outside, ...; breaks count outside only
+    pieces = F.split(text, '"')
+    ends = F.transform(pieces, lambda piece, k: F.when(k % 2 == 0, F.regexp_replace(piece, r"\r?\n", "\u0000")).otherwise(piece))
+    plain, quoted = F.split(text, r"\r?\n"), F.split(F.array_join(ends, '"'), "\u0000")
+    records = F.filter(F.when(F.contains(text, F.lit('"')), quoted).otherwise(plain), lambda record: record != "")
+    numbered = frame.select(*keep, F.posexplode(F.slice(records, F.lit(2), F.greatest(F.size(records), F.lit(0)))).alias("pos", "_record"))
+    parsed = F.from_csv("_record", F.lit(schema), {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\u0000"})
     return numbered.select(*keep, F.col("pos").cast("bigint").alias("pos"), parsed.alias("_row")).select(
         *keep, "pos", "_row.*"
     )

@@ -147,6 +147,29 @@ def test_inline_result_csv(spark):
     assert sorted(map(tuple, got)) == [("v1", 0, "2026-04", 8421), ("v2", 0, "a,b", 1), ("v2", 1, "x", 2)]
 
 
+def test_inline_result_csv_with_quoted_breaks(spark):
+    texts = spark.createDataFrame([
+        ("breaks", 's,n\n"one\ntwo",1\n"three\r\nfour, ""five""\n",2\nplain,3\n'),
+        ("crlf", 's,n\r\na,1\r\n"b\r\nc",2\r\n'), ("quoted header", '"s\nx",n\na,1'), ("empty lines", "s,n\n\na,1\n\n\nb,2"),
+        ("quotes", 's,n\n"""",1\n"",2\n"x""",3'), ("header", "s,n\n"), ("nothing", ""), ("null", None),
+    ], "case_id string, text string")
+    got: dict = {}
+    for r in files.parse_result_csv(texts, "text", "s string, n bigint", ["case_id"]).orderBy("case_id", "pos").collect():
+        got.setdefault(r["case_id"], []).append((r["pos"], r["s"], r["n"]))
+    assert got == {
+        "breaks": [(0, "one\ntwo", 1), (1, 'three\r\nfour, "five"\n', 2), (2, "plain", 3)],
+        "crlf": [(0, "a", 1), (1, "b\r\nc", 2)], "quoted header": [(0, "a", 1)], "empty lines": [(0, "a", 1), (1, "b", 2)],
+        "quotes": [(0, '"', 1), (1, None, 2), (2, 'x"', 3)],
+    }
+
+
+def test_duplicates_of_long_keys_and_nulls(spark):
+    long = "x" * 100_000
+    rows = [(long, 1), (long, 1), (long, 2), ("a", None), ("a", None), (None, None), (None, None), ("null", 3), (None, 3)]
+    got = {(r["s"], r["n"]): r["copies"] for r in C.duplicate_ids(spark.createDataFrame(rows, "s string, n int"), ["s", "n"]).collect()}
+    assert got == {(long, 1): 2, ("a", None): 2, (None, None): 2}
+
+
 LINTS = [
     ("SELECT 1", None), ("  with t as (select 1) select * from t ; ", None), ("select 1;;", None),
     ("", "empty SQL"), ("-- only a comment", "empty SQL"), ("/* a */ ; ", "empty SQL"),

@@ -185,21 +185,6 @@ def test_blobs_have_one_form_and_see_every_row(spark, size):
     assert len({base, *[blob(spark, c)["a"][1] for c in changed]}) == 5
 
 
-def test_ledger_store(spark, tmp_path):
-    from evalspark.sources.ledger_store import LEDGER_SCHEMA, append_runs, read_ledger
-
-    path = str(tmp_path / "ledger")
-    assert read_ledger(spark, path).count() == 0
-    when = "CAST('2024-01-0{d}' AS TIMESTAMP_NTZ)"
-    for day, agent in ((1, "a"), (2, "b")):
-        columns = ["'fp'", f"'{agent}'", f"{day}L", when.format(d=day), "'r'", "'x'", "'y'", "'z'"]
-        names = [c.split()[0] for c in LEDGER_SCHEMA.split(", ")]
-        append_runs(spark.sql("SELECT " + ", ".join(f"{c} AS {n}" for c, n in zip(columns, names))), path)
-    stored = read_ledger(spark, path)
-    assert stored.count() == 2 and L.newest_runs(stored).first()["agent_name"] == "b"
-    assert L.first_runs(stored).first()["agent_name"] == "a"
-
-
 def test_only_a_whole_json_array_is_a_list(spark):
     good = '{"factual_accuracy": 1, "completeness": 0, "no_hallucination": "1"}'
     texts = [f"[note] {good} [end]", f"[1] {good} [2]", f"[{good}]", good.replace(": 1,", ': "1.7",'), good.replace(": 1,", ': "true",'), good.replace(": 1,", ": true,")]
