@@ -198,11 +198,24 @@ def test_contamination(spark, corpus):
     for doc, r in got.items():
         for span, hit in zip(r["spans"], r["hits"]):
             assert words(texts[doc][span["start"]: span["end"]]) == words(texts[doc])[hit["first"]: hit["last"] + 1]
-    clean = decontamination.drop_contaminated(frame(spark, corpus), bench)
-    assert {r["doc_id"] for r in clean.collect()} == {d for d, x in want.items() if not x[1]} and clean.columns == frame(spark, []).columns
+    for pass_bytes in (512 << 10, 2000):
+        clean = decontamination.drop_contaminated(frame(spark, corpus), bench, pass_bytes=pass_bytes)
+        assert {r["doc_id"] for r in clean.collect()} == {d for d, x in want.items() if not x[1]} and clean.columns == frame(spark, []).columns
     assert decontamination.drop_contaminated(frame(spark, corpus), bench.limit(0)).count() == len(corpus)
 
 
+def test_contamination_digest(spark, given):
+    """The registered query: ids sorted as strings, one row per document."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    want = leaks_by_hand(given, items)
+    got = {r["doc_id"]: r for r in QUERIES["op4_benchmark_decontamination"](spark, SF_DIR).collect()}
+    assert set(got) == set(want) and any(x[2] for x in want.values())
+    for doc, (n_words, n_hit, found) in want.items():
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        r = got[doc]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n_words, n_hit, len(found), digest, n_hit > 0)
+
+
 def test_empty_tables(spark, nothing):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert license_scan.licenses(nothing).count() == 0 and secret_scan.secrets(nothing).count() == 0
