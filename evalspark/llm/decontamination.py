@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evalspark.llm.tables import texts
-from evalspark.llm.textkit import ALNUM, LOWER, Words, covered, slices
+from evalspark.llm.textkit import ALNUM, LOWER, Words, covered, kept, release, slices
 
 NORMAL = bytes(int(LOWER[b]) if ALNUM[b] else 0x20 for b in range(256))
 FOUND = ("doc_id bigint, n_words bigint, hits array<struct<first:int,last:int>>, "
@@ -45,7 +44,7 @@ def window_items(items: list[tuple[int, str]], window: int) -> dict[bytes, tuple
     return patterns
 
 
-@lru_cache(1)
+@kept
 def automaton(items: tuple[tuple[int, str], ...], window: int):
     """Built once per worker where the benchmark is one automaton, else once per chunk of texts."""
     import ahocorasick
@@ -94,6 +93,7 @@ def _located(text: pa.Array, line: str, matches: list) -> tuple[list, list, list
 
 def _scan(passes: list, window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(automaton)
         for held in _chunks(slices(batches), HELD_BYTES if len(passes) > 1 else 1):
             lines = [[_line(text) for text in part.column("text")] for part in held]
             matches: list[list[list]] = [[[] for _ in own] for own in lines]
@@ -149,6 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
 
 def _clean(passes: list, window: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(automaton)
         for held in _chunks(slices(batches), HELD_BYTES if len(passes) > 1 else 1):
             lines = [[_line(text) for text in part.column("text")] for part in held]
             stays = [np.ones(len(own), bool) for own in lines]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evalspark.llm.components import components
 from evalspark.llm.tables import cut, texts
-from evalspark.llm.textkit import ALNUM, ODD, Words, list_column, mix, slices, window_hashes
+from evalspark.llm.textkit import ALNUM, ODD, Words, list_column, mix, release, slices, window_hashes
 
 SIGNED = "doc_id bigint, words int, fp_a bigint, fp_b bigint, bands array<bigint>"
 
@@ -67,6 +67,7 @@ def _sign(size: int, bands: int, rows: int):
     shifts = random.integers(1, 1 << 63, bands * rows, dtype=np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             words = Words(part.column("text"), ALNUM, lower=True)
             hashes = words.hashes()
@@ -95,6 +96,7 @@ def _sign(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             words = Words(part.column("text"), ALNUM, lower=True)
             values, owner = shingles(words, words.hashes(), size)
@@ -137,6 +139,7 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _verify(similarity: float):
     def verify(unit: pa.Table) -> pa.Table:
+        release()
         ids = unit.column("rep").to_numpy()
         order = np.argsort(ids)
         ids, copies = ids[order], unit.column("copies").to_numpy()[order]

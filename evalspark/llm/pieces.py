@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from evalspark.llm.merging import RankMerger
-from evalspark.llm.textkit import raw
+from evalspark.llm.textkit import kept, raw
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 # The characters with Unicode's White_Space property.
@@ -115,7 +115,7 @@ class ByteVocabulary:
         return ids, lengths
 
 
-@lru_cache(1)
+@kept
 def byte_bpe(path: str) -> ByteVocabulary:
     """The vocabulary of a tokenizers file. Strings of special tokens inside a text are ordinary text."""
     from tokenizers import Tokenizer
@@ -137,7 +137,7 @@ def byte_bpe(path: str) -> ByteVocabulary:
     return ByteVocabulary(first, RankMerger(*zip(*pairs), max(ids.values()) + 1), whole)
 
 
-@lru_cache(1)
+@kept
 def rank_bpe(path: str) -> ByteVocabulary:
     """The vocabulary of a tiktoken file with the usual pattern: two tokens join if their bytes are a token."""
     import tiktoken

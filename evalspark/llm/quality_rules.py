@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.llm.pieces import expand, rank_bpe
-from evalspark.llm.textkit import NOT_BLANK, ODD, SLICE_BYTES, Words, covered, mix, raw, slices, window_hashes
+from evalspark.llm.textkit import NOT_BLANK, ODD, SLICE_BYTES, Words, covered, mix, raw, release, slices, window_hashes
 from evalspark.llm.token_counts import merge_table
 
 SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
@@ -81,6 +81,7 @@ def _repeat_words(words: Words, codes: np.ndarray, size: int = 8) -> np.ndarray:
 
 def _measure(bpe_path: str, piece_path: str):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(rank_bpe, merge_table)
         bpe, fallback = rank_bpe(bpe_path), merge_table(piece_path)
         for part in slices(batches, limit=SLICE_BYTES // 2):
             words = Words(part.column("text"), NOT_BLANK)

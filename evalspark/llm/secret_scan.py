@@ -28,8 +28,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 # Bits per character that a window must reach, by class. Measured on 600 random strings each, the best window of
 # twenty letters of either case has 3.5 bits or more in 99 of 100, of twenty lower-case ones 3.2; of twenty
-# hexadecimal digits 3.0 in 95 of 100; of twenty letters and digits 3.8 in 95 of 100.
-LIMITS = {"hex": 3.0, "mixed": 3.8, "letters": 3.2}
+# hexadecimal digits 3.0 in 95 of 100; of twenty letters of either case and digits 3.8 in 95 of 100; of twenty
+# lower-case letters and digits 3.45 in 99 of 100.
+LIMITS = {"hex": 3.0, "mixed": 3.8, "lower": 3.45, "letters": 3.2}
 
 # Frequent pairs of letters in words of English, German, French and Spanish. Random letters make one of them in about
 # a sixth of their pairs; a run of letters with this share or more is made of words.
@@ -51,31 +52,91 @@ BEFORE = rf"(?i)((sha-?1|sha-?256|sha-?384|sha-?512|md5|commit|revision|integrit
 # A part of a path that looks like a key all the same.
 KEY_PART = r"(^|/)(?=[^/]*[0-9])(?=[^/]*[a-z])(?=[^/]*[A-Z])[^/]{20,}"
 BEFORE_CHARS = 64
+BLOCK = 256  # array entries that are folded together, so that the work grows with the matches and not their square
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def blocks(items: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` entries."""
+    def cut(held: Column) -> Column:
+        count = F.ceil(F.size(held) / BLOCK).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda k: F.slice(held, k * BLOCK + 1, F.lit(BLOCK)))
+
+    return bound(items, cut)
+
+
+def carried(values: Column, zero: Column, merge) -> Column:
+    """For every entry of a short array what ``merge`` makes of all entries before it."""
+    start = F.struct(zero.alias("now"), F.array(zero).alias("all"))
+    return F.aggregate(values, start, lambda state, v: F.struct(
+        merge(state["now"], v).alias("now"), F.concat(state["all"], F.array(merge(state["now"], v))).alias("all")), lambda state: state["all"])
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """The leftmost non-overlapping matches as (start, end, value, before): code points, end exclusive.
 
-    The pieces between the matches give the places. ``value`` is the text of
+    The pieces between the matches give the places: block by block from zero,
+    then shifted by the lengths of the blocks before. ``value`` is the text of
     ``group``; ``before`` is the end of the piece in front.
     """
     kind = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"), value.alias("value"))
+    steps = F.transform(
+        F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"), value.alias("value")),
+        lambda x: F.struct(
+            F.length(x["piece"]).cast("bigint").alias("skip"), F.length(x["whole"]).cast("bigint").alias("size"), x["value"].alias("value"),
+            F.right(x["piece"], F.lit(BEFORE_CHARS)).alias("before")))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("found"))
 
     def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["piece"])
-        end = begin + F.length(x["whole"])
-        one = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["value"].alias("value"),
-                       F.right(x["piece"], F.lit(BEFORE_CHARS)).alias("before"))
-        return F.struct(end.cast("bigint").alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+        begin = state["at"] + x["skip"]
+        end = begin + x["size"]
+        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"))
+        return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+
+    def placed(folded: Column) -> Column:
+        shift = carried(F.transform(folded, lambda b: b["at"]), F.lit(0).cast("bigint"), lambda n, v: n + v)
+        return F.flatten(F.zip_with(folded, F.slice(shift, F.lit(1), F.size(folded)), lambda b, by: F.transform(b["found"], lambda m: F.struct(
+            (m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value"), m["before"].alias("before")))))
 
-    found = F.aggregate(steps, start, step, lambda state: state["found"])
+    found = bound(F.transform(blocks(steps), lambda some: F.aggregate(some, start, step)), placed)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
 
 
+def outside(candidates: Column, base: Column) -> Column:
+    """The candidates that lie within no base span; both come in order of their start.
+
+    All spans are walked in one order with the farthest end of a base span so far,
+    block by block from the farthest end of the blocks before.
+    """
+    kind = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
+    item = lambda x, order, value, before: F.struct(
+        x["start"].alias("start"), F.lit(order).alias("order"), x["end"].alias("end"), value.alias("value"), before.alias("before"))
+    none = F.lit(None).cast("string")
+    walk = F.array_sort(F.concat(
+        F.transform(base, lambda b: item(b, 0, none, none)), F.transform(candidates, lambda m: item(m, 1, m["value"], m["before"]))))
+    zero = F.lit(-1).cast("bigint")
+    far = lambda now, x: F.when(x["order"] == 0, F.greatest(now, x["end"])).otherwise(now)
+    def step(state: Column, x: Column) -> Column:
+        free = (x["order"] == 1) & (x["end"] > state["far"])
+        one = F.array(F.struct(x["start"], x["end"], x["value"], x["before"])).cast(kind)
+        return F.struct(far(state["far"], x).alias("far"), F.when(free, F.concat(state["kept"], one)).otherwise(state["kept"]).alias("kept"))
+
+    def kept(cut: Column) -> Column:
+        ends = F.transform(cut, lambda some: F.aggregate(some, zero, far))
+        before = F.slice(carried(ends, zero, lambda now, v: F.greatest(now, v)), F.lit(1), F.size(cut))
+        return F.flatten(F.zip_with(cut, before, lambda some, by: F.aggregate(
+            some, F.struct(by.alias("far"), F.array().cast(kind).alias("kept")), step, lambda state: state["kept"])))
+
+    return bound(blocks(walk), kept)
+
+
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """The largest entropy, in bits, of the characters in any window of ``window`` characters; null if there is none.
 
@@ -106,8 +167,10 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
 
 
 def character_class(value: Column) -> Column:
-    """hex, mixed (letters with digits), or letters."""
-    return F.when(value.rlike(r"^[0-9a-fA-F]+$"), "hex").when(value.rlike(r"[0-9]") & value.rlike(r"[A-Za-z]"), "mixed").otherwise("letters")
+    """hex, lower (lower-case letters with digits), mixed (other letters with digits), or letters."""
+    digits = value.rlike(r"[0-9]")
+    return F.when(value.rlike(r"^[0-9a-fA-F]+$"), "hex").when(
+        digits & value.rlike(r"[a-z]") & ~value.rlike(r"[A-Z]"), "lower").when(digits & value.rlike(r"[A-Za-z]"), "mixed").otherwise("letters")
 
 
 def of_words(value: Column) -> Column:
@@ -146,10 +209,9 @@ def secrets(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             limit = F.when(kind == name, bits).otherwise(limit)
         harmless = m["value"].rlike(HARMLESS) | m["before"].rlike(BEFORE) & ~(m["before"].rlike(IN_URL) & m["value"].rlike(KEY_PART))
         high = F.coalesce(window_entropy(m["value"], window) >= limit, F.lit(False))
-        return ~harmless & high & F.when(kind == "letters", ~of_words(m["value"])).otherwise(True)
+        return ~harmless & high & F.when(kind.isin("letters", "lower"), ~of_words(m["value"])).otherwise(True)
 
-    outside = F.filter("candidates", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    return based.withColumn("free", outside).select(
+    return based.withColumn("free", outside(F.col("candidates"), F.col("base"))).select(
         "doc_id", "base", named(F.filter("free", hot), "entropy").alias("added"))
 
 

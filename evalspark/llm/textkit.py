@@ -8,7 +8,8 @@ character beyond ASCII is 0x80 or more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,23 @@ NOT_BLANK = np.array([b not in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) for b in ran
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 
+_KEPT: list = []
+
+
+def kept(build: Callable) -> Callable:
+    """Cache what ``build`` last made for the worker's lifetime, or until another kernel releases it."""
+    cached = lru_cache(1)(build)
+    _KEPT.append(cached)
+    return cached
+
+
+def release(*but: Callable) -> None:
+    """Drop all that kernels before this one keep, but for what this one needs: workers are reused from stage to stage."""
+    for cached in _KEPT:
+        if cached not in but:
+            cached.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -13,7 +13,6 @@ slice are merged once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evalspark.llm.merging import RankMerger
 from evalspark.llm.tables import texts
-from evalspark.llm.textkit import raw, slices
+from evalspark.llm.textkit import kept, raw, release, slices
 
 SPACE = "▁"
 
@@ -114,7 +113,7 @@ class MergeTable:
         return counts, fallen
 
 
-@lru_cache(1)
+@kept
 def merge_table(path: str) -> MergeTable:
     """The tables of a vocabulary file, built once per worker; their size is the vocabulary's."""
     return MergeTable(path)
@@ -122,6 +121,7 @@ def merge_table(path: str) -> MergeTable:
 
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(merge_table)
         table = merge_table(path)
         for part in slices(batches):
             counts = table.count(part.column("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.llm.pieces import byte_bpe
 from evalspark.llm.tables import texts
-from evalspark.llm.textkit import SLICE_BYTES, list_column, raw, slices
+from evalspark.llm.textkit import SLICE_BYTES, list_column, raw, release, slices
 from evalspark.llm.wavelet import WaveletMatrix
 
 SHARD = ("part int, shard int, before bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<int>, "
@@ -37,6 +37,7 @@ def _shard(part: int, shard: int, before: int, doc_ids: list, counts: np.ndarray
 
 def _build(tokenizer: str, end_id: int, bits: int, shard_tokens: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(byte_bpe)
         known = byte_bpe(tokenizer)
         part, shard, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list = []

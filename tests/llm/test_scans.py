@@ -108,15 +108,32 @@ def secrets_by_hand(text):
         value, limit = m[0], None
         if any(b <= m.start() and m.end() <= e for b, _, e, _ in base):
             continue
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", value) else "mixed" if re.search("[0-9]", value) and re.search("[A-Za-z]", value) else "letters"
-        limit, best = secret_scan.LIMITS[kind], 0
+        has = {c: re.search(c, value) is not None for c in ("[0-9]", "[a-z]", "[A-Z]")}
+        if re.fullmatch("[0-9a-fA-F]+", value):
+            kind = "hex"
+        elif has["[0-9]"] and (has["[a-z]"] or has["[A-Z]"]):
+            kind = "mixed" if has["[A-Z]"] else "lower"
+        else:
+            kind = "letters"
+        limit, best = {"hex": 3.0, "mixed": 3.8, "lower": 3.45, "letters": 3.2}[kind], 0
         for k in range(len(value) - 19):
             part = value[k: k + 20]
             best = max(best, -sum(part.count(c) / 20 * math.log2(part.count(c) / 20) for c in set(part)))
         harmless = any(re.search(p, value) for p in (
             r"(?i)(example|sample|placeholder|dummy|changeme|your[_-]|xxxx|0000000|redacted|lorem)", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-            r"(?i)(abcdefghij|0123456789|qwertyuiop)", r"^[A-Za-z]+([/_-][A-Za-z]+)+$", r"^[0-9=_-]+$"))
-        if best >= limit - 1e-12 and not harmless and not re.search(secret_scan.BEFORE, text[max(0, m.start() - 64): m.start()]):
+            r"(?i)(abcdefghij|0123456789|qwertyuiop)", r"^[0-9=_-]+$"))
+        before = text[max(0, m.start() - 64): m.start()]
+        named = re.search(r"(?i)(sha-?1|sha-?256|sha-?384|sha-?512|md5|commit|revision|integrity)[ :=\"'-]*\Z", before)
+        in_url = re.search(r"://[^\x00-\x20/?#@]*/[^\x00-\x20?#]*\Z", before)
+        # a part of a URL's path that looks like a key counts all the same
+        key_part = any(len(p) >= 20 and re.search("[0-9]", p) and re.search("[a-z]", p) and re.search("[A-Z]", p) for p in value.split("/"))
+        if (named or in_url) and not (in_url and key_part):
+            harmless = True
+        letters = re.sub("[^a-z]", "", value.lower())
+        pairs = [letters[k: k + 2] for k in range(len(letters) - 1)]
+        common = sum(p in secret_scan.WORD_PAIRS.split() for p in pairs)
+        of_words = not pairs or common >= 0.45 * len(pairs)
+        if best >= limit - 1e-12 and not harmless and not (kind in ("letters", "lower") and of_words):
             added.append((m.start(), 3, m.end(), "entropy"))
     return base, added
 
@@ -141,6 +158,29 @@ def test_secrets(spark, corpus):
     assert hits and not [s for k in (6, 7, 8) for s in got[300_000 + k]["added"]]
 
 
+def test_lower_case_keys_with_digits(spark):
+    draw = random.Random(6)
+    keys = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (20, 24, 32) for _ in range(150)]
+    clean = ["a-long-title-of-a-page-in-may-2024", "chapter12section3paragraph4", "releases/download/version-2.14.1-linux", "user_account_settings_page_2"]
+    got = {r["doc_id"]: len(r["added"]) for r in secret_scan.secrets(frame(spark, list(enumerate([*clean, *(f"key {k} end" for k in keys)])))).collect()}
+    assert not any(got[k] for k in range(len(clean)))
+    for n, at in ((20, 0), (24, 150), (32, 300)):
+        assert sum(got[len(clean) + at + k] for k in range(150)) >= 0.9 * 150, n
+
+
+def test_many_matches_in_one_text(spark):
+    """Places and the base test over several blocks."""
+    draw = random.Random(7)
+    parts = []
+    for k in range(4000):
+        key = "".join(draw.choice("abcdefXYZ0123456789GHJKmnp") for _ in range(22))
+        parts.append(draw.choice([f"token={key}", f"é {key}", "AKIA" + "Q7" * 9, "deadbeef" * 4, f"secret : '{key}/x'", "plain words"]))
+    text = " ".join(parts)
+    got = secret_scan.secrets(frame(spark, [(1, text)])).first()
+    base, added = secrets_by_hand(text)
+    assert [tuple(s) for s in got["base"]] == base and [tuple(s) for s in got["added"]] == added and len(added) > 100
+
+
 def test_keys_of_letters_and_keys_beside_urls(spark):
     draw = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyz"
