@@ -137,23 +137,22 @@ def scorecard(
     sums = []
     for name, (belongs, passes) in members.items():
         sums += [F.count_if(belongs & passes).alias(f"{name}_passed"), F.count_if(belongs).alias(f"{name}_total")]
-    base = cases.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cases"), *sums, faithfulness_column().alias("faithfulness")
-    )
-    top = (
-        top_failures(failures_by_category(cases, keys), keys)
-        .groupBy(*keys)  # at most three rows per key
-        .agg(F.array_sort(F.collect_list(F.struct("place", "category", "failures"))).alias("_top"))
-        .select(*keys, F.array_join(
-            F.transform("_top", lambda t: F.concat(t["category"], F.lit(" ("), t["failures"].cast("string"), F.lit(")"))),
-            ", ",
-        ).alias("top_failures"))
-    )
+    passed = sum((F.when(F.col(d) != 0, 1).otherwise(0) for d in DIMENSIONS), F.lit(0))
+    failed = is_failure()
+    # one pass over the cases: everything but the median is a sum over the categories of a key
+    per = cases.groupBy(*keys, "category").agg(
+        F.count(F.lit(1)).alias("cases"), *sums, F.sum(F.when(F.col("judged"), passed)).alias("_points"),
+        F.count_if("judged").alias("_judged"), F.count_if(failed).alias("failures"), F.min(F.when(failed, F.col("case_pos"))).alias("first_pos"))
+    names = ["cases", *[f"{name}_{part}" for name in members for part in ("passed", "total")], "_points", "_judged"]
+    ranked = F.struct((-F.col("failures")).alias("order"), "first_pos", "category", "failures")
+    base = per.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in names], F.array_sort(F.collect_list(F.when(F.col("failures") > 0, ranked))).alias("_top"))
+    shown = F.transform(F.slice("_top", 1, TOP_FAILURE_CATEGORIES), lambda t: F.concat(
+        t["category"], F.lit(" ("), t["failures"].cast("string"), F.lit(")")))
+    base = base.withColumns({"faithfulness": rate(F.col("_points"), F.col("_judged")), "top_failures": F.array_join(shown, ", ")}).drop(
+        "_points", "_judged", "_top")
     joined = null_safe_join(base, efficiency_median(cases, keys), keys, "left")
-    joined = null_safe_join(joined, top, keys, "left")
-    return with_verdict(with_rates(joined), minimum).withColumn(
-        "top_failures", F.coalesce("top_failures", F.lit(""))
-    )
+    return with_verdict(with_rates(joined), minimum)
 
 
 def verdict_message(minimum: int = MIN_CASES_PER_AGGREGATE) -> Column:
